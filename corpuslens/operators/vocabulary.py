@@ -274,7 +274,7 @@ def approximate_stats(corpus: DataFrame, rsd: float = 0.01) -> DataFrame:
     )
 
 
-def heavy_hitters(corpus: DataFrame, eps: float = 0.001, confidence: float = 0.99, share: float = 0.005) -> DataFrame:
+def heavy_hitters(corpus: DataFrame, share: float = 0.005) -> DataFrame:
     """Tokens whose approximate share of all occurrences is at least `share`.
 
     Frequent items come from one sketching pass; their counts are exact, taken in a
