@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import hashing
 from corpuslens.functions import random_index as R
+from corpuslens.operators.layout import place
 from corpuslens.operators.ordering import running_total
 
 
@@ -18,8 +19,7 @@ def index_signs(signs: DataFrame, k: int, s: int, seed: int = 0, symmetric: bool
     A small distinct result may sit in one partition while each vector costs many
     hashes, so the signs are spread over all cores first.
     """
-    spread = signs.repartition(signs.sparkSession.sparkContext.defaultParallelism * 2, "sign")
-    hashed = spread.withColumn("_p", R.active_positions(F.col("sign"), k, s, seed, hash))
+    hashed = place(signs, "sign").withColumn("_p", R.active_positions(F.col("sign"), k, s, seed, hash))
     return hashed.withColumn("ri", R.from_positions(F.col("_p"), k, symmetric)).drop("_p")
 
 

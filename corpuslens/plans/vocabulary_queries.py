@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import stopwords
 from corpuslens.functions.words import words
 from corpuslens.operators import vocabulary as V
+from corpuslens.operators.layout import spread_scan
 from corpuslens.plans.registry import query, table
 
 DOCS = r"docs AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents)"
@@ -21,7 +22,8 @@ STOP = "('" + "', '".join(w.replace("'", "''") for w in stopwords.ENGLISH) + "')
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", words("text").alias("tokens"))
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return docs.select("doc_id", words("text").alias("tokens"))
 
 
 def bench_corpus(spark: SparkSession, sf: str) -> DataFrame:
