@@ -208,13 +208,16 @@ def coverage(corpus: DataFrame, vocab: DataFrame) -> DataFrame:
     ).withColumn("share", F.col("known_words") / F.col("words"))
 
 
-def add_signs(vocab: DataFrame, new: DataFrame) -> DataFrame:
-    """Adds unknown tokens with ids after the highest one; adding twice changes nothing."""
+def new_signs(vocab: DataFrame, new: DataFrame) -> DataFrame:
+    """``(token, id)`` for tokens the vocabulary lacks, with ids after its highest one."""
     fresh = ordered_index(oov_words(new, vocab), "token", name="_n")
     last = F.coalesce(vocab.agg(F.max("id")).scalar(), F.lit(-1))
-    return vocab.select("token", "id").unionByName(
-        fresh.select("token", (last + 1 + F.col("_n")).cast("long").alias("id"))
-    )
+    return fresh.select("token", (last + 1 + F.col("_n")).cast("long").alias("id"))
+
+
+def add_signs(vocab: DataFrame, new: DataFrame) -> DataFrame:
+    """Adds unknown tokens; old ids stay, and adding twice changes nothing."""
+    return vocab.select("token", "id").unionByName(new_signs(vocab, new))
 
 
 def remove_signs(vocab: DataFrame, gone: DataFrame) -> DataFrame:
