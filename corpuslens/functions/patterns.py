@@ -1,9 +1,10 @@
 r"""Regular expressions for tokens and entities.
 
 The patterns are written in the subset that java.util.regex and RE2 share
-(``\x{..}`` escapes, scoped flags), apart from a few trailing lookaheads.  Loops over
-alternatives are unrolled into character classes, so matching stays linear and does
-not recurse per character.
+(``\x{..}`` escapes, scoped flags), apart from lookarounds and possessive loops.  Java
+matches loops over groups of varying length by recursion, which overflows the stack on
+long junk; such loops are possessive where nothing follows them, and otherwise written
+as one-character steps with a lookahead.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ PUNCT = f"(?:{PUNCT_INSIDE}|{QUOTE}+|{BRACKET}|{DOTS}|{PUNCT_END}|{HYPHEN}+|{SYM
 
 # Numbers, dates, units.
 D = r"\p{Nd}"
-UNSIGNED = rf"{D}+(?:[.,\x{{AD}}]{D}+)*"
+UNSIGNED = rf"{D}++(?:[.,\x{{AD}}]{D}++)*+"
 SIGNED = rf"[\-+]{UNSIGNED}"
 NUMBER = rf"[\-+]?{UNSIGNED}"
 SUBSUP = (
@@ -72,7 +73,7 @@ TIME = f"{D}+(?::{D}+){{1,2}}"
 ISO8601 = f"{DATE_YMD}T{TIME}Z"
 DEGREES = r"\x{B0}[CF]"
 VERSION = rf"[vV]?{D}(?:\.{D})*(?:\.{D}|\.x)(?=\P{{Nd}}|\z)"
-PHONE = rf"\+?(?:\({D}{{2,3}}\)[{SPACE_CHARS}\-])?{D}{{2,3}}(?:[{SPACE_CHARS}\-]{D}{{2,4}})+"
+PHONE = rf"\+?(?:\({D}{{2,3}}\)[{SPACE_CHARS}\-])?{D}{{2,3}}(?:[{SPACE_CHARS}\-]{D}{{2,4}})++"
 NUMERIC = "(?:" + "|".join(
     [ISO8601, DATE, PHONE, FRACTION, TIME, RATIO, VERSION, NUMBER, SUBSUP, VULGAR_FRACTION]
 ) + ")"
@@ -135,23 +136,29 @@ CONTRACTION_STEM = f"(?i:[a-z]+(?={SPLIT_SUFFIX}))"
 CONTRACTION_IT = f"(?i:{APOSTROPHE}t(?=is|was))"
 CONTRACTION_LISTED = f"(?i:{'|'.join(KEPT_WHOLE)})"
 CONTRACTION_OTHER = f"{WORD}{APOSTROPHE}{WORD}"
-SUBJECT_CONTRACTION = f"(?i:[a-z]+{CONTRACTION}+)"
+SUBJECT_CONTRACTION = f"(?i:[a-z]+{CONTRACTION}++)"
 
 # Web addresses, handles, emoticons, arrows.
 _URL_CHAR = rf"[^{SPACE_CHARS}()<>{{}}\[\]]"
 _URL_PARENS = rf"\([^{SPACE_CHARS}]+?\)"
 _URL_LAST = rf"""[^{SPACE_CHARS}`!()\[\]{{}};:'".,<>?\x{{AB}}\x{{BB}}\x{{201C}}\x{{201D}}\x{{2018}}\x{{2019}}]"""
+MAX_URL_PARENS = 250  # parenthesised parts in one address; bounds the depth of recursion
 URL_SCHEME = (
     r"(?:(?:https?:|[A-z]{2,}:)(?:/{1,3}|[a-z0-9%])|[a-z0-9.\-]+\.[a-z]{2,13}/)"
-    rf"(?:{_URL_CHAR}|{_URL_PARENS}){_URL_CHAR}*(?:{_URL_PARENS}{_URL_CHAR}*)*"
+    rf"(?:{_URL_CHAR}|{_URL_PARENS}){_URL_CHAR}*(?:{_URL_PARENS}{_URL_CHAR}*){{0,{MAX_URL_PARENS}}}"
     rf"(?:{_URL_PARENS}|{_URL_LAST})"
 )
-URL_DOMAIN = (
-    r"[a-z0-9]+(?:\.[a-z0-9]+)*(?:(?:-[a-z0-9]+)+(?:\.[a-z0-9]+)*)?\.[a-z]{2,13}"
-    rf"(?::{D}{{2,5}})?/?(?!@)"
+# Labels between dots, one of them with hyphens, then a top-level domain.
+URL_DOMAIN_LOOPS = r"[a-z0-9]+(?:\.[a-z0-9]+)*(?:(?:-[a-z0-9]+)+(?:\.[a-z0-9]+)*)?\.[a-z]{2,13}"
+_LABELS = r"(?:(?!\.\.)[a-z0-9.])*"
+_HYPHENATED = r"(?:(?!--)[a-z0-9\-])*(?<=[a-z0-9])"
+URL_DOMAIN_STEPS = (
+    rf"[a-z0-9]{_LABELS}(?:(?<=[a-z0-9])-[a-z0-9]{_HYPHENATED}(?:\.[a-z0-9]{_LABELS})?)?\.[a-z]{{2,13}}"
 )
-URL = f"(?i:{URL_SCHEME}|{URL_DOMAIN})"
-EMAIL = rf"[a-zA-Z0-9.\-_']+@[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*\.[{WORD_CHARS}]{{2,}}"
+URL = rf"(?i:{URL_SCHEME}|{URL_DOMAIN_STEPS}(?::{D}{{2,5}})?/?(?!@))"
+EMAIL_HOST_LOOPS = r"[A-Za-z0-9][A-Za-z0-9\-]*(?:\.[A-Za-z0-9\-]+)*"
+EMAIL_HOST_STEPS = r"[A-Za-z0-9](?:(?!\.\.)[A-Za-z0-9.\-])*"
+EMAIL = rf"[a-zA-Z0-9.\-_']+@{EMAIL_HOST_STEPS}\.[{WORD_CHARS}]{{2,}}"
 HANDLE = r"[@\x{FF20}][a-zA-Z_][a-zA-Z_0-9]*"
 HASHTAG = rf"[#\x{{FF03}}][{WORD_CHARS}]+[{WORD_CHARS}'\-]*[{WORD_CHARS}]+"
 _FACE = (
@@ -163,7 +170,7 @@ _SMILEY = (
     r"[:=;](?:|-o?|[^a-zA-Z0-9 ]|[Oo]|\*|')"
     rf"(?:[D)\]]+|[(\[{{]+|[pPd3]+(?=[^{WORD_CHARS}]|\z)|(?:[oO]+|[/\\]+|[vV]+|[Ss]+|[|]+|@))"
 )
-HEARTS = "(?:<+/?3+)+"
+HEARTS = "(?:<+/?3+)++"
 EMOTICON = f"(?:{_FACE}|{_FACE_BARE}|{_SMILEY}|{HEARTS})"
 ARROW = rf"(?:<*[{HYPHEN_CHARS}=]*>+|<+[{HYPHEN_CHARS}=]*>*|[\x{{2190}}-\x{{21FF}}]+)"
 COPYRIGHT = r"[\x{A9}\x{AE}\x{2184}\x{2122}]"
@@ -241,3 +248,17 @@ ENTITY_KINDS: dict[str, str] = {
     "copyright": COPYRIGHT,
 }
 LOOKAHEAD_KINDS = ("version", "numeric", "url", "emoticon")
+
+
+def portable(pattern: str) -> str:
+    """The same language without lookbehinds and possessive loops, for other engines."""
+    for steps, loops in (
+        (URL_DOMAIN_STEPS, URL_DOMAIN_LOOPS),
+        (EMAIL_HOST_STEPS, EMAIL_HOST_LOOPS),
+        (f"{{0,{MAX_URL_PARENS}}}", "*"),
+        ("}++", "}+"),
+        (")++", ")+"),
+        (")*+", ")*"),
+    ):
+        pattern = pattern.replace(steps, loops)
+    return pattern

@@ -153,7 +153,7 @@ def normalize(tokens: Column, rules: Iterable[Rule] = ENTITY_RULES, markup: Iter
 
 def split_contractions(text: Column) -> Column:
     """A blank between stem and contraction: do n't, he 'll, y' all, 't was."""
-    out = F.regexp_replace(text, f"(?i)([a-z]+)({P.CONTRACTION}+)", "$1 $2")
+    out = F.regexp_replace(text, f"(?i)([a-z]+)({P.CONTRACTION}++)", "$1 $2")
     out = F.regexp_replace(out, f"(?i)\\b(y{P.APOSTROPHE})({P.LETTER}{{3,}})", "$1 $2")
     return F.regexp_replace(out, f"(?i)({P.APOSTROPHE}t)(is|was)", "$1 $2")
 

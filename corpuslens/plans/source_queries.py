@@ -84,20 +84,8 @@ def xml_sentences(spark, sf):
     leaves = F.array_join(F.transform("tokens", lambda t: F.concat(F.lit('<w c5="NN1">'), t, F.lit(" </w>"))), "")
     sentence = F.concat(F.lit('<s n="1">'), leaves, F.lit("</s>"))
     docs.select(F.concat(F.lit("<div>"), sentence, F.lit("</div>"))).write.text(f"{path}/part")
-    # the text sink names its files *.txt; the reader's own pattern is *.xml, so copy the names over
-    return flat(readers.read_xml_sentences(spark, renamed(spark, f"{path}/part", ".txt", ".xml"))).drop("path")
-
-
-def renamed(spark, folder, old, new):
-    """Gives the files of a folder written here another ending, through the file system's own API."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for status in fs.listStatus(root):
-        name = status.getPath().getName()
-        if name.endswith(old):
-            fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(root, name[: -len(old)] + new))
-    return folder
+    # the text sink names its files *.txt
+    return flat(readers.read_xml_sentences(spark, path, pattern="*.txt")).drop("path")
 
 
 def vertical_files(spark, sf):

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions import patterns as P
-from corpuslens.functions import stopwords
 from corpuslens.functions import text as T
 from corpuslens.operators import text as TX
 from corpuslens.operators.layout import spread_scan
@@ -15,8 +14,8 @@ from corpuslens.plans.vocabulary_queries import STOP
 
 def sql(pattern: str) -> str:
     """A pattern as SQL literal for a prefix test; lookaheads become consumed text."""
-    portable = pattern.replace("(?=", "(?:").replace("(?!@)", r"(?:[^@]|\z)")
-    return "'" + portable.replace("'", "''") + "'"
+    consumed = P.portable(pattern).replace("(?=", "(?:").replace("(?!@)", r"(?:[^@]|\z)")
+    return "'" + consumed.replace("'", "''") + "'"
 
 
 def begins(pattern: str, column: str = "token") -> str:
@@ -156,13 +155,10 @@ def extract_lookahead_entities(spark, sf):
     return TX.extract_entities(spread_scan(pages, "doc_id"), P.LOOKAHEAD_KINDS)
 
 
-SPLIT_SQL = "regexp_replace(replace(text, 'nt ', 'n''t '), {p}, '\\1 \\2', 'g')"
-
-
 @query(
     "t09_split_contractions",
     "WITH a AS (SELECT doc_id, regexp_replace(replace(replace(text, 'nt ', 'n''t '), 'es ', 'e''s '), "
-    + sql(f"(?i)([a-z]+)({P.CONTRACTION}+)")
+    + sql(f"(?i)([a-z]+)({P.CONTRACTION}++)")
     + ", '\\1 \\2', 'g') AS text FROM documents), b AS (SELECT doc_id, regexp_replace(text, "
     + sql(f"(?i)\\b(y{P.APOSTROPHE})({P.LETTER}{{3,}})")
     + ", '\\1 \\2', 'g') AS text FROM a) SELECT doc_id, regexp_replace(text, "
