@@ -51,7 +51,9 @@ SYMBOL = f"[{SYMBOL_CHARS}]"
 DOTS = rf"(?:\.\.\.|[\x{{85}}\x{{2025}}\x{{2026}}]|\.{SPACE}\.{SPACE}\.)"
 PUNCT_INSIDE = f"[{PUNCT_INSIDE_CHARS}]"
 PUNCT_END = rf"(?:\?!|[{PUNCT_END_CHARS}])"
-PUNCT = f"(?:{PUNCT_INSIDE}|{QUOTE}+|{BRACKET}|{DOTS}|{PUNCT_END}|{HYPHEN}+|{SYMBOL})"
+# Classes that give one-character tokens are tried together; '_' is left to the hyphens.
+_SINGLE_CHARS = PUNCT_INSIDE_CHARS + BRACKET_START_CHARS + BRACKET_END_CHARS + SYMBOL_CHARS.replace("_", "")
+PUNCT = f"(?:[{_SINGLE_CHARS}]|{QUOTE}+|{DOTS}|{PUNCT_END}|{HYPHEN}+)"
 
 # Numbers, dates, units.
 D = r"\p{Nd}"
@@ -99,7 +101,9 @@ ABBREVIATION_LIST = [
     "(?:ca|Figs?|prop|art|bldg|prop|pp|op|Conf|def|doc|ed|abbr|abbrv|abbrev)",
     "(?:Blvd|Rd|Ave|Apt|Ctr|Cts?|Hls?|Lk|Ln|Prt|Trl|Addr|Brit)",
 ]
-ABBREVIATION = rf"(?:{ABBREVIATION_SIMPLE}|(?i:{'|'.join(ABBREVIATION_LIST)})\.)"
+# Every listed form starts with two to seven letters and a dot; testing that first is cheap.
+ABBREVIATION_START = r"(?=[A-Za-z]{2,7}\.)"
+ABBREVIATION = rf"(?:{ABBREVIATION_SIMPLE}|{ABBREVIATION_START}(?i:{'|'.join(ABBREVIATION_LIST)})\.)"
 PROGRAMMING_LANGUAGE = r"[CF][\-+#]{1,2}"
 
 # Contractions.
@@ -255,6 +259,7 @@ def portable(pattern: str) -> str:
     for steps, loops in (
         (URL_DOMAIN_STEPS, URL_DOMAIN_LOOPS),
         (EMAIL_HOST_STEPS, EMAIL_HOST_LOOPS),
+        (ABBREVIATION_START, ""),
         (f"{{0,{MAX_URL_PARENS}}}", "*"),
         ("}++", "}+"),
         (")++", ")+"),

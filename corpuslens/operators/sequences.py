@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators.ordering import ordered_index, running_total
 
-TOP_K_ROWS = 1_000_000  # above this a limit is taken by position, not by one task
 BLOCK_TOKENS = 8192
 
 
@@ -176,14 +175,7 @@ def ngrams_flat_placed(placed: DataFrame, n: int, block: int = BLOCK_TOKENS) ->
     return grams.select((F.col("range") * block + F.col("i")).alias("idx"), "ngram")
 
 
-# -- rows in order ---------------------------------------------------------------
-
-
-def take(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    """The first n rows in `order`, all of them when there are fewer."""
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*order).limit(n)
-    return ordered_index(df, *order, name="_idx").where(F.col("_idx") < n).drop("_idx")
+# -- rows in order (see also ordering.take) --------------------------------------
 
 
 def skip(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import hashing, words
 from corpuslens.operators.lookup import hot_rows, lookup
-from corpuslens.operators.ordering import ordered_index
+from corpuslens.operators.ordering import TOP_K_ROWS, ordered_index, take
 
 UNK = "<unk>"
 MISSING = ("null", "drop", "unk", "error")
@@ -38,11 +38,11 @@ def merge_frequencies(*tables: DataFrame) -> DataFrame:
 
 def most_common(freqs: DataFrame, k: int) -> DataFrame:
     """The k most frequent tokens; equal counts are ordered by token."""
-    return freqs.orderBy(F.desc("freq"), "token").limit(k)
+    return take(freqs, k, F.desc("freq"), F.col("token"))
 
 
 def least_common(freqs: DataFrame, k: int) -> DataFrame:
-    return freqs.orderBy("freq", F.desc("token")).limit(k)
+    return take(freqs, k, F.col("freq"), F.desc("token"))
 
 
 def build_vocabulary(freqs: DataFrame, by: str = "freq") -> DataFrame:
@@ -120,8 +120,12 @@ def corpus_stats(corpus: DataFrame, k: int = 10) -> DataFrame:
 
 def rank_frequency(freqs: DataFrame, top: int = 1000) -> DataFrame:
     """Rank, frequency and their decimal logarithms for the `top` most frequent tokens."""
-    order = Window.orderBy(F.desc("freq"), "token")  # over `top` rows only
-    ranked = most_common(freqs, top).withColumn("rank", F.row_number().over(order))
+    best = most_common(freqs, top)
+    order = (F.desc("freq"), F.col("token"))
+    if top <= TOP_K_ROWS:
+        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # `top` rows
+    else:
+        ranked = ordered_index(best, *order, name="rank", start=1)
     return ranked.select(
         "rank", "token", "freq", F.log10("rank").alias("log_rank"), F.log10("freq").alias("log_freq")
     )

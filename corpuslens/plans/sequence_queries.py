@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from corpuslens.functions.words import words
 from corpuslens.operators import batching as B
 from corpuslens.operators import sequences as S
 from corpuslens.operators import vocabulary as V
+from corpuslens.operators.ordering import ordered_index, take
 from corpuslens.plans.registry import query, table
 from corpuslens.plans.vocabulary_queries import DOCS, FREQ, TOK, VOCAB, corpus, vocab
-from corpuslens.functions.words import words
 
 GLOBAL = f"{TOK}, seq AS (SELECT token, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM tok)"
 TURNS = r"""turns AS (SELECT conv_id, turn, conv_id || ':' || turn AS item,
@@ -103,7 +104,7 @@ def flatten(spark, sf):
 
 @query("q08_take", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn LIMIT 100")
 def take(spark, sf):
-    return S.take(table(spark, sf, "conversations").select("conv_id", "turn", "text"), 100, "conv_id", "turn")
+    return take(table(spark, sf, "conversations").select("conv_id", "turn", "text"), 100, "conv_id", "turn")
 
 
 @query("q09_skip", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn OFFSET 100")
@@ -166,7 +167,7 @@ def chain(spark, sf):
         (PARTITION BY idx // 100 ORDER BY md5('5:' || idx), idx) - 1 AS idx FROM turns""",
 )
 def shuffle(spark, sf):
-    rows = B.ordered_index(turns(spark, sf).drop("item"), "conv_id", "turn")
+    rows = ordered_index(turns(spark, sf).drop("item"), "conv_id", "turn")
     return B.shuffle(rows, 100, seed=5)
 
 
@@ -208,15 +209,14 @@ def parallel_sequences_random(spark, sf):
         p AS (SELECT doc_id, t, unnest(range(1, len(t) - 3)) AS i FROM e),
         g AS (SELECT array_to_string(t[i:i + 4], ' ') AS ngram,
               row_number() OVER (ORDER BY doc_id, i) - 1 AS idx FROM p)
-        SELECT CAST(ep AS INTEGER) AS epoch, idx // 256 AS batch, string_agg(ngram, ',' ORDER BY idx) AS items
+        SELECT CAST(ep AS INTEGER) AS epoch, idx // 256 AS batch, string_agg(ngram, ' ' ORDER BY idx) AS items
         FROM g, range(0, 2) r(ep) GROUP BY 1, 2""",
 )
 def to_ngrams(spark, sf):
     batches = B.ngram_batches(
         corpus(spark, sf), vocab(spark, sf), n=5, epochs=2, batch_size=256, shuffle_rows=False
     )
-    grams = F.transform("items", lambda g: F.array_join(g.cast("array<string>"), " "))
-    return batches.withColumn("items", F.array_join(grams, ","))
+    return batches.withColumn("items", F.array_join(F.flatten("items").cast("array<string>"), " "))
 
 
 @query("q17_to_ngrams_shuffled")
@@ -224,8 +224,7 @@ def to_ngrams_shuffled(spark, sf):
     batches = B.ngram_batches(
         corpus(spark, sf), vocab(spark, sf), n=5, batch_size=256, buffer_size=10_000, flatten=True, seed=3
     )
-    grams = F.transform("items", lambda g: F.array_join(g.cast("array<string>"), " "))
-    return batches.withColumn("items", F.array_join(grams, ","))
+    return batches.withColumn("items", F.array_join(F.flatten("items").cast("array<string>"), " "))
 
 
 @query(

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import batching as B
+from corpuslens.operators import ordering
 from corpuslens.operators import sequences as S
 from corpuslens.operators import vocabulary as V
 
@@ -45,10 +46,10 @@ def test_flat_ngrams_equal_brute_force(corpus, parts, block):
 
 def test_take_skip_and_range(spark, monkeypatch):
     rows = spark.range(10).withColumn("k", -F.col("id"))
-    assert [r.id for r in S.take(rows, 3, "k").collect()] == [9, 8, 7]
-    assert S.take(rows, 50, "k").count() == 10
-    monkeypatch.setattr(S, "TOP_K_ROWS", 1)
-    assert sorted(r.id for r in S.take(rows, 3, "k").collect()) == [7, 8, 9]
+    assert [r.id for r in ordering.take(rows, 3, "k").collect()] == [9, 8, 7]
+    assert ordering.take(rows, 50, "k").count() == 10
+    monkeypatch.setattr(ordering, "TOP_K_ROWS", 1)
+    assert sorted(r.id for r in ordering.take(rows, 3, "k").collect()) == [7, 8, 9]
     assert sorted(r.id for r in S.skip(rows, 7, "id").collect()) == [7, 8, 9]
     assert S.skip(rows, None, "id").count() == 0
     assert sorted(r.id for r in S.row_range(rows, 2, 4, "id").collect()) == [2, 3]
