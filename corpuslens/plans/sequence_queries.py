@@ -197,7 +197,20 @@ def parallel_sequences(spark, sf):
     return cut.withColumns(spaced("inputs", "targets"))
 
 
-@query("q16_parallel_sequences_random")
+HASH = "('0x' || substr(md5('1:' || segment{salt}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+
+
+@query(
+    "q16_parallel_sequences_random",
+    f"""WITH {TURN_SEQ}, k AS (SELECT segment, {HASH.format(salt='')} AS u,
+          greatest({HASH.format(salt=" || ':r'")}, 1e-10::DOUBLE) AS u1, {HASH.format(salt=" || ':t'")} AS u2
+          FROM m, range(0, m) r(segment)),
+        l AS (SELECT segment, greatest(5, CAST(trunc((CASE WHEN u < 0.95::DOUBLE THEN 20 ELSE 10 END)
+          + 5 * sqrt(-2 * ln(u1)) * cos(2 * pi() * u2)) AS BIGINT)) AS len FROM k),
+        c AS (SELECT segment, CAST(sum(len) OVER (ORDER BY segment) AS BIGINT) - len AS lower, len FROM l)
+        SELECT segment, stream, string_agg(token, ' ' ORDER BY col) AS inputs, string_agg(nxt, ' ' ORDER BY col) AS targets
+        FROM n ASOF JOIN c ON n.col >= c.lower WHERE col < m - 1 GROUP BY 1, 2""",
+)
 def parallel_sequences_random(spark, sf):
     cut = B.parallel_sequences(turn_corpus(spark, sf), 8, 20, "conv_id", "turn", min_len=5, seq_prob=0.95, seed=1)
     return cut.withColumns(spaced("inputs", "targets"))
@@ -219,7 +232,15 @@ def to_ngrams(spark, sf):
     return batches.withColumn("items", F.array_join(F.flatten("items").cast("array<string>"), " "))
 
 
-@query("q17_to_ngrams_shuffled")
+@query(
+    "q17_to_ngrams_shuffled",
+    f"""WITH {VOCAB}, seq AS (SELECT id, row_number() OVER (ORDER BY doc_id, pos) - 1 AS g FROM tok JOIN vocab USING (token)),
+        w AS (SELECT g AS idx, id || ' ' || lead(id, 1) OVER o || ' ' || lead(id, 2) OVER o || ' ' || lead(id, 3) OVER o
+              || ' ' || lead(id, 4) OVER o AS ngram FROM seq WINDOW o AS (ORDER BY g)),
+        p AS (SELECT ngram, (idx // 10000) * 10000 + row_number() OVER
+              (PARTITION BY idx // 10000 ORDER BY md5('3:0:' || idx), idx) - 1 AS at FROM w WHERE ngram IS NOT NULL)
+        SELECT 0 AS epoch, at // 256 AS batch, string_agg(ngram, ' ' ORDER BY at) AS items FROM p GROUP BY 2""",
+)
 def to_ngrams_shuffled(spark, sf):
     batches = B.ngram_batches(
         corpus(spark, sf), vocab(spark, sf), n=5, batch_size=256, buffer_size=10_000, flatten=True, seed=3

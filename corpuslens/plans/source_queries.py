@@ -13,7 +13,7 @@ from corpuslens.operators import vocabulary as V
 from corpuslens.plans.index_queries import K, PROFILE_SQL, RI_SQL, accumulated_sql
 from corpuslens.plans.index_queries import S as ACTIVE
 from corpuslens.plans.registry import query, table
-from corpuslens.plans.text_queries import LISTED
+from corpuslens.plans.text_queries import ENTITIES, LISTED
 from corpuslens.plans.vocabulary_queries import DOCS, FREQ, TOK, VOCAB, corpus, vocab
 from corpuslens.session import scratch_path
 from corpuslens.sources import readers, stores
@@ -312,7 +312,7 @@ def stream_tokenize(spark, sf):
     return ST.stream_rows(tokens, scratch_path(spark, "st4"))(spark)
 
 
-@query("st4_stream_entities")
+@query("st4_stream_entities", ENTITIES)
 def stream_entities(spark, sf):
     found = TX.extract_entities(document_stream(spark, sf), LISTED)
     return ST.stream_rows(found, scratch_path(spark, "st4"))(spark)

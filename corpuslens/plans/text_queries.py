@@ -135,14 +135,15 @@ SQL_KINDS = [k for k in P.ENTITY_KINDS if k not in P.LOOKAHEAD_KINDS]
 LISTED = [k for k in SQL_KINDS if k not in ("letter", "word", "whitespace", "punct", "punct_inside", "punct_end")]
 
 
+ENTITIES = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {sql(P.ENTITY_KINDS[k])})) AS value FROM documents"
+    for k in LISTED
+)
+
+
 @query(
     "t08_extract_entities",
-    "WITH x AS ("
-    + " UNION ALL ".join(
-        f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {sql(P.ENTITY_KINDS[k])})) AS value FROM documents"
-        for k in LISTED
-    )
-    + ") SELECT doc_id, kind, value, count(*) AS n FROM x GROUP BY ALL",
+    f"WITH x AS ({ENTITIES}) SELECT doc_id, kind, value, count(*) AS n FROM x GROUP BY ALL",
 )
 def extract_entities(spark, sf):
     found = TX.extract_entities(documents(spark, sf), LISTED)
