@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def task_count(df: DataFrame) -> int:
@@ -11,13 +12,14 @@ def task_count(df: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
 
 
-def place(df: DataFrame, *keys: str) -> DataFrame:
+def place(df: DataFrame, *keys: str, growth: int = 1) -> DataFrame:
     """Hash-partitions compact rows by `keys` before they are multiplied.
 
     The number is explicit: adaptive execution would merge partitions that are small
-    now but large after the explode.
+    now but large after the explode.  `growth` adds partitions for rows that will take
+    that much more memory.
     """
-    return df.repartition(task_count(df), *keys)
+    return df.repartition(task_count(df) * growth, *keys)
 
 
 def spread_scan(scan: DataFrame, *keys: str) -> DataFrame:
@@ -27,3 +29,13 @@ def spread_scan(scan: DataFrame, *keys: str) -> DataFrame:
     """
     splits = scan.rdd.getNumPartitions()
     return scan if splits > scan.sparkSession.sparkContext.defaultParallelism else place(scan, *keys)
+
+
+def generate(df: DataFrame, keep: list, generator: Column, *names: str) -> DataFrame:
+    """Rows of an outer generator (``explode_outer`` and the like) without its empty rows.
+
+    For a plain explode Spark infers a filter on the array's size and evaluates the
+    array expression a second time for it; that doubles the cost of a tokenizer.
+    """
+    rows = df.select(*keep, generator.alias(*names))
+    return rows.where(F.col(names[0]).isNotNull())

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import hashing
 from corpuslens.functions import random_index as R
-from corpuslens.operators.layout import place
+from corpuslens.operators.layout import generate, place
 from corpuslens.operators.ordering import running_total
 
 
@@ -25,10 +25,9 @@ def index_signs(signs: DataFrame, k: int, s: int, seed: int = 0, symmetric: bool
 
 def to_coo(df: DataFrame, row: str, ri: str = "ri", all_positive: bool = False) -> DataFrame:
     """``(row, idx, v)``: one row per non-zero cell."""
-    # outer: a plain explode makes Spark evaluate the vector once more as a filter
-    cells = df.select(F.col(row).alias("row"), F.explode_outer(R.sorted_cells(F.col(ri))).alias("c"))
-    value = F.abs(F.col("c.v")) if all_positive else F.col("c.v")
-    return cells.where("c is not null").select("row", F.col("c.idx").alias("idx"), value.cast("float").alias("v"))
+    cells = generate(df, [F.col(row).alias("row")], F.inline_outer(R.sorted_cells(F.col(ri))), "idx", "v")
+    value = F.abs("v") if all_positive else F.col("v")
+    return cells.select("row", "idx", value.cast("float").alias("v"))
 
 
 def gather(coo: DataFrame, rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.operators.layout import generate
 from corpuslens.operators.ordering import ordered_index, running_total
 
 BLOCK_TOKENS = 8192
@@ -53,9 +54,8 @@ def shifted_pairs(tokens: Column, distance: int) -> Column:
 
 def context_windows(corpus: DataFrame, size: int) -> DataFrame:
     """``(doc_id, pos, left, target, right)``, one row per token."""
-    return corpus.select("doc_id", F.posexplode(window_array(F.col("tokens"), size)).alias("pos", "w")).select(
-        "doc_id", "pos", "w.left", "w.target", "w.right"
-    )
+    rows = generate(corpus, ["doc_id"], F.posexplode_outer(window_array(F.col("tokens"), size)), "pos", "w")
+    return rows.select("doc_id", "pos", "w.left", "w.target", "w.right")
 
 
 def context_pairs(corpus: DataFrame, size: int) -> DataFrame:
@@ -65,7 +65,7 @@ def context_pairs(corpus: DataFrame, size: int) -> DataFrame:
     """
     tokens = F.col("tokens")
     ahead = F.flatten(F.array(*[shifted_pairs(tokens, d) for d in range(1, size + 1)]))
-    one_way = corpus.select("doc_id", F.explode(ahead).alias("p")).select("doc_id", "p.*")
+    one_way = generate(corpus, ["doc_id"], F.inline_outer(ahead), "target", "context", "offset")
     both = F.array(
         F.struct("target", "context", "offset"),
         F.struct(F.col("context").alias("target"), F.col("target").alias("context"), (-F.col("offset")).alias("offset")),
@@ -75,7 +75,7 @@ def context_pairs(corpus: DataFrame, size: int) -> DataFrame:
 
 def ngrams(corpus: DataFrame, n: int) -> DataFrame:
     """``(doc_id, i, ngram)``: n-grams inside each sentence."""
-    return corpus.select("doc_id", F.posexplode(ngram_array(F.col("tokens"), n)).alias("i", "ngram"))
+    return generate(corpus, ["doc_id"], F.posexplode_outer(ngram_array(F.col("tokens"), n)), "i", "ngram")
 
 
 def adjacent_pairs(corpus: DataFrame) -> DataFrame:
@@ -130,14 +130,17 @@ def pieces(placed: DataFrame, first: Column, last: Column, lower, upper, items:
     the ranges a row can touch.  Gives ``(range, at, part)``.
     """
     begin, n = F.col("start"), F.size(items)
-    touched = placed.where(n > 0).select("start", items, F.explode(F.sequence(first, last)).alias("range"))
-    r = F.col("range")
-    at, end = F.greatest(begin, lower(r)), F.least(begin + n, upper(r))
-    return touched.where(end > at).select(
-        "range",
-        at.alias("at"),
-        F.slice(items, (at - begin + 1).cast("int"), (end - at).cast("int")).alias("part"),
-    )
+
+    def part(r: Column) -> Column:
+        at, end = F.greatest(begin, lower(r)), F.least(begin + n, upper(r))
+        length = F.greatest(end - at, F.lit(0)).cast("int")
+        return F.struct(
+            r.alias("range"), at.alias("at"), F.slice(items, (at - begin + 1).cast("int"), length).alias("part")
+        )
+
+    # cut inside the row: exploding range numbers would copy the whole array per range
+    cut = F.when(n > 0, F.transform(F.sequence(first, last), part))
+    return generate(placed, [], F.inline_outer(cut), "range", "at", "part").where(F.size("part") > 0)
 
 
 def joined_parts(parts: DataFrame, *keys: str) -> DataFrame:
@@ -171,7 +174,7 @@ def ngrams_flat(corpus: DataFrame, n: int, *order: str, block: int = BLOCK_TOKEN
 def ngrams_flat_placed(placed: DataFrame, n: int, block: int = BLOCK_TOKENS) -> DataFrame:
     """The same for a corpus that already carries `start`."""
     cut = blocks_placed(placed, block, n - 1)
-    grams = cut.select("range", F.posexplode(ngram_array(F.col("tokens"), n)).alias("i", "ngram"))
+    grams = generate(cut, ["range"], F.posexplode_outer(ngram_array(F.col("tokens"), n)), "i", "ngram")
     return grams.select((F.col("range") * block + F.col("i")).alias("idx"), "ngram")
 
 

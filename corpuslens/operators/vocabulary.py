@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import hashing, words
+from corpuslens.operators.layout import generate
 from corpuslens.operators.lookup import hot_rows, lookup
 from corpuslens.operators.ordering import TOP_K_ROWS, ordered_index, take
 
@@ -23,12 +24,16 @@ MISSING = ("null", "drop", "unk", "error")
 
 def token_stream(corpus: DataFrame) -> DataFrame:
     """``(doc_id, pos, token)``, one row per token."""
-    return corpus.select("doc_id", F.posexplode("tokens").alias("pos", "token"))
+    return generate(corpus, ["doc_id"], F.posexplode_outer("tokens"), "pos", "token")
 
 
 def word_frequencies(corpus: DataFrame) -> DataFrame:
     """Occurrences of each token."""
-    return corpus.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    return tokens_only(corpus).groupBy("token").agg(F.count("*").alias("freq"))
+
+
+def tokens_only(corpus: DataFrame) -> DataFrame:
+    return generate(corpus, [], F.explode_outer("tokens"), "token")
 
 
 def merge_frequencies(*tables: DataFrame) -> DataFrame:
@@ -181,7 +186,7 @@ def encode_stream(stream: DataFrame, vocab: DataFrame) -> DataFrame:
 
 def decode_ids(encoded: DataFrame, vocab: DataFrame) -> DataFrame:
     """Ids back to tokens, null where the id does not exist."""
-    stream = encoded.select("doc_id", F.posexplode("ids").alias("pos", "key"))
+    stream = generate(encoded, ["doc_id"], F.posexplode_outer("ids"), "pos", "key")
     stream = stream.withColumn("key", F.col("key").cast("string"))
     names = vocab.select(F.col("id").cast("string").alias("key"), "token", "freq")
     hot = hot_rows(names).select("key", "token")
@@ -276,7 +281,7 @@ def hash_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 0) -> Da
 
 def approximate_stats(corpus: DataFrame, rsd: float = 0.01) -> DataFrame:
     """Approximate number of distinct tokens and exact number of occurrences in one pass."""
-    return corpus.select(F.explode("tokens").alias("token")).agg(
+    return tokens_only(corpus).agg(
         F.approx_count_distinct("token", rsd).alias("approx_unique_words"), F.count("*").alias("total_words")
     )
 
@@ -287,7 +292,7 @@ def heavy_hitters(corpus: DataFrame, share: float = 0.005) -> DataFrame:
     Frequent items come from one sketching pass; their counts are exact, taken in a
     second pass over those few candidates (fewer than 2 / share of them).
     """
-    stream = corpus.select(F.explode("tokens").alias("token"))
+    stream = tokens_only(corpus)
     total = stream.agg(F.count("*")).scalar()
     found = stream.freqItems(["token"], share / 2).select(F.explode("token_freqItems").alias("token"))
     counts = stream.join(F.broadcast(found), "token", "left_semi").groupBy("token").agg(F.count("*").alias("freq"))

@@ -103,7 +103,7 @@ def flatten(spark, sf):
 
 
 @query("q08_take", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn LIMIT 100")
-def take(spark, sf):
+def take_rows(spark, sf):
     return take(table(spark, sf, "conversations").select("conv_id", "turn", "text"), 100, "conv_id", "turn")
 
 
@@ -238,8 +238,8 @@ def to_ngrams(spark, sf):
         w AS (SELECT g AS idx, id || ' ' || lead(id, 1) OVER o || ' ' || lead(id, 2) OVER o || ' ' || lead(id, 3) OVER o
               || ' ' || lead(id, 4) OVER o AS ngram FROM seq WINDOW o AS (ORDER BY g)),
         p AS (SELECT ngram, (idx // 10000) * 10000 + row_number() OVER
-              (PARTITION BY idx // 10000 ORDER BY md5('3:0:' || idx), idx) - 1 AS at FROM w WHERE ngram IS NOT NULL)
-        SELECT 0 AS epoch, at // 256 AS batch, string_agg(ngram, ' ' ORDER BY at) AS items FROM p GROUP BY 2""",
+              (PARTITION BY idx // 10000 ORDER BY md5('3:0:' || idx), idx) - 1 AS spot FROM w WHERE ngram IS NOT NULL)
+        SELECT 0 AS epoch, spot // 256 AS batch, string_agg(ngram, ' ' ORDER BY spot) AS items FROM p GROUP BY 2""",
 )
 def to_ngrams_shuffled(spark, sf):
     batches = B.ngram_batches(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import patterns as P
 from corpuslens.functions import text as T
 from corpuslens.operators import text as TX
+from corpuslens.operators import vocabulary as V
 from corpuslens.operators.layout import spread_scan
 from corpuslens.plans.registry import query, table
 from corpuslens.plans.vocabulary_queries import STOP
@@ -39,7 +40,7 @@ def raw_corpus(spark, sf):
 
 
 def raw_counts(spark, sf):
-    return raw_corpus(spark, sf).select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return V.word_frequencies(raw_corpus(spark, sf)).withColumnRenamed("freq", "n")
 
 
 @query("t01_tokenize")

@@ -41,7 +41,7 @@ def stream_word_frequencies(stream: DataFrame, state: str) -> Callable[[SparkSes
     The state store keeps the counts; each batch writes only the tokens it changed, and
     a token's current count is the one of its latest batch.
     """
-    counts = stream.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    counts = V.word_frequencies(stream)
     table = f"{state}/table"
     _run(counts.writeStream.outputMode("update").foreachBatch(lambda df, b: _replace_batch(df, table, b)), state)
 
@@ -81,8 +81,7 @@ def stream_vocabulary(stream: DataFrame, state: str) -> Callable[[SparkSession],
 
     def write(df: DataFrame, batch_id: int) -> None:
         old = earlier(df.sparkSession, batch_id)
-        tokens = df.select(F.explode("tokens").alias("token"))
-        _replace_batch(V.new_signs(old, tokens), table, batch_id)
+        _replace_batch(V.new_signs(old, V.tokens_only(df)), table, batch_id)
 
     _run(stream.writeStream.foreachBatch(write), state)
     return lambda spark: spark.read.schema("token string, id long, batch_id long").parquet(table).select("token", "id")
