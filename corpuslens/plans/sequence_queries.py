@@ -107,9 +107,9 @@ def take_rows(spark, sf):
     return take(table(spark, sf, "conversations").select("conv_id", "turn", "text"), 100, "conv_id", "turn")
 
 
-@query("q09_skip", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn OFFSET 100")
+@query("q09_skip", "SELECT conv_id, turn, text FROM conversations ORDER BY conv_id, turn OFFSET 20")
 def skip(spark, sf):
-    return S.skip(table(spark, sf, "conversations").select("conv_id", "turn", "text"), 100, "conv_id", "turn")
+    return S.skip(table(spark, sf, "conversations").select("conv_id", "turn", "text"), 20, "conv_id", "turn")
 
 
 @query(
