@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from corpuslens.functions import random_index as R
 from corpuslens.operators import context as C
 from corpuslens.operators import random_index as RI
-from corpuslens.operators import vocabulary as V
 from corpuslens.plans.registry import query, table
-from corpuslens.plans.vocabulary_queries import DOCS, FREQ, TOK, VOCAB, corpus, freqs, vocab
+from corpuslens.plans.vocabulary_queries import DOCS, FREQ, VOCAB, corpus, freqs, vocab
 
 K, S = 1000, 10
 
