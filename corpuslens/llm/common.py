@@ -53,3 +53,31 @@ def words_of(text: Column | str) -> Column:
 def ascii_lower(text: Column | str) -> Column:
     text = F.col(text) if isinstance(text, str) else text
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+PREFIX_BLOCK = 256
+
+
+def let(value: Column, body) -> Column:
+    """`body(value)` with `value` evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _sum(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
+
+
+def sums_before(numbers: Column) -> Column:
+    """For each element the sum of those before it, in two levels so that long arrays stay cheap."""
+    blocks = F.transform(
+        F.sequence(F.lit(0), (F.size(numbers) / PREFIX_BLOCK).cast("int")),
+        lambda b: _sum(F.slice(numbers, b * PREFIX_BLOCK + 1, PREFIX_BLOCK)),
+    )
+    return let(
+        F.struct(numbers.alias("n"), blocks.alias("b")),
+        lambda s: F.transform(
+            s["n"],
+            lambda _, i: _sum(F.slice(s["b"], 1, F.floor(i / PREFIX_BLOCK).cast("int")))
+            + _sum(F.slice(s["n"], F.floor(i / PREFIX_BLOCK).cast("int") * PREFIX_BLOCK + 1, i % PREFIX_BLOCK)),
+        ),
+    )
