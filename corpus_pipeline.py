@@ -1,30 +1,61 @@
-"""The corpus pipeline: documents in, shards of a clean mix out."""
+"""The corpus pipeline: documents in, byte-balanced shards of a clean mix out.
+
+Each stage works on all rows the one before has kept; its result is written and read again.
+Stages that filter return the documents' own columns, whatever they are; the last one adds
+``shard`` and ``slot``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpuslens.llm import mixing, sharding
-from corpuslens.llm.common import stored
+from corpuslens.llm import decontamination, mixing, near_duplicates, sharding, toxicity
+from corpuslens.llm.common import stored, table
+
+SHINGLE = 5  # words
+SHARDS = 8
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity classifier rejects go."""
+    return toxicity.without_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays."""
+    return near_duplicates.deduplicated(docs, width=SHINGLE)
+
+
+def without_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a passage of a benchmark item go."""
+    return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that sources reach their target shares of words."""
     return mixing.mix(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs)
+    """Every document gets its shard and its slot there."""
+    return sharding.shard_documents(docs, SHARDS)
 
 
-STAGES = [("mixing", mixed_sources), ("sharding", sharded)]
+STAGES = [
+    ("toxicity", without_toxic),
+    ("near_duplicates", without_near_duplicates),
+    ("decontamination", without_benchmark_passages),
+    ("mixing", mixed_sources),
+    ("sharding", sharded),
+]
 
-# The classifier of the first stage is trained; SQL cannot express it.
+# The first stage's classifier is trained, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on the documents; what a stage returns is written and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, one after the other, on the documents of `sf_dir`."""
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

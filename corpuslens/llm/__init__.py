@@ -1 +1,8 @@
 """Operators of a training-data pipeline; nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to tasks by value, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

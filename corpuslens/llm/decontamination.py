@@ -36,12 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import ascii_lower, stored
+from corpuslens.llm.common import ascii_lower, stored, unpacked, whole
 
 WORD_RULE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # after lower-casing A-Z
 WORD_BYTES = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WINDOW = 10
 SEGMENT_WORDS = 1 << 20
+BROADCAST_ROWS = 500_000
 BLOCK_WORDS = 1 << 22  # test words matched at a time; bounds what travels with a task
 
 SEGMENT = (
@@ -214,6 +215,26 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, bloc
 
     Documents without a match have empty arrays.
     """
+    found = _phrases(docs, items, length, block_words)
+    return found.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, length: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The documents in which no window of an item occurs.
+
+    Texts are matched under a digest of id and text, so rows with equal ids are told apart.
+    The table of contaminated digests is broadcast only when it is counted to be small.
+    """
+    keyed = docs.select(whole(docs), F.md5(F.concat_ws(":", "doc_id", "text")).alias("_mark"))
+    texts = docs.select(F.md5(F.concat_ws(":", "doc_id", "text")).alias("doc_id"), "text")
+    hit = _phrases(texts, items, length, block_words).where(F.size("hits") > 0).select(F.col("doc_id").alias("_mark"))
+    hit = stored(hit.distinct(), "contaminated")
+    small = hit.count() <= BROADCAST_ROWS
+    return unpacked(keyed.join(F.broadcast(hit) if small else hit, "_mark", "left_anti"))
+
+
+def _phrases(docs: DataFrame, items: DataFrame, length: int, block_words: int) -> DataFrame:
+    """``phrase_matches`` with ids as text."""
 
     def find(row: dict, segment: Segment, lookups) -> pd.DataFrame:
         terms, offsets, lengths, items, padded = lookups
@@ -245,7 +266,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, length: int = WINDOW, bloc
     # One row per document and block of windows; the hits of all blocks are joined.
     found = _matches(docs, items, find, MATCH, length, block_words).groupBy("segment", "ordinal")
     merged = found.agg(
-        F.min("doc_id").cast("long").alias("doc_id"),
+        F.min("doc_id").alias("doc_id"),
         F.min("n_words").alias("n_words"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
