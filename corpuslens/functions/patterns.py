@@ -146,12 +146,17 @@ SUBJECT_CONTRACTION = f"(?i:[a-z]+{CONTRACTION}++)"
 _URL_CHAR = rf"[^{SPACE_CHARS}()<>{{}}\[\]]"
 _URL_PARENS = rf"\([^{SPACE_CHARS}]+?\)"
 _URL_LAST = rf"""[^{SPACE_CHARS}`!()\[\]{{}};:'".,<>?\x{{AB}}\x{{BB}}\x{{201C}}\x{{201D}}\x{{2018}}\x{{2019}}]"""
-MAX_URL_PARENS = 250  # parenthesised parts in one address; bounds the depth of recursion
-URL_SCHEME = (
-    r"(?:(?:https?:|[A-z]{2,}:)(?:/{1,3}|[a-z0-9%])|[a-z0-9.\-]+\.[a-z]{2,13}/)"
-    rf"(?:{_URL_CHAR}|{_URL_PARENS}){_URL_CHAR}*(?:{_URL_PARENS}{_URL_CHAR}*){{0,{MAX_URL_PARENS}}}"
-    rf"(?:{_URL_PARENS}|{_URL_LAST})"
+URL_BODY_LOOPS = (
+    rf"(?:{_URL_CHAR}|{_URL_PARENS}){_URL_CHAR}*(?:{_URL_PARENS}{_URL_CHAR}*)*(?:{_URL_PARENS}|{_URL_LAST})"
 )
+# The same in possessive steps, which take no stack: a part in parentheses is as short as the
+# rest of the address allows, and only the last part may end where no address can go on.
+_URL_PARENS_ON = rf"{_URL_PARENS}(?={_URL_CHAR}*(?:{_URL_PARENS}|{_URL_LAST}))"
+URL_BODY_STEPS = (
+    rf"(?:{_URL_CHAR}|{_URL_PARENS_ON})"
+    rf"(?:(?:{_URL_CHAR}*(?:{_URL_PARENS_ON}|{_URL_LAST}))++(?:{_URL_CHAR}*{_URL_PARENS})?|{_URL_CHAR}*{_URL_PARENS})"
+)
+URL_SCHEME = rf"(?:(?:https?:|[A-z]{{2,}}:)(?:/{{1,3}}|[a-z0-9%])|[a-z0-9.\-]+\.[a-z]{{2,13}}/){URL_BODY_STEPS}"
 # Labels between dots, one of them with hyphens, then a top-level domain.
 URL_DOMAIN_LOOPS = r"[a-z0-9]+(?:\.[a-z0-9]+)*(?:(?:-[a-z0-9]+)+(?:\.[a-z0-9]+)*)?\.[a-z]{2,13}"
 _LABELS = r"(?:(?!\.\.)[a-z0-9.])*"
@@ -179,7 +184,7 @@ EMOTICON = f"(?:{_FACE}|{_FACE_BARE}|{_SMILEY}|{HEARTS})"
 ARROW = rf"(?:<*[{HYPHEN_CHARS}=]*>+|<+[{HYPHEN_CHARS}=]*>*|[\x{{2190}}-\x{{21FF}}]+)"
 COPYRIGHT = r"[\x{A9}\x{AE}\x{2184}\x{2122}]"
 
-# Token rules in the order in which they are tried.
+# Token rules in the order in which they are tried.
 TOKEN_RULES: list[tuple[str, str]] = [
     ("SPACES", SPACES),
     ("URL", URL),
@@ -257,10 +262,10 @@ LOOKAHEAD_KINDS = ("version", "numeric", "url", "emoticon")
 def portable(pattern: str) -> str:
     """The same language without lookbehinds and possessive loops, for other engines."""
     for steps, loops in (
+        (URL_BODY_STEPS, URL_BODY_LOOPS),
         (URL_DOMAIN_STEPS, URL_DOMAIN_LOOPS),
         (EMAIL_HOST_STEPS, EMAIL_HOST_LOOPS),
         (ABBREVIATION_START, ""),
-        (f"{{0,{MAX_URL_PARENS}}}", "*"),
         ("}++", "}+"),
         (")++", ")+"),
         (")*+", ")*"),

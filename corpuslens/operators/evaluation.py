@@ -4,21 +4,28 @@ from __future__ import annotations
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import vectors as VX
 from corpuslens.operators.ordering import running_total
+from corpuslens.session import checkpoint_dir
 
 MAX_FAILURES = 3
+SALTS = 16
 
 
 def word_vectors(coo: DataFrame, matrix: DataFrame) -> DataFrame:
-    """``(row, j, value)``: sparse rows ``(row, idx, v)`` times a matrix ``(idx, vector)``."""
-    cells = matrix.select("idx", F.posexplode("vector").alias("j", "e"))
-    return coo.join(cells, "idx").groupBy("row", "j").agg(F.sum(F.col("v") * F.col("e")).alias("value"))
+    """``(row, j, value)``: sparse rows ``(row, idx, v)`` times a matrix ``(idx, vector)``.
+
+    The matrix has few rows, each wanted by many words, so each is offered to several tasks.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    cells = matrix.select("idx", "vector", salts).select("idx", "_salt", F.posexplode("vector").alias("j", "e"))
+    dealt = coo.withColumn("_salt", F.pmod(F.hash("row"), F.lit(SALTS)))
+    return dealt.join(cells, ["idx", "_salt"]).groupBy("row", "j").agg(F.sum(F.col("v") * F.col("e")).alias("value"))
 
 
 def l2_normalize(vectors: DataFrame, vector: str = "vector") -> DataFrame:
@@ -66,7 +73,9 @@ def average_ranks(counts: DataFrame, by: str, value: str) -> DataFrame:
 
 def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
     """Rank correlation of x and y per group, with average ranks for ties."""
-    counts = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(by, x, y).agg(F.count("*").alias("_m"))
+    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    checkpoint_dir(df.sparkSession)
+    counts = known.groupBy(by, x, y).agg(F.count("*").alias("_m")).checkpoint()  # read three times
     ranked = counts.join(average_ranks(counts, by, x), [by, x]).join(average_ranks(counts, by, y), [by, y])
     rx, ry, m = F.col(f"_r_{x}"), F.col(f"_r_{y}"), F.col("_m")  # ranks minus their mean
     sums = ranked.groupBy(by).agg(
@@ -77,29 +86,38 @@ def spearman(df: DataFrame, x: str, y: str, by: str) -> DataFrame:
 
 
 def pca(vectors: DataFrame, components: int = 2, vector: str = "vector") -> DataFrame:
-    """Projection on the principal components as `projected`."""
+    """Projection on the principal components as `projected`.
+
+    Each component's sign is chosen so that its largest entry is positive.  The covariance
+    matrix, dimension squared, is on the driver.
+    """
     rows = vectors.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
     model = PCA(k=components, inputCol="_v", outputCol="_p").fit(rows)
-    return model.transform(rows).withColumn("projected", vector_to_array("_p")).drop("_v", "_p", vector)
+    signs = [-1.0 if max(c, key=abs) < 0 else 1.0 for c in model.pc.toArray().T.tolist()]
+    turned = F.zip_with(vector_to_array("_p"), F.lit(signs), lambda x, sign: x * sign)
+    return model.transform(rows).withColumn("projected", turned).drop("_v", "_p", vector)
 
 
 def right_singular_vectors(vectors: DataFrame, r: int, vector: str = "vector"):
     """The r largest singular values and their right vectors (one array per component).
 
-    Each vector's sign is chosen so that its largest entry is positive.
+    Each vector's sign is chosen so that its largest entry is positive.  The driver holds
+    r vectors of the dimension.
     """
-    rows = vectors.select(F.col(vector).cast("array<double>").alias("v")).rdd.map(lambda row: Vectors.dense(row["v"]))
-    svd = RowMatrix(rows).computeSVD(r)
+    dense = vectors.select(array_to_vector(F.col(vector).cast("array<double>")).alias("v"))
+    svd = RowMatrix(MLUtils.convertVectorColumnsFromML(dense, "v")).computeSVD(r)  # rows stay in the JVM
     components = svd.V.toArray().T.tolist()
     flipped = [[-x for x in c] if max(c, key=abs) < 0 else c for c in components]
     return list(svd.s), flipped
 
 
 def truncated_svd(vectors: DataFrame, r: int, vector: str = "vector") -> DataFrame:
-    """U_r * S_r as `projected`: rows times the right singular vectors."""
+    """U_r * S_r as `projected`: rows times the right singular vectors, which are one broadcast row."""
     _, components = right_singular_vectors(vectors, r, vector)
-    projected = F.array(*[VX.dot(F.col(vector), F.lit(c)) for c in components])
-    return vectors.withColumn("projected", projected).drop(vector)
+    held = vectors.sparkSession.createDataFrame([(components,)], "v array<array<double>>").scalar()
+    with_v = vectors.withColumn("_v", held)
+    projected = F.transform("_v", lambda c: VX.dot(F.col(vector), c))
+    return with_v.withColumn("projected", projected).drop(vector, "_v")
 
 
 def value_histogram(vectors: DataFrame, key: str, low: float, high: float, bins: int, vector: str = "vector") -> DataFrame:

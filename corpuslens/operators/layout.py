@@ -32,7 +32,10 @@ def spread_scan(scan: DataFrame, *keys: str) -> DataFrame:
 
 
 def generate(df: DataFrame, keep: list, generator: Column, *names: str) -> DataFrame:
-    """Rows of an outer generator (``explode_outer`` and the like) without its empty rows.
+    """Rows of an outer generator (``posexplode_outer`` and the like) without its empty rows.
+
+    The first name must be a column that the generator never makes null, such as a
+    position: null elements are rows, only empty arrays are not.
 
     For a plain explode Spark infers a filter on the array's size and evaluates the
     array expression a second time for it; that doubles the cost of a tokenizer.

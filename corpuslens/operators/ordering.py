@@ -20,7 +20,6 @@ from corpuslens.session import checkpoint_dir
 
 PARTITION, ROW = "_pid", "_row"
 ROW_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
-TOP_K_ROWS = 10_000  # a larger limit is taken by position: a top-k sends k rows of every task to one
 
 
 def frozen_order(df: DataFrame, *order: Column | str) -> DataFrame:
@@ -64,7 +63,9 @@ def running_total(df: DataFrame, *order: Column | str, value: str, name: str = "
 
 
 def take(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
-    """The first n rows in `order` (unique), all of them when there are fewer."""
-    if n <= TOP_K_ROWS:
-        return df.orderBy(*order).limit(n)
-    return ordered_index(df, *order, name="_idx").where(F.col("_idx") < n).drop("_idx")
+    """The first n rows in `order` (unique), all of them when there are fewer.
+
+    Spark takes a small limit as a top-k of every task and a large one from a sorted
+    table, as ``spark.sql.execution.topKSortFallbackThreshold`` says.
+    """
+    return df.orderBy(*order).limit(n)

@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 from corpuslens.functions import hashing
 from corpuslens.functions import random_index as R
 from corpuslens.operators.layout import generate, place
+from corpuslens.operators.lookup import hot_rows, lookup
 from corpuslens.operators.ordering import running_total
 
 
-def index_signs(signs: DataFrame, k: int, s: int, seed: int = 0, symmetric: bool = True, hash: str = "md5") -> DataFrame:
+def index_signs(signs: DataFrame, k: int, s: int, seed: int = 0, symmetric: bool = True) -> DataFrame:
     """Adds `ri` to a table of distinct signs.
 
     A small distinct result may sit in one partition while each vector costs many
     hashes, so the signs are spread over all cores first.
     """
-    hashed = place(signs, "sign").withColumn("_p", R.active_positions(F.col("sign"), k, s, seed, hash))
+    hashed = place(signs, "sign").withColumn("_p", R.active_positions(F.col("sign"), k, s, seed))
     return hashed.withColumn("ri", R.from_positions(F.col("_p"), k, symmetric)).drop("_p")
 
 
@@ -31,8 +32,15 @@ def to_coo(df: DataFrame, row: str, ri: str = "ri", all_positive: bool = False)
 
 
 def gather(coo: DataFrame, rows: DataFrame) -> DataFrame:
-    """Cells of the wanted rows: ``(pos, row, idx, v)`` for each ``(pos, row)``."""
-    return rows.join(coo, "row").select("pos", "row", "idx", "v")
+    """Cells of the wanted rows: ``(pos, row, idx, v)`` for each ``(pos, row)``.
+
+    A row's cells travel as one array; rows that are wanted very often do not meet in one task.
+    """
+    cells = coo.groupBy(F.col("row").cast("string").alias("key")).agg(F.collect_list(F.struct("idx", "v")).alias("cells"))
+    wanted = rows.withColumn("key", F.col("row").cast("string"))
+    counts = wanted.groupBy("key").agg(F.count("*").alias("freq"))
+    hot = cells.join(hot_rows(counts), "key").select("key", "cells")
+    return lookup(wanted, cells, "key", hot, ["pos"], how="inner").select("pos", "row", F.inline("cells"))
 
 
 def sparse_add(*tables: DataFrame, keys: tuple[str, ...] = ("row",), value: str = "v") -> DataFrame:
@@ -79,25 +87,24 @@ def shift_table(spark: SparkSession, k: int, seed: int, reach: int) -> DataFrame
     A context token at distance d to the right is permuted d times, to the left with
     the inverse, so offset 0 leaves positions alone.
     """
-    src = [r["src"] for r in permutation(spark, k, seed).orderBy("i").collect()]  # k numbers
-    back = [0] * k
-    for i, j in enumerate(src):
-        back[j] = i
-    rows = [(0, i, i) for i in range(k)]
-    for step, sign in ((back, 1), (src, -1)):
-        at = list(range(k))
-        for d in range(1, reach + 1):
-            at = [step[j] for j in at]
-            rows += [(sign * d, i, at[i]) for i in range(k)]
-    return spark.createDataFrame(rows, "offset int, idx int, to int")
+    perm = permutation(spark, k, seed)
+    steps = [perm.select(F.lit(0).alias("offset"), F.col("i").alias("idx"), F.col("i").alias("to"))]
+    for step, sign in ((inverse(perm), 1), (perm, -1)):
+        steps += [
+            power(step, d).select(F.lit(sign * d).alias("offset"), F.col("i").alias("idx"), F.col("src").alias("to"))
+            for d in range(1, reach + 1)
+        ]
+    return reduce(DataFrame.unionByName, steps)
 
 
 # -- noise and samples ----------------------------------------------------------------
 
 
-def sparse_noise(rows: DataFrame, row: str, k: int, ratio: float, seed: int = 0, max_active: int = 2) -> DataFrame:
+def sparse_noise(rows: DataFrame, row: str, k: int, ratio: float, seed: int = 0, max_active: int | None = None) -> DataFrame:
     """Noise cells ``(row, idx, v)``: an even number of positions, half +1 and half -1."""
-    active = min(int(k * ratio) // 2 * 2, max_active)
+    active = int(k * ratio) // 2 * 2
+    if max_active is not None:
+        active = min(active, max_active)
     if active == 0:
         return rows.limit(0).select(F.col(row).alias("row"), F.lit(0).alias("idx"), F.lit(0.0).cast("float").alias("v"))
     ri = R.random_index(F.col(row).cast("string"), k, active, seed, salt="noise")

@@ -43,12 +43,12 @@ def ngram_array(tokens: Column, n: int, item: str = "string") -> Column:
 
 
 def shifted_pairs(tokens: Column, distance: int) -> Column:
-    """Structs (target, context, offset) for every position and its neighbour to the right."""
+    """Structs (offset, target, context) for every position and its neighbour to the right."""
     count = F.greatest(F.size(tokens) - distance, F.lit(0))
     return F.zip_with(
         F.slice(tokens, F.lit(1), count),
         F.slice(tokens, F.lit(distance + 1), count),
-        lambda a, b: F.struct(a.alias("target"), b.alias("context"), F.lit(distance).alias("offset")),
+        lambda a, b: F.struct(F.lit(distance).alias("offset"), a.alias("target"), b.alias("context")),
     )
 
 
@@ -65,7 +65,7 @@ def context_pairs(corpus: DataFrame, size: int) -> DataFrame:
     """
     tokens = F.col("tokens")
     ahead = F.flatten(F.array(*[shifted_pairs(tokens, d) for d in range(1, size + 1)]))
-    one_way = generate(corpus, ["doc_id"], F.inline_outer(ahead), "target", "context", "offset")
+    one_way = generate(corpus, ["doc_id"], F.inline_outer(ahead), "offset", "target", "context")
     both = F.array(
         F.struct("target", "context", "offset"),
         F.struct(F.col("context").alias("target"), F.col("target").alias("context"), (-F.col("offset")).alias("offset")),
@@ -182,15 +182,36 @@ def ngrams_flat_placed(placed: DataFrame, n: int, block: int = BLOCK_TOKENS) ->
 
 
 def skip(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
-    """All rows but the first n; None skips everything."""
+    """All rows but the first n in ascending `order`; None skips everything.
+
+    Only keys are sorted; the rows stay where they are and are compared with one key.
+    """
     if n is None:
         return df.limit(0)
-    return ordered_index(df, *order, name="_idx").where(F.col("_idx") >= n).drop("_idx")
+    return df.where(key(order) >= key_at(df, n, *order))
+
+
+def key(order: tuple[Column | str, ...]) -> Column:
+    """The order columns as one comparable value."""
+    return F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"_k{i}") for i, c in enumerate(order)])
+
+
+def key_at(df: DataFrame, n: int, *order: Column | str) -> Column:
+    """The key of row number n in ascending `order`, null when there is none."""
+    return F.get(keys_at(df, F.array(F.lit(n).cast("long")), *order), F.lit(0))
+
+
+def keys_at(df: DataFrame, numbers: Column, *order: Column | str) -> Column:
+    """The keys of the rows with these numbers, in order, as one array."""
+    keys = ordered_index(df.select(key(order).alias("_key")), "_key", name="_idx")
+    return keys.where(F.array_contains(numbers, F.col("_idx"))).agg(F.sort_array(F.collect_list("_key"))).scalar()
 
 
 def row_range(df: DataFrame, start: int, stop: int, *order: Column | str) -> DataFrame:
     """Rows number start..stop-1 in `order`, with their number `idx`."""
-    return ordered_index(df, *order).where(F.col("idx").between(start, stop - 1))
+    first, after = key_at(df, start, *order), key_at(df, stop, *order)
+    inside = df.where((key(order) >= first) & F.coalesce(key(order) < after, F.lit(True)))
+    return ordered_index(inside, *order, start=start)
 
 
 def divide_slices(n: int, k: int = 1, offset: int = 0) -> list[range]:
@@ -211,8 +232,13 @@ def slice_number(idx: Column, n: Column | int, k: int) -> Column:
 
 def add_slices(df: DataFrame, k: int, *order: Column | str) -> DataFrame:
     """Adds the slice number of each row when the table is divided into k ranges."""
-    n = df.agg(F.count("*")).scalar()
-    return ordered_index(df, *order).withColumn("slice", slice_number(F.col("idx"), n, k))
+    n = df.count()
+    if k > n:
+        raise ValueError("more slices than elements")
+    firsts = keys_at(df, F.lit([r.start for r in divide_slices(n, k)][1:]).cast("array<bigint>"), *order)
+    with_key = df.withColumns({"_key": key(order), "_firsts": firsts})
+    begun = F.size(F.filter("_firsts", lambda first: first <= F.col("_key")))
+    return with_key.withColumn("slice", begun.cast("long")).drop("_key", "_firsts")
 
 
 def repeat_each(df: DataFrame, n: int) -> DataFrame:

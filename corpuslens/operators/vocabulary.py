@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import hashing, words
+from corpuslens.operators import sequences
 from corpuslens.operators.layout import generate
 from corpuslens.operators.lookup import hot_rows, lookup
-from corpuslens.operators.ordering import TOP_K_ROWS, ordered_index, take
+from corpuslens.operators.ordering import ordered_index, take
 
 UNK = "<unk>"
 MISSING = ("null", "drop", "unk", "error")
@@ -33,7 +34,7 @@ def word_frequencies(corpus: DataFrame) -> DataFrame:
 
 
 def tokens_only(corpus: DataFrame) -> DataFrame:
-    return generate(corpus, [], F.explode_outer("tokens"), "token")
+    return generate(corpus, [], F.posexplode_outer("tokens"), "pos", "token").select("token")
 
 
 def merge_frequencies(*tables: DataFrame) -> DataFrame:
@@ -125,12 +126,8 @@ def corpus_stats(corpus: DataFrame, k: int = 10) -> DataFrame:
 
 def rank_frequency(freqs: DataFrame, top: int = 1000) -> DataFrame:
     """Rank, frequency and their decimal logarithms for the `top` most frequent tokens."""
-    best = most_common(freqs, top)
-    order = (F.desc("freq"), F.col("token"))
-    if top <= TOP_K_ROWS:
-        ranked = best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # `top` rows
-    else:
-        ranked = ordered_index(best, *order, name="rank", start=1)
+    rank = F.row_number().over(Window.orderBy(F.desc("freq"), F.col("token"))).cast("long")  # over `top` rows
+    ranked = most_common(freqs, top).withColumn("rank", rank)
     return ranked.select(
         "rank", "token", "freq", F.log10("rank").alias("log_rank"), F.log10("freq").alias("log_freq")
     )
@@ -260,16 +257,14 @@ def subsample(corpus: DataFrame, freqs: DataFrame, threshold: float = 1e-4, seed
 
 def split_corpus(df: DataFrame, *order: Column | str, train: float = 0.8) -> DataFrame:
     """Adds `split`: the first int(train*N) rows, then half of the rest, then the others."""
-    indexed = ordered_index(df, *order, name="_idx")
-    n = df.agg(F.count("*")).scalar()
-    n_train = F.floor(F.lit(train) * n)
-    n_eval = F.floor((n - n_train) / 2)
-    split = (
-        F.when(F.col("_idx") < n_train, "train")
-        .when(F.col("_idx") < n_train + n_eval, "valid")
-        .otherwise("test")
-    )
-    return indexed.withColumn("split", split).drop("_idx")
+    n = df.count()
+    n_train = int(train * n)
+    numbers = sorted({n_train, n_train + (n - n_train) // 2})
+    firsts = sequences.keys_at(df, F.lit(numbers).cast("array<bigint>"), *order)  # keys are sorted, rows stay in place
+    keyed = df.withColumns({"_key": sequences.key(order), "_valid": F.get(firsts, F.lit(0)), "_test": F.get(firsts, F.lit(len(numbers) - 1))})
+    before = lambda first: F.coalesce(F.col("_key") < F.col(first), F.lit(True))
+    split = F.when(before("_valid"), "train").when(before("_test"), "valid").otherwise("test")
+    return keyed.withColumn("split", split).drop("_key", "_valid", "_test")
 
 
 def hash_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 0) -> DataFrame:

@@ -22,14 +22,15 @@ def keyed(spark, sf):
 
 @query(
     "e01_word_vectors",
-    f"""WITH {BENCH}, signs AS (SELECT token AS sign FROM bench), {ri_sql('signs', 500, 10)}, {CELLS}
-        SELECT sign AS row, CAST(j AS INTEGER) AS j, round(sum(ri.v * e.v), 6) AS value
+    f"""WITH {BENCH}, signs AS (SELECT token AS sign FROM bench), {ri_sql('signs', '(SELECT count(*) FROM embeddings)', 10)},
+        {CELLS} SELECT sign AS row, CAST(j AS INTEGER) AS j, round(sum(ri.v * e.v), 6) AS value
         FROM ri JOIN e ON ri.idx = e.vec_id GROUP BY 1, 2""",
 )
 def word_vectors(spark, sf):
     signs = V.token_stream(bench_corpus(spark, sf)).select(F.col("token").alias("sign")).distinct()
-    coo = RI.to_coo(RI.index_signs(signs, 500, 10), "sign")
-    matrix = table(spark, sf, "embeddings").select(
+    embeddings = table(spark, sf, "embeddings")
+    coo = RI.to_coo(RI.index_signs(signs, embeddings.count(), 10), "sign")
+    matrix = embeddings.select(
         F.col("vec_id").alias("idx"), F.col("embedding").cast("array<double>").alias("vector")
     )
     return E.word_vectors(coo, matrix).withColumn("value", F.round("value", 6))
@@ -47,18 +48,19 @@ def l2_normalize(spark, sf):
 
 @query(
     "e03_cosine_pairs",
-    f"""WITH {NORMED}, p AS (SELECT vec_id AS w1, vec_id * 7 % 520 AS w2 FROM embeddings)
+    f"""WITH {NORMED}, p AS (SELECT vec_id AS w1, vec_id * 7 % (SELECT count(*) + 20 FROM embeddings) AS w2 FROM embeddings)
         SELECT w1, w2, round(sum(a.v * b.v) / max(x.n) / max(y.n), 9) AS cos FROM p
         JOIN e a ON a.vec_id = w1 JOIN e b ON b.vec_id = w2 AND a.j = b.j
         JOIN nv x ON x.vec_id = w1 JOIN nv y ON y.vec_id = w2 GROUP BY 1, 2""",
 )
 def cosine_pairs(spark, sf):
     vectors = keyed(spark, sf)
-    pairs = vectors.select(F.col("key").alias("w1"), (F.col("key") * 7 % 520).alias("w2"))
+    partners = vectors.count() + 20  # some have no vector
+    pairs = vectors.select(F.col("key").alias("w1"), (F.col("key") * 7 % partners).alias("w2"))
     return E.cosine_pairs(pairs, vectors).withColumn("cos", F.round("cos", 9))
 
 
-QUESTIONS = f"""{NORMED}, q AS (SELECT vec_id AS qid, vec_id AS word, o AS opt, (vec_id * 3 + o * 17 + 1) % 505 AS option,
+QUESTIONS = f"""{NORMED}, q AS (SELECT vec_id AS qid, vec_id AS word, o AS opt, (vec_id * 3 + o * 17 + 1) % (SELECT count(*) + 5 FROM embeddings) AS option,
       CAST(vec_id % 4 AS BIGINT) AS answer FROM embeddings, range(0, 4) r(o)),
       s AS (SELECT qid, opt, option, answer, sum(a.v * b.v) / max(x.n) / max(y.n) AS cos FROM q
       JOIN e a ON a.vec_id = word JOIN e b ON b.vec_id = option AND a.j = b.j
@@ -70,9 +72,10 @@ QUESTIONS = f"""{NORMED}, q AS (SELECT vec_id AS qid, vec_id AS word, o AS opt,
 
 def questions(spark, sf):
     key = F.col("key")
+    options = keyed(spark, sf).count() + 5  # some have no vector
     return keyed(spark, sf).select(
         key.alias("qid"), key.alias("word"),
-        F.array(*[(key * 3 + o * 17 + 1) % 505 for o in range(4)]).alias("options"),
+        F.array(*[(key * 3 + o * 17 + 1) % options for o in range(4)]).alias("options"),
         (key % 4).cast("int").alias("answer"),
     )
 
@@ -103,16 +106,57 @@ def spearman(spark, sf):
     return E.spearman(docs, "x", "y", "lang").withColumn("rho", F.round("rho", 9))
 
 
-@query("e06_pca")
+SQUARINGS = 12
+
+
+def eigen_sql(start: str) -> str:
+    """The two leading eigenvectors (i, x) of the matrix `start` (i, j, v) as e1 and e2: its powers by squaring."""
+
+    def powers(name: str, first: str) -> str:
+        out, last = [], first
+        for n in range(SQUARINGS):
+            new = f"{name}{n}"
+            out.append(
+                f"""{new}_s AS MATERIALIZED (SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {last} a JOIN {last} b ON a.j = b.i GROUP BY 1, 2),
+      {new} AS MATERIALIZED (SELECT i, j, v / (SELECT sqrt(sum(v * v)) FROM {new}_s) AS v FROM {new}_s)"""
+            )
+            last = new
+        return ", ".join(out) + f""", {name}_c AS (SELECT i, v FROM {last}
+            WHERE j = (SELECT j FROM {last} WHERE i = j ORDER BY v DESC, j LIMIT 1)),
+          {name}_n AS (SELECT i, v / (SELECT sqrt(sum(v * v)) FROM {name}_c) AS x FROM {name}_c),
+          {name}_e AS MATERIALIZED (SELECT i, x * (SELECT sign(arg_max(x, abs(x))) FROM {name}_n) AS x FROM {name}_n)"""
+
+    return f"""{powers('p', start)}, e1 AS (SELECT i, x FROM p_e),
+      val AS (SELECT sum(a.x * m.v * b.x) AS l FROM {start} m JOIN e1 a ON m.i = a.i JOIN e1 b ON m.j = b.i),
+      rest AS MATERIALIZED (SELECT m.i, m.j, m.v - l * a.x * b.x AS v FROM {start} m, val
+        JOIN e1 a ON m.i = a.i JOIN e1 b ON m.j = b.i), {powers('q', 'rest')}, e2 AS (SELECT i, x FROM q_e)"""
+
+
+PROJECTED = """SELECT vec_id AS key, round(sum(e.v * e1.x), 4) AS x, round(sum(e.v * e2.x), 4) AS y
+    FROM e JOIN e1 ON e.j = e1.i JOIN e2 ON e.j = e2.i GROUP BY 1"""
+
+
+@query(
+    "e06_pca",
+    f"""WITH {CELLS}, mean AS (SELECT j, avg(v) AS m FROM e GROUP BY j),
+        cen AS MATERIALIZED (SELECT vec_id, j, v - m AS v FROM e JOIN mean USING (j)),
+        mat AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM cen a JOIN cen b USING (vec_id) GROUP BY 1, 2),
+        {eigen_sql('mat')} {PROJECTED}""",
+)
 def pca(spark, sf):
     projected = E.pca(keyed(spark, sf), 2)
-    return projected.select("key", F.col("projected")[0].alias("x"), F.col("projected")[1].alias("y"))
+    return projected.select("key", *[F.round(F.col("projected")[i], 4).alias(c) for i, c in enumerate("xy")])
 
 
-@query("e07_truncated_svd")
+@query(
+    "e07_truncated_svd",
+    f"""WITH {CELLS},
+        mat AS MATERIALIZED (SELECT a.j AS i, b.j AS j, sum(a.v * b.v) AS v FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2),
+        {eigen_sql('mat')} {PROJECTED}""",
+)
 def truncated_svd(spark, sf):
     projected = E.truncated_svd(keyed(spark, sf), 2)
-    return projected.select("key", F.col("projected")[0].alias("x"), F.col("projected")[1].alias("y"))
+    return projected.select("key", *[F.round(F.col("projected")[i], 4).alias(c) for i, c in enumerate("xy")])
 
 
 @query(

@@ -1,7 +1,6 @@
 """Registered queries: random indexes, permutations, context vectors, samples.
 
-Results with many million cells are returned as one profile row per vector or
-document (number of cells, sums, weighted sums); they are computed over all rows.
+Vectors with many cells are returned as one row each, the cells as ``idx:w`` by idx.
 """
 
 from __future__ import annotations
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import random_index as R
 from corpuslens.operators import context as C
 from corpuslens.operators import random_index as RI
+from corpuslens.operators import vocabulary as V
 from corpuslens.plans.registry import query, table
 from corpuslens.plans.vocabulary_queries import DOCS, FREQ, VOCAB, corpus, freqs, vocab
 
@@ -19,12 +19,18 @@ K, S = 1000, 10
 
 def ri_sql(signs: str, k: int = K, s: int = S, lead: str = "", name: str = "ri") -> str:
     """SQL for the active positions of the values in `signs`: (sign, idx, r, v)."""
-    draws = 2 * s + 1
-    return f"""cand_{name} AS (SELECT sign, j, CASE WHEN j < {draws}
-        THEN ('0x' || substr(md5('{lead}' || sign || ':' || j), 1, 8))::BIGINT % {k} ELSE j - {draws} END AS idx
-        FROM (SELECT DISTINCT sign FROM {signs}), range(0, {draws + s}) x(j)),
-      fst_{name} AS (SELECT sign, idx, min(j) AS j FROM cand_{name} GROUP BY 1, 2),
-      num_{name} AS (SELECT sign, idx, row_number() OVER (PARTITION BY sign ORDER BY j) AS r FROM fst_{name}),
+    digests = -(-(2 * s + 1) // 4)
+    return f"""dig_{name} AS (SELECT sign, i, md5('{lead}' || sign || ':' || i) AS h
+        FROM (SELECT DISTINCT sign FROM {signs}), range(0, {digests}) x(i)),
+      cand_{name} AS (SELECT sign, i * 4 + q AS j, ('0x' || substr(h, CAST(8 * q + 1 AS INTEGER), 8))::BIGINT % {k} AS idx
+        FROM dig_{name}, range(0, 4) y(q)),
+      drawn_{name} AS (SELECT sign, idx, min(j) AS j FROM cand_{name} GROUP BY 1, 2),
+      short_{name} AS (SELECT sign FROM drawn_{name} GROUP BY sign HAVING count(*) < {s}),
+      fill_{name} AS (SELECT sign, p AS idx, {4 * digests} + row_number() OVER (PARTITION BY sign
+        ORDER BY md5('{lead}' || sign || ':fill:' || p), p) AS j FROM short_{name}, range(0, {k}) z(p)
+        WHERE NOT EXISTS (FROM drawn_{name} d WHERE d.sign = short_{name}.sign AND d.idx = p)),
+      num_{name} AS (SELECT sign, idx, row_number() OVER (PARTITION BY sign ORDER BY j) AS r
+        FROM (SELECT * FROM drawn_{name} UNION ALL SELECT * FROM fill_{name})),
       {name} AS (SELECT sign, idx, r, CASE WHEN r <= {s // 2} THEN 1 ELSE -1 END AS v FROM num_{name} WHERE r <= {s})"""
 
 
@@ -37,6 +43,12 @@ def index(spark, sf):
     return RI.index_signs(signs, K, S)
 
 
+def joined_cells(cells, digits: int = 0):
+    """``idx:w`` for each cell; fractions are rounded to whole numbers of 10^-digits."""
+    value = (lambda w: F.round(w * 10**digits).cast("long")) if digits else (lambda w: w)
+    return F.array_join(F.transform(cells, lambda c: F.concat_ws(":", c["idx"], value(c["w"]))), " ")
+
+
 def text(column: str):
     return F.array_join(F.col(column).cast("array<string>"), " ")
 
@@ -62,6 +74,17 @@ def random_index_positive(spark, sf):
     return ri.withColumns({"pos": text("pos"), "neg": text("neg")})
 
 
+@query(
+    "r01_random_index_crowded",
+    f"""WITH {SIGNS}, {ri_sql('signs', 20, 18, '5:')} SELECT sign, string_agg(idx, ' ' ORDER BY r) FILTER (r <= 9) AS pos,
+        string_agg(idx, ' ' ORDER BY r) FILTER (r > 9) AS neg FROM ri GROUP BY sign""",
+)
+def random_index_crowded(spark, sf):
+    signs = freqs(spark, sf).select(F.col("token").alias("sign"))
+    ri = RI.index_signs(signs, 20, 18, seed=5).select("sign", "ri.pos", "ri.neg")
+    return ri.withColumns({"pos": text("pos"), "neg": text("neg")})
+
+
 @query(
     "r02_vector_views",
     f"""WITH {SIGNS}, {ri_sql('signs', 100, 4)},
@@ -127,17 +150,18 @@ def to_coo(spark, sf):
 @query(
     "r04_gather",
     f"""WITH {VOCAB}, signs AS (SELECT token AS sign, id FROM vocab), {ri_sql("signs")},
-        heads AS (SELECT doc_id AS pos, t[1] AS sign FROM docs WHERE len(t) > 0)
-        SELECT pos, id AS row, CAST(idx AS INTEGER) AS idx, CAST(abs(v) AS FLOAT) AS v
-        FROM heads JOIN ri USING (sign) JOIN signs USING (sign)""",
+        wanted AS (SELECT doc_id, pos, token AS sign FROM tok)
+        SELECT doc_id, pos, id AS row, string_agg(idx || ':' || abs(v), ' ' ORDER BY idx) AS cells
+        FROM wanted JOIN ri USING (sign) JOIN signs USING (sign) GROUP BY ALL""",
 )
 def gather(spark, sf):
     ids = vocab(spark, sf)
     coo = RI.to_coo(RI.index_signs(ids.select(F.col("token").alias("sign"), "id"), K, S), "id", all_positive=True)
-    heads = corpus(spark, sf).where(F.size("tokens") > 0).select(
-        F.col("doc_id").alias("pos"), F.col("tokens")[0].alias("token")
-    )
-    return RI.gather(coo, heads.join(ids, "token").select("pos", F.col("id").alias("row")))
+    encoded = V.encode_ids(corpus(spark, sf), ids)
+    rows = encoded.select("doc_id", F.posexplode("ids").alias("pos", "row"))
+    found = RI.gather(coo, rows.select(F.struct("doc_id", "pos").alias("pos"), "row"))
+    cells = found.groupBy("pos", "row").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("v").cast("int").alias("w")))).alias("cells"))
+    return cells.select("pos.doc_id", "pos.pos", "row", joined_cells("cells").alias("cells"))
 
 
 @query(
@@ -160,43 +184,34 @@ def sparse_add(spark, sf):
 
 WINDOW_SQL = """w AS (SELECT a.doc_id, a.pos, b.pos - a.pos AS o, b.token AS sign FROM tok a JOIN tok b
       ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - {w} AND a.pos + {w})"""
-DOC_PROFILE = """SELECT doc_id, count(*) AS cells, CAST(sum(w) AS BIGINT) AS total,
-      CAST(sum(w * w) AS BIGINT) AS squares, CAST(sum(w * idx * (pos + 1)) AS BIGINT) AS moment FROM c GROUP BY doc_id"""
+PACKED = "string_agg(idx || ':' || w, ' ' ORDER BY idx) AS cells"
+DOC_CELLS = f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, {PACKED} FROM c GROUP BY 1, 2"
 
 
-def doc_profile(cells):
-    return cells.groupBy("doc_id").agg(
-        F.count("*").alias("cells"),
-        F.sum("w").alias("total"),
-        F.sum(F.col("w") * F.col("w")).alias("squares"),
-        F.sum(F.col("w") * F.col("idx") * (F.col("pos") + 1)).alias("moment"),
-    )
+def window_rows(windows, digits=0):
+    """Windows with cells, packed; fractions as whole numbers of 10^-digits."""
+    return windows.where(F.size("cells") > 0).withColumn("cells", joined_cells("cells", digits))
 
 
 @query(
     "r06_encode_bow",
     f"""WITH {RI_SQL}, {WINDOW_SQL.format(w=1)}, c AS (SELECT doc_id, pos, idx, sum(v) AS w FROM w JOIN ri USING (sign)
-        GROUP BY 1, 2, 3 HAVING sum(v) <> 0) {DOC_PROFILE}""",
+        GROUP BY 1, 2, 3 HAVING sum(v) <> 0) {DOC_CELLS}""",
 )
 def encode_bow(spark, sf):
-    return doc_profile(C.encode_bow(corpus(spark, sf), 1, K, S))
+    return window_rows(C.encode_bow(corpus(spark, sf), 1, K, S))
 
 
 @query(
     "r06_encode_bow_normalised",
-    f"""WITH {RI_SQL}, {WINDOW_SQL.format(w=1)}, c AS (SELECT doc_id, pos, idx, sum(v) AS w FROM w JOIN ri USING (sign)
+    f"""WITH {RI_SQL}, {WINDOW_SQL.format(w=1)}, s AS (SELECT doc_id, pos, idx, sum(v) AS w FROM w JOIN ri USING (sign)
         WHERE o <> 0 GROUP BY 1, 2, 3 HAVING sum(v) <> 0),
-        m AS (SELECT doc_id, pos, max(abs(w)) AS m FROM c GROUP BY 1, 2)
-        SELECT doc_id, count(*) AS cells, round(sum(w::DOUBLE / m), 5) AS total,
-        max(w::DOUBLE / m) AS largest, min(w::DOUBLE / m) AS smallest
-        FROM c JOIN m USING (doc_id, pos) GROUP BY doc_id""",
+        m AS (SELECT doc_id, pos, max(abs(w)) AS m FROM s GROUP BY 1, 2),
+        c AS (SELECT doc_id, pos, idx, CAST(round(w::DOUBLE / m * 1000000) AS BIGINT) AS w FROM s JOIN m USING (doc_id, pos))
+        {DOC_CELLS}""",
 )
 def encode_bow_normalised(spark, sf):
-    cells = C.encode_bow(corpus(spark, sf), 1, K, S, include_target=False, normalise=True)
-    return cells.groupBy("doc_id").agg(
-        F.count("*").alias("cells"), F.round(F.sum("w"), 5).alias("total"),
-        F.max("w").alias("largest"), F.min("w").alias("smallest"),
-    )
+    return window_rows(C.encode_bow(corpus(spark, sf), 1, K, S, include_target=False, normalise=True), 6)
 
 
 PERM_SQL = f"""perm AS (SELECT i AS src, row_number() OVER (ORDER BY md5('9:' || i), i) - 1 AS i FROM range(0, {K}) x(i)),
@@ -210,10 +225,10 @@ PERM_SQL = f"""perm AS (SELECT i AS src, row_number() OVER (ORDER BY md5('9:' ||
         p AS (SELECT doc_id, pos, idx, v FROM x WHERE o = 0
               UNION ALL SELECT doc_id, pos, t, v FROM x JOIN lft1 USING (idx) WHERE o < 0
               UNION ALL SELECT doc_id, pos, t, v FROM x JOIN rgt1 USING (idx) WHERE o > 0),
-        c AS (SELECT doc_id, pos, idx, sum(v) AS w FROM p GROUP BY 1, 2, 3 HAVING sum(v) <> 0) {DOC_PROFILE}""",
+        c AS (SELECT doc_id, pos, idx, sum(v) AS w FROM p GROUP BY 1, 2, 3 HAVING sum(v) <> 0) {DOC_CELLS}""",
 )
 def encode_bow_dir(spark, sf):
-    return doc_profile(C.encode_bow_dir(corpus(spark, sf), 1, K, S, perm_seed=9))
+    return window_rows(C.encode_bow_dir(corpus(spark, sf), 1, K, S, perm_seed=9))
 
 
 @query(
@@ -224,10 +239,10 @@ def encode_bow_dir(spark, sf):
                UNION ALL SELECT -2, * FROM lft2 UNION ALL SELECT 1, * FROM rgt1 UNION ALL SELECT 2, * FROM rgt2),
         {WINDOW_SQL.format(w=2)},
         p AS (SELECT doc_id, pos, t AS idx, v FROM w JOIN ri USING (sign) JOIN mv USING (o, idx)),
-        c AS (SELECT doc_id, pos, idx, sum(v) AS w FROM p GROUP BY 1, 2, 3 HAVING sum(v) <> 0) {DOC_PROFILE}""",
+        c AS (SELECT doc_id, pos, idx, sum(v) AS w FROM p GROUP BY 1, 2, 3 HAVING sum(v) <> 0) {DOC_CELLS}""",
 )
 def encode_bow_order(spark, sf):
-    return doc_profile(C.encode_bow_order(corpus(spark, sf), 2, K, S, perm_seed=9))
+    return window_rows(C.encode_bow_order(corpus(spark, sf), 2, K, S, perm_seed=9))
 
 
 EMB_SQL = """e AS (SELECT vec_id AS row, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS idx
@@ -273,39 +288,38 @@ def accumulated_sql(extra: str) -> str:
                   GROUP BY 1, 2 HAVING sum(n * v) <> 0)"""
 
 
-PROFILE_SQL = """SELECT target, count(*) AS cells, CAST(sum(w) AS BIGINT) AS total,
-      CAST(sum(w * w) AS BIGINT) AS squares, CAST(sum(w * idx) AS BIGINT) AS moment FROM cells GROUP BY target"""
+CELLS_SQL = f"SELECT target, {PACKED} FROM cells GROUP BY target"
 
 
-@query("r10_context_vectors", f"WITH {accumulated_sql('')} {PROFILE_SQL}")
+def vector_rows(cells, digits=0):
+    return C.packed(cells).withColumn("cells", joined_cells("cells", digits))
+
+
+@query("r10_context_vectors", f"WITH {accumulated_sql('')} {CELLS_SQL}")
 def context_vectors(spark, sf):
-    return C.vector_profile(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S))
+    return vector_rows(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S))
 
 
-@query("r10_context_vectors_no_target", f"WITH {accumulated_sql('AND a.pos <> b.pos')} {PROFILE_SQL}")
+@query("r10_context_vectors_no_target", f"WITH {accumulated_sql('AND a.pos <> b.pos')} {CELLS_SQL}")
 def context_vectors_no_target(spark, sf):
-    return C.vector_profile(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S, include_target=False))
+    return vector_rows(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S, include_target=False))
 
 
-@query("r10_context_vectors_fast_hash")
+@query("r10_context_vectors_fast_hash", f"WITH {accumulated_sql('')} {CELLS_SQL}")
 def context_vectors_fast_hash(spark, sf):
-    return C.vector_profile(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S, hash="xxhash64"))
+    return vector_rows(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S, in_place=True))
 
 
 @query(
     "r11_squash",
     f"""WITH {accumulated_sql('')}, m AS (SELECT target, CASE WHEN count(*) < {K} THEN greatest(max(w), 0) ELSE max(w) END
         AS m FROM cells GROUP BY target),
-        q AS (SELECT target, CASE WHEN m = 0 THEN -1.0 ELSE tanh(w::DOUBLE / m) END AS w FROM cells JOIN m USING (target))
-        SELECT target, count(*) AS cells, round(sum(w), 5) AS total, round(max(w), 9) AS largest,
-        round(min(w), 9) AS smallest FROM q GROUP BY target""",
+        q AS (SELECT target, idx, CAST(round(CASE WHEN m = 0 THEN -1.0 ELSE tanh(w::DOUBLE / m) END * 1000000) AS BIGINT) AS w
+              FROM cells JOIN m USING (target))
+        SELECT target, {PACKED} FROM q GROUP BY target""",
 )
 def squash(spark, sf):
-    cells = C.squash(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S), K)
-    return cells.groupBy("target").agg(
-        F.count("*").alias("cells"), F.round(F.sum("w"), 5).alias("total"),
-        F.round(F.max("w"), 9).alias("largest"), F.round(F.min("w"), 9).alias("smallest"),
-    )
+    return vector_rows(C.squash(C.accumulate_context_vectors(corpus(spark, sf), 2, K, S), K), 6)
 
 
 @query(
@@ -314,35 +328,27 @@ def squash(spark, sf):
         dr AS (SELECT token, CASE WHEN freq < cut THEN 0.0 ELSE 1 - sqrt(cut / freq) END AS d FROM freqs, cut),
         kept AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos
           FROM tok JOIN dr USING (token)
-          WHERE ('0x' || substr(md5('7:' || doc_id || ':' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= d),
+          WHERE ('0x' || substr(md5('7:' || doc_id || ':' || pos), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE >= d),
         w AS (SELECT a.doc_id, a.pos, b.token AS sign FROM kept a JOIN kept b
               ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos),
-        c AS (SELECT doc_id, pos, idx, sum(v) AS w FROM w JOIN ri USING (sign) GROUP BY 1, 2, 3 HAVING sum(v) <> 0),
-        m AS (SELECT doc_id, pos, max(abs(w)) AS m FROM c GROUP BY 1, 2),
-        x AS (SELECT doc_id, count(*) AS x_cells, round(sum(w::DOUBLE / m * (idx + 1)), 3) AS x_moment
-              FROM c JOIN m USING (doc_id, pos) GROUP BY doc_id),
-        y AS (SELECT doc_id, count(*) // {S} AS examples,
-              round(sum(0.1::DOUBLE * (CASE WHEN v > 0 THEN idx ELSE idx + {K} END)), 3) AS y_moment
-              FROM kept JOIN ri ON token = sign GROUP BY doc_id)
-        SELECT doc_id, examples, coalesce(x_cells, 0) AS x_cells, coalesce(x_moment, 0) AS x_moment, y_moment
-        FROM y LEFT JOIN x USING (doc_id)""",
+        s AS (SELECT doc_id, pos, idx, sum(v) AS w FROM w JOIN ri USING (sign) GROUP BY 1, 2, 3 HAVING sum(v) <> 0),
+        m AS (SELECT doc_id, pos, max(abs(w)) AS m FROM s GROUP BY 1, 2),
+        x AS (SELECT doc_id, pos, string_agg(idx || ':' || CAST(round(w::DOUBLE / m * 1000000) AS BIGINT), ' ' ORDER BY idx) AS x
+              FROM s JOIN m USING (doc_id, pos) GROUP BY 1, 2),
+        y AS (SELECT sign, string_agg(i || ':100000', ' ' ORDER BY i) AS y
+              FROM (SELECT sign, CASE WHEN v > 0 THEN idx ELSE idx + {K} END AS i FROM ri) GROUP BY sign)
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, token AS target, coalesce(x, '') AS x, y
+        FROM kept LEFT JOIN x USING (doc_id, pos) JOIN y ON token = sign""",
 )
 def training_examples(spark, sf):
     examples = C.training_examples(corpus(spark, sf), 2, K, S, seed=7)
-    zero = F.lit(0.0)
-    x = F.aggregate("x", zero, lambda a, c: a + c["w"] * (c["idx"] + 1))
-    y = F.aggregate("y", zero, lambda a, c: a + c["v"] * c["idx"])
-    return examples.groupBy("doc_id").agg(
-        F.count("*").alias("examples"),
-        F.sum(F.size("x")).alias("x_cells"),
-        F.round(F.sum(x), 3).alias("x_moment"),
-        F.round(F.sum(y), 3).alias("y_moment"),
-    )
+    y = F.transform("y", lambda c: F.struct(c["idx"].alias("idx"), c["v"].alias("w")))
+    return examples.select("doc_id", "pos", "target", joined_cells("x", 6).alias("x"), joined_cells(y, 6).alias("y"))
 
 
 @query(
     "r13_sparse_noise",
-    f"""WITH ids AS (SELECT CAST(doc_id AS VARCHAR) AS sign FROM documents), {ri_sql('ids', K, 2, 'noise:4:')}
+    f"""WITH ids AS (SELECT CAST(doc_id AS VARCHAR) AS sign FROM documents), {ri_sql('ids', K, 10, 'noise:4:')}
         SELECT CAST(sign AS BIGINT) AS row, CAST(idx AS INTEGER) AS idx, CAST(v AS FLOAT) AS v FROM ri""",
 )
 def sparse_noise(spark, sf):
@@ -374,37 +380,37 @@ def one_hot(spark, sf):
     return vectors.select("vec_id", F.array_join(encoded.cast("array<string>"), "").alias("encoded"))
 
 
-TARGET_SQL = f"""{VOCAB}, ex AS (SELECT doc_id, id AS target FROM docs JOIN vocab ON t[1] = token),
-      dr AS (SELECT doc_id, target, d, ('0x' || substr(md5('6:' || doc_id || ':' || d), 1, 8))::BIGINT
-             / 4294967296.0::DOUBLE AS u FROM ex, range(0, 20) r(d)),
+TARGET_SQL = f"""{VOCAB}, ex AS (SELECT doc_id, pos, id AS target FROM tok JOIN vocab USING (token)),
+      dr AS (SELECT doc_id, pos, target, d, ('0x' || substr(md5('6:' || doc_id || ':' || pos || ':' || d), 1, 13))::BIGINT
+             / 4503599627370496.0::DOUBLE AS u FROM ex, range(0, 2) r(d)),
       z AS (SELECT count(*) AS n, CAST(sum(freq) AS BIGINT) AS total FROM vocab)"""
 
 
 def examples(spark, sf, ids):
-    heads = corpus(spark, sf).where(F.size("tokens") > 0).select("doc_id", F.col("tokens")[0].alias("token"))
-    return heads.join(ids.select("token", "id"), "token").select("doc_id", F.col("id").alias("target"))
+    """Every token of every document as an example."""
+    return V.encode_ids(corpus(spark, sf), ids).select("doc_id", F.posexplode("ids").alias("pos", "target"))
 
 
 @query(
     "r15_negative_samples_uniform",
-    f"""WITH {TARGET_SQL} SELECT doc_id, target, CAST(d AS INTEGER) AS draw, CAST(floor(u * n) AS BIGINT) AS sample,
+    f"""WITH {TARGET_SQL} SELECT doc_id, CAST(pos AS INTEGER) AS pos, target, CAST(d AS INTEGER) AS draw, CAST(floor(u * n) AS BIGINT) AS sample,
         1.0::DOUBLE / n AS p FROM dr, z WHERE floor(u * n) <> target""",
 )
 def negative_samples_uniform(spark, sf):
     ids = vocab(spark, sf)
-    return RI.negative_samples(examples(spark, sf, ids), ids, 20, "doc_id", dist="uniform", seed=6)
+    return RI.negative_samples(examples(spark, sf, ids), ids, 2, "doc_id", "pos", dist="uniform", seed=6)
 
 
 @query(
     "r15_negative_samples_unigram",
     f"""WITH {TARGET_SQL}, cum AS (SELECT id, freq, CAST(sum(freq) OVER (ORDER BY id) AS BIGINT) - freq AS lo FROM vocab),
-        x AS (SELECT doc_id, target, d, CAST(floor(u * total) AS BIGINT) AS r, total FROM dr, z)
-        SELECT doc_id, target, CAST(d AS INTEGER) AS draw, id AS sample, round(freq::DOUBLE / total, 12) AS p
+        x AS (SELECT doc_id, pos, target, d, CAST(floor(u * total) AS BIGINT) AS r, total FROM dr, z)
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, target, CAST(d AS INTEGER) AS draw, id AS sample, round(freq::DOUBLE / total, 12) AS p
         FROM x ASOF JOIN cum ON x.r >= cum.lo WHERE id <> target""",
 )
 def negative_samples_unigram(spark, sf):
     ids = vocab(spark, sf)
-    picked = RI.negative_samples(examples(spark, sf, ids), ids, 20, "doc_id", seed=6)
+    picked = RI.negative_samples(examples(spark, sf, ids), ids, 2, "doc_id", "pos", seed=6)
     return picked.withColumn("p", F.round("p", 12))
 
 

@@ -43,20 +43,15 @@ def context_windows(spark, sf):
 
 @query(
     "q02_context_pairs",
-    f"""WITH {TOK} SELECT a.token AS target, CAST(b.pos - a.pos AS INTEGER) AS "offset", count(*) AS pairs,
-        count(DISTINCT b.token) AS contexts, min(b.token) AS first_context, max(b.token) AS last_context
-        FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos
-        GROUP BY 1, 2""",
+    f"""WITH {TOK}, p AS (SELECT a.doc_id, a.token AS target, b.token || ':' || (b.pos - a.pos) AS c
+        FROM tok a JOIN tok b ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos)
+        SELECT doc_id, target, string_agg(c, ' ' ORDER BY c) AS contexts FROM p GROUP BY 1, 2""",
 )
 def context_pairs(spark, sf):
-    # counted per context first, so the distinct count needs no second pass over pairs
-    counted = S.context_pairs(corpus(spark, sf), 2).groupBy("target", "offset", "context").agg(F.count("*").alias("n"))
-    return counted.groupBy("target", "offset").agg(
-        F.sum("n").alias("pairs"),
-        F.count("*").alias("contexts"),
-        F.min("context").alias("first_context"),
-        F.max("context").alias("last_context"),
-    )
+    """One row for each target of a document, with all its contexts and their offsets."""
+    pairs = S.context_pairs(corpus(spark, sf), 2).withColumn("c", F.concat_ws(":", "context", "offset"))
+    listed = pairs.groupBy("doc_id", "target").agg(F.sort_array(F.collect_list("c")).alias("contexts"))
+    return listed.withColumns(spaced("contexts"))
 
 
 @query(
@@ -123,7 +118,7 @@ def batch(spark, sf):
 
 @query(
     "q11_divide_slices",
-    f"""WITH {TURNS} SELECT conv_id, turn, idx,
+    f"""WITH {TURNS} SELECT conv_id, turn,
         least(idx // ((SELECT count(*) FROM turns) // 7), 6) AS slice FROM turns""",
 )
 def divide_slices(spark, sf):
@@ -197,7 +192,7 @@ def parallel_sequences(spark, sf):
     return cut.withColumns(spaced("inputs", "targets"))
 
 
-HASH = "('0x' || substr(md5('1:' || segment{salt}), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+HASH = "('0x' || substr(md5('1:' || segment{salt}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
 
 
 @query(

@@ -10,10 +10,10 @@ from corpuslens.operators import random_index as RI
 from corpuslens.operators import sequences as S
 from corpuslens.operators import text as TX
 from corpuslens.operators import vocabulary as V
-from corpuslens.plans.index_queries import K, PROFILE_SQL, RI_SQL, accumulated_sql
+from corpuslens.plans.index_queries import CELLS_SQL, K, RI_SQL, accumulated_sql, vector_rows
 from corpuslens.plans.index_queries import S as ACTIVE
 from corpuslens.plans.registry import query, table
-from corpuslens.plans.text_queries import ENTITIES, LISTED
+from corpuslens.plans.text_queries import counted, entities_sql, tokens_sql
 from corpuslens.plans.vocabulary_queries import DOCS, FREQ, TOK, VOCAB, corpus, vocab
 from corpuslens.session import scratch_path
 from corpuslens.sources import readers, stores
@@ -32,7 +32,7 @@ def written_lines(spark, sf):
     base = scratch_path(spark, "lines")
     docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
     for split, condition in PARTS.items():
-        part = docs.where(condition).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+        part = docs.where(condition).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
         part.select("text").write.text(f"{base}/{split}")
     return {split: f"{base}/{split}" for split in PARTS}
 
@@ -68,7 +68,7 @@ def line_corpus_skip_blank(spark, sf):
 )
 def token_stream(spark, sf):
     path = scratch_path(spark, "stream")
-    lines = corpus(spark, sf).where(F.size("tokens") > 0).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    lines = corpus(spark, sf).where(F.size("tokens") > 0).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     lines.select(F.array_join("tokens", " ")).write.option("lineSep", " ").text(path)
     return flat(readers.read_token_stream(spark, path))
 
@@ -80,10 +80,25 @@ def token_stream(spark, sf):
 )
 def xml_sentences(spark, sf):
     path = scratch_path(spark, "xml")
-    docs = corpus(spark, sf).where(F.size("tokens") > 0).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
-    leaves = F.array_join(F.transform("tokens", lambda t: F.concat(F.lit('<w c5="NN1">'), t, F.lit(" </w>"))), "")
-    sentence = F.concat(F.lit('<s n="1">'), leaves, F.lit("</s>"))
+    docs = corpus(spark, sf).where(F.size("tokens") > 0).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+
+    def leaf(t, i):
+        """Plain text, a CDATA section, a decimal and a hexadecimal character reference in turn."""
+        rest = F.substring(t, 2, 1 << 30)
+        forms = [
+            t,
+            F.concat(F.lit("<![CDATA["), t, F.lit("]]>")),
+            F.concat(F.lit("&#"), F.ascii(t), F.lit(";"), rest),
+            F.concat(F.lit("&#x"), F.hex(F.ascii(t)), F.lit(";"), rest),
+        ]
+        return F.concat(F.lit('<w c5="NN1">'), F.element_at(F.array(*forms), (i % 4 + 1).cast("int")), F.lit(" </w>"))
+
+    leaves = F.array_join(F.transform("tokens", leaf), "<!-- a <w>note</w> -->")
+    sentence = F.concat(F.lit('<s n="1"><!-- <w>x</w> & -->'), leaves, F.lit("</s>"))
     docs.select(F.concat(F.lit("<div>"), sentence, F.lit("</div>"))).write.text(f"{path}/part")
+    # one more file for each language, whose sentence has no end
+    open_end = table(spark, sf, "documents").select("lang", F.lit("<div><s><w>lost</w>")).distinct()
+    open_end.write.partitionBy("lang").text(f"{path}/tail")
     # the text sink names its files *.txt
     return flat(readers.read_xml_sentences(spark, path, pattern="*.txt")).drop("path")
 
@@ -92,17 +107,15 @@ def vertical_files(spark, sf):
     path = scratch_path(spark, "vertical")
     # \x93 is a windows-1252 quote; accented letters are written as latin-1 bytes
     docs = table(spark, sf, "documents").select("doc_id", words("text").alias("tokens"))
-    rows = F.transform(
-        F.filter("tokens", lambda t: ~t.rlike(r"[^\x{0}-\x{FF}]")),
-        lambda t: F.concat(t, F.lit("\x93\tNN\t"), F.upper(F.substring(t, 1, 1))),
-    )
+    latin = F.transform("tokens", lambda t: F.regexp_replace(t, r"[^\x{0}-\x{FF}]", "?"))
+    rows = F.transform(latin, lambda t: F.concat(t, F.lit("\x93\tNN\t"), F.upper(F.substring(t, 1, 1))))
     block = F.concat(F.lit('<text id="x">\n<s>\n'), F.array_join(rows, "\n"), F.lit("\n</s>\n</text>"))
-    ordered = docs.repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
+    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     ordered.select(F.encode(block, "ISO-8859-1").cast("string")).write.text(path, compression="gzip")
     return path
 
 
-VERTICAL = f"""{DOCS}, lat AS (SELECT doc_id, list_filter(t, lambda x: NOT regexp_matches(x, '[^\\x{{0}}-\\x{{FF}}]')) AS t
+VERTICAL = f"""{DOCS}, lat AS (SELECT doc_id, list_transform(t, lambda x: regexp_replace(x, '[^\\x{{0}}-\\x{{FF}}]', '?', 'g')) AS t
     FROM docs)"""
 
 
@@ -152,17 +165,22 @@ def pair_words(spark, sf):
 
 @query(
     "s06_synonym_questions",
-    f"""WITH {DOCS}, q AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS qid, doc_id, t FROM docs WHERE len(t) >= 5)
-        SELECT qid, t[1] AS word, array_to_string(t[2:5], ' ') AS options, CAST(doc_id % 4 AS INTEGER) AS answer FROM q""",
+    f"""WITH {DOCS}, p AS (SELECT doc_id, t, unnest(range(0, len(t) // 5)) AS b FROM docs),
+        q AS (SELECT row_number() OVER (ORDER BY doc_id, b) - 1 AS qid, doc_id, b, t[5 * b + 1:5 * b + 5] AS t FROM p)
+        SELECT qid, t[1] AS word, array_to_string(t[2:5], ' ') AS options, CAST((doc_id + b) % 4 AS INTEGER) AS answer FROM q""",
 )
 def synonym_questions(spark, sf):
+    """Every document cut into blocks of five words: a question and its options."""
     path = scratch_path(spark, "questions")
-    docs = corpus(spark, sf).where(F.size("tokens") >= 5).repartitionByRange(4, "doc_id").sortWithinPartitions("doc_id")
-    word = lambda i: F.col("tokens")[i]
+    numbers = F.filter(F.sequence(F.lit(0), F.floor(F.size("tokens") / 5)), lambda b: (b + 1) * 5 <= F.size("tokens"))
+    cut = F.transform(numbers, lambda b: F.slice("tokens", (b * 5 + 1).cast("int"), 5))
+    docs = corpus(spark, sf).select("doc_id", F.posexplode(cut).alias("b", "w"))
+    docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "b")
+    word = lambda i: F.col("w")[i]
     options = [F.concat(F.lit(f"{letter}. "), word(i + 1)) for i, letter in enumerate("abcd")]
     head = F.concat(F.col("doc_id").cast("string"), F.lit(" "), word(0))
     docs.select(F.concat_ws("\n", head, *options, F.lit(""))).write.text(f"{path}/q")
-    letter = F.substring(F.lit("abcd"), (F.col("doc_id") % 4 + 1).cast("int"), F.lit(1))
+    letter = F.substring(F.lit("abcd"), ((F.col("doc_id") + F.col("b")) % 4 + 1).cast("int"), F.lit(1))
     docs.select(F.concat_ws(" ", "doc_id", letter)).write.text(f"{path}/a")
     return flat(readers.read_synonym_questions(spark, f"{path}/q", f"{path}/a"), "options")
 
@@ -246,7 +264,7 @@ def append_eval_log(spark, sf):
 
 @query(
     "s12_append_vectors",
-    f"""WITH {accumulated_sql('')}, p AS ({PROFILE_SQL}) SELECT p.*, freq FROM p JOIN freqs ON target = token""",
+    f"""WITH {accumulated_sql('')}, p AS ({CELLS_SQL}) SELECT p.*, freq FROM p JOIN freqs ON target = token""",
 )
 def append_vectors(spark, sf):
     path = scratch_path(spark, "vectors")
@@ -254,7 +272,7 @@ def append_vectors(spark, sf):
     for part in (docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")):  # two runs into one table
         stores.append_vectors(C.accumulate_context_vectors(part, 2, K, ACTIVE), V.word_frequencies(part), path)
     counts = stores.read_vector_frequencies(spark, path).withColumnRenamed("token", "target")
-    return C.vector_profile(stores.read_vectors(spark, path)).join(counts, "target")
+    return vector_rows(stores.read_vectors(spark, path)).join(counts, "target")
 
 
 # -- streams ---------------------------------------------------------------------
@@ -262,12 +280,15 @@ def append_vectors(spark, sf):
 DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
-def document_stream(spark, sf):
-    return ST.read_documents(spark, sf, DOC_SCHEMA, "documents.parquet")
+def document_stream(spark, sf, files=4):
+    """The documents as several files, which arrive one after the other."""
+    path = scratch_path(spark, "arriving")
+    table(spark, sf, "documents").repartition(files, "doc_id").write.parquet(path)
+    return ST.read_documents(spark, path, DOC_SCHEMA, files_per_batch=1)
 
 
-def token_arrays(spark, sf):
-    return TX.normalize_corpus(document_stream(spark, sf), mode="words")
+def token_arrays(spark, sf, files=4):
+    return TX.normalize_corpus(document_stream(spark, sf, files), mode="words")
 
 
 @query("st1_stream_word_frequencies", f"WITH {FREQ} SELECT token, freq FROM freqs")
@@ -285,10 +306,10 @@ def stream_event_types(spark, sf):
     return ST.stream_word_frequencies(events, scratch_path(spark, "st1"))(spark)
 
 
-@query("st2_stream_context_vectors", f"WITH {accumulated_sql('')} {PROFILE_SQL}")
+@query("st2_stream_context_vectors", f"WITH {accumulated_sql('')} {CELLS_SQL}")
 def stream_context_vectors(spark, sf):
-    read = ST.stream_context_vectors(token_arrays(spark, sf), scratch_path(spark, "st2"), 2, K, ACTIVE)
-    return C.vector_profile(read(spark))
+    read = ST.stream_context_vectors(token_arrays(spark, sf, 2), scratch_path(spark, "st2"), 2, K, ACTIVE)
+    return vector_rows(read(spark))
 
 
 @query(
@@ -306,13 +327,13 @@ def stream_ngrams(spark, sf):
     return ST.stream_rows(grams, scratch_path(spark, "st4"))(spark)
 
 
-@query("st4_stream_tokenize")
+@query("st4_stream_tokenize", tokens_sql())
 def stream_tokenize(spark, sf):
     tokens = flat(TX.tokenize(document_stream(spark, sf), drop_space=True)).select("doc_id", "tokens")
     return ST.stream_rows(tokens, scratch_path(spark, "st4"))(spark)
 
 
-@query("st4_stream_entities", ENTITIES)
+@query("st4_stream_entities", entities_sql("documents"))
 def stream_entities(spark, sf):
-    found = TX.extract_entities(document_stream(spark, sf), LISTED)
-    return ST.stream_rows(found, scratch_path(spark, "st4"))(spark)
+    found = TX.extract_entities(document_stream(spark, sf))
+    return counted(ST.stream_rows(found, scratch_path(spark, "st4"))(spark))

@@ -43,7 +43,57 @@ def raw_counts(spark, sf):
     return V.word_frequencies(raw_corpus(spark, sf)).withColumnRenamed("freq", "n")
 
 
-@query("t01_tokenize")
+# SQL engines without lookaheads match the text that follows as well; these give the match itself.
+SMILEY_END = rf"[pPd3][^{P.WORD_CHARS}]"
+DOMAIN = rf"(?i:{P.URL_DOMAIN_STEPS}(?::{P.D}{{2,5}})?/?)"
+VERSION_END = P.VERSION.replace(r"(?=\P{Nd}|\z)", r"\P{Nd}")
+
+
+def own_match(kind: str, m: str) -> str:
+    """SQL for the match itself, given `m`, which may hold one more character."""
+    if kind in ("version", "numeric"):
+        return f"CASE WHEN regexp_full_match({m}, {sql(VERSION_END)}) THEN left({m}, length({m}) - 1) ELSE {m} END"
+    if kind == "url":
+        return f"""CASE WHEN regexp_full_match({m}, {sql(f'(?i:{P.URL_SCHEME})')}) OR regexp_full_match({m}, {sql(DOMAIN)}) THEN {m}
+            ELSE left({m}, length({m}) - 1) END"""
+    if kind == "emoticon":
+        return f"CASE WHEN regexp_matches({m}, {sql(f'^[:=;].*{SMILEY_END}$')}) THEN left({m}, length({m}) - 1) ELSE {m} END"
+    return m
+
+
+def extracted(pattern: str, column: str = "rest") -> str:
+    return f"regexp_extract({column}, {sql(f'^(?:{pattern})')})"
+
+
+def first_token(column: str = "rest") -> str:
+    """SQL for the token at the start of a text: the first rule that matches, or one character."""
+    own = {
+        "URL": own_match("url", extracted(P.URL, column)),
+        "NUMERIC": own_match("numeric", extracted(P.NUMERIC, column)),
+        "EMOTICON": own_match("emoticon", extracted(P.EMOTICON, column)),
+        "CONTRACTION_W1": f"left({column}, 1)",
+        "CONTRACTION_W2": f"left({column}, 2)",
+        "CONTRACTION_W3": f"regexp_extract({column}, {sql(f'^(?i:([a-z]+)(?:{P.SPLIT_SUFFIX}))')}, 1)",
+        "CONTRACTION_W4": f"left({column}, 2)",
+    }
+    rules = [f"WHEN {begins(p, column)} THEN {own.get(name, extracted(p, column))}" for name, p in P.TOKEN_RULES]
+    return "CASE " + " ".join(rules) + f" ELSE left({column}, 1) END"
+
+
+HYPHENATED = f"CASE WHEN instr(token, chr(173)) = 0 THEN token WHEN token = chr(173) THEN '-' WHEN regexp_matches(token, {sql(T._HYPHENATED)}) THEN replace(token, chr(173), '') ELSE token END"
+# A cursor walks every text; the engine carries the rest of the text from step to step.
+WALK = f"""walk AS (SELECT doc_id, 0 AS pos, '' AS token, text AS rest FROM documents
+      UNION ALL SELECT doc_id, pos + 1, token, substr(rest, length(token) + 1) FROM (
+        SELECT doc_id, pos, {first_token()} AS token, rest FROM walk WHERE rest <> '')),
+    raw AS (SELECT doc_id, pos, {HYPHENATED} AS token FROM walk WHERE pos > 0 AND NOT {begins(P.SPACES)})"""
+
+
+def tokens_sql(value: str = "token", where: str = "true", columns: str = "coalesce(tokens, '') AS tokens") -> str:
+    return f"""WITH RECURSIVE {WALK}, k AS (SELECT doc_id, string_agg({value}, ' ' ORDER BY pos) AS tokens, count(*) AS n
+        FROM raw WHERE {where} GROUP BY doc_id) SELECT doc_id, {columns} FROM documents LEFT JOIN k USING (doc_id)"""
+
+
+@query("t01_tokenize", tokens_sql(columns="coalesce(n, 0)::INTEGER AS n, coalesce(tokens, '') AS tokens"))
 def tokenize(spark, sf):
     tokens = TX.tokenize(documents(spark, sf), drop_space=True)
     return tokens.select("doc_id", F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("tokens"))
@@ -120,7 +170,7 @@ def normalize_split(spark, sf):
     return joined(raw_corpus(spark, sf).withColumn("tokens", T.normalize(F.col("tokens"))))
 
 
-@query("t06_normalize_corpus")
+@query("t06_normalize_corpus", tokens_sql(f"lower({REPLACED})", VALID))
 def normalize_corpus(spark, sf):
     return joined(TX.normalize_corpus(documents(spark, sf)))
 
@@ -131,30 +181,35 @@ def remove_stopwords(spark, sf):
     return joined(raw_corpus(spark, sf).withColumn("tokens", kept))
 
 
-SQL_KINDS = [k for k in P.ENTITY_KINDS if k not in P.LOOKAHEAD_KINDS]
-# single characters and words are counted in t12; listing each of them would repeat the corpus
-LISTED = [k for k in SQL_KINDS if k not in ("letter", "word", "whitespace", "punct", "punct_inside", "punct_end")]
+KINDS = list(P.ENTITY_KINDS)
 
 
-ENTITIES = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS kind, unnest(regexp_extract_all(text, {sql(P.ENTITY_KINDS[k])})) AS value FROM documents"
-    for k in LISTED
-)
+def entities_sql(rows: str, kinds=KINDS) -> str:
+    """Every match of every kind in `rows` (doc_id, text), counted per document."""
+    matches = " UNION ALL ".join(
+        f"""SELECT doc_id, '{k}' AS kind, {own_match(k, 'm')} AS value FROM (
+        SELECT doc_id, unnest(regexp_extract_all(text, {sql(P.ENTITY_KINDS[k])})) AS m FROM {rows})"""
+        for k in kinds
+    )
+    return f"SELECT doc_id, kind, value, count(*) AS n FROM ({matches}) GROUP BY ALL"
 
 
-@query(
-    "t08_extract_entities",
-    f"WITH x AS ({ENTITIES}) SELECT doc_id, kind, value, count(*) AS n FROM x GROUP BY ALL",
-)
-def extract_entities(spark, sf):
-    found = TX.extract_entities(documents(spark, sf), LISTED)
+def counted(found):
     return found.groupBy("doc_id", "kind", "value").agg(F.count("*").alias("n"))
 
 
-@query("t08_extract_lookahead_entities")
+@query("t08_extract_entities", entities_sql("documents"))
+def extract_entities(spark, sf):
+    return counted(TX.extract_entities(documents(spark, sf)))
+
+
+@query(
+    "t08_extract_lookahead_entities",
+    entities_sql("(SELECT page_id AS doc_id, concat_ws(' ', url, html) AS text FROM pages)", P.LOOKAHEAD_KINDS),
+)
 def extract_lookahead_entities(spark, sf):
     pages = table(spark, sf, "pages").select(F.col("page_id").alias("doc_id"), F.concat_ws(" ", "url", "html").alias("text"))
-    return TX.extract_entities(spread_scan(pages, "doc_id"), P.LOOKAHEAD_KINDS)
+    return counted(TX.extract_entities(spread_scan(pages, "doc_id"), P.LOOKAHEAD_KINDS))
 
 
 @query(
@@ -206,9 +261,9 @@ def repair_charset(spark, sf):
     "WITH x AS ("
     + " UNION ALL ".join(
         f"SELECT lang, '{k}' AS kind, len(regexp_extract_all(text, {sql(P.ENTITY_KINDS[k])})) AS n FROM documents"
-        for k in SQL_KINDS
+        for k in KINDS
     )
     + ") SELECT lang, kind, CAST(sum(n) AS BIGINT) AS n FROM x GROUP BY ALL",
 )
 def entity_profile(spark, sf):
-    return TX.entity_profile(documents(spark, sf), "lang", kinds=SQL_KINDS)
+    return TX.entity_profile(documents(spark, sf), "lang")

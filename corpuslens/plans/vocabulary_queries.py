@@ -108,7 +108,7 @@ def corpus_stats(spark, sf):
 
 @query(
     "v09_rank_frequency",
-    f"""WITH {VOCAB} SELECT CAST(id + 1 AS INTEGER) AS rank, token, freq, round(log10(id + 1), 9) AS log_rank,
+    f"""WITH {VOCAB} SELECT id + 1 AS rank, token, freq, round(log10(id + 1), 9) AS log_rank,
         round(log10(freq), 9) AS log_freq FROM vocab WHERE id < 1000""",
 )
 def rank_frequency(spark, sf):
@@ -228,7 +228,7 @@ def remove_signs(spark, sf):
     f"""WITH {FREQ}, n AS (SELECT 0.0001::DOUBLE * sum(freq) AS cut FROM freqs),
         p AS (SELECT token, CASE WHEN freq < cut THEN 0.0 ELSE 1 - sqrt(cut / freq) END AS d FROM freqs, n),
         k AS (SELECT doc_id, string_agg(token, ' ' ORDER BY pos) AS tokens FROM tok JOIN p USING (token)
-              WHERE ('0x' || substr(md5('7:' || doc_id || ':' || pos), 1, 8))::BIGINT / 4294967296.0::DOUBLE >= d
+              WHERE ('0x' || substr(md5('7:' || doc_id || ':' || pos), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE >= d
               GROUP BY doc_id)
         SELECT doc_id, coalesce(tokens, '') AS tokens FROM docs LEFT JOIN k USING (doc_id)""",
 )
@@ -251,7 +251,7 @@ def split_corpus(spark, sf):
 
 @query(
     "v19_hash_split",
-    """WITH u AS (SELECT doc_id, ('0x' || substr(md5('3:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+    """WITH u AS (SELECT doc_id, ('0x' || substr(md5('3:' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u
        FROM documents) SELECT doc_id, CASE WHEN u < 0.8::DOUBLE THEN 'train'
        WHEN u < 0.9::DOUBLE THEN 'valid' ELSE 'test' END AS split FROM u""",
 )
@@ -259,9 +259,17 @@ def hash_split(spark, sf):
     return V.hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=3)
 
 
-@query("v20_approximate_stats")
+@query(
+    "v20_approximate_stats",
+    f"WITH {FREQ} SELECT CAST(sum(freq) AS BIGINT) AS total_words, true AS within_three_rsd FROM freqs",
+)
 def approximate_stats(spark, sf):
-    return V.approximate_stats(corpus(spark, sf))
+    """The estimate is compared with the exact number of distinct words."""
+    rsd = 0.01
+    found = V.approximate_stats(corpus(spark, sf), rsd)
+    exact = freqs(spark, sf).agg(F.count("*")).scalar()
+    within = F.abs(F.col("approx_unique_words") / exact - 1) <= 3 * rsd
+    return found.select("total_words", within.alias("within_three_rsd"))
 
 
 @query(

@@ -12,8 +12,13 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def local_session(cores: int | str = 8, app: str = "corpuslens", **conf: str) -> SparkSession:
-    """A single-machine session with adaptive execution and few shuffle partitions."""
+def local_session(
+    cores: int | str = 8, app: str = "corpuslens", memory: str = "8g", shared: str | None = None, **conf: str
+) -> SparkSession:
+    """A single-machine session with adaptive execution and few shuffle partitions.
+
+    `shared` is the folder for checkpoints and intermediate tables.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -21,11 +26,13 @@ def local_session(cores: int | str = 8, app: str = "corpuslens", **conf: str) ->
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.autoBroadcastJoinThreshold", "64m")
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     spark = builder.getOrCreate()

@@ -1,21 +1,38 @@
 """Incremental counting and accumulation over file streams.
 
-Results are tables under a shared path.  Every micro-batch writes its own
-``batch_id`` folder and overwrites it when it is replayed, so a restarted stream
-never counts anything twice.
+Results are tables under a shared path.  Every micro-batch writes the rows it changed to
+a ``batch_id`` folder of its own and overwrites it when it is replayed, so a restarted
+stream never counts anything twice.  Every `COMPACT_EVERY` batches the current table is
+written as a whole; reading takes the latest whole table and the few folders after it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corpuslens.operators import context as C
 from corpuslens.operators import vocabulary as V
-from corpuslens.operators.random_index import sparse_add
+from corpuslens.operators.layout import generate
+
+COMPACT_EVERY = 10
+
+
+@dataclass(frozen=True)
+class Running:
+    """A started stream: its query handle, and its table as far as it has come."""
+
+    query: StreamingQuery
+    read: Callable[[SparkSession], DataFrame]
+
+    def __call__(self, spark: SparkSession) -> DataFrame:
+        """The table once all input that was there has been processed."""
+        self.query.processAllAvailable() if self.query.isActive else self.query.awaitTermination()
+        return self.read(spark)
 
 
 def read_documents(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
@@ -25,69 +42,81 @@ def read_documents(spark: SparkSession, folder: str, schema: str, pattern: str =
     return reader.parquet(folder)
 
 
-def _run(writer, state: str) -> StreamingQuery:
-    query = writer.option("checkpointLocation", f"{state}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return query
+def _start(writer: DataStreamWriter, state: str, trigger: dict | None) -> StreamingQuery:
+    """Starts the query; by default it takes what is there and ends."""
+    return writer.option("checkpointLocation", f"{state}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
-def _replace_batch(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+class ChangeTable:
+    """Rows by key, kept as the changes of each batch; a key's current row is its latest."""
 
+    def __init__(self, path: str, schema: str, *keys: str):
+        self.path, self.schema, self.keys = path, schema, keys
 
-def stream_word_frequencies(stream: DataFrame, state: str) -> Callable[[SparkSession], DataFrame]:
-    """Running counts of a stream with `tokens`; the returned function reads the current table.
+    def write(self, df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        df.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
+        if (batch_id + 1) % COMPACT_EVERY == 0:
+            self.until(spark, batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/whole/until={batch_id + 1}")
 
-    The state store keeps the counts; each batch writes only the tokens it changed, and
-    a token's current count is the one of its latest batch.
-    """
-    counts = V.word_frequencies(stream)
-    table = f"{state}/table"
-    _run(counts.writeStream.outputMode("update").foreachBatch(lambda df, b: _replace_batch(df, table, b)), state)
+    def until(self, spark: SparkSession, batches: int) -> DataFrame:
+        """The table after the first `batches` batches."""
+        whole = max(batches - 1, 0) // COMPACT_EVERY * COMPACT_EVERY
+        reader = spark.read.schema(self.schema)
+        parts = [reader.parquet(f"{self.path}/whole/until={whole}").withColumn("_b", F.lit(-1))] if whole else []
+        parts += [
+            reader.parquet(f"{self.path}/changes/batch_id={b}").withColumn("_b", F.lit(b)) for b in range(whole, batches)
+        ]
+        if not parts:
+            return spark.createDataFrame([], self.schema)
+        rows = parts[0]
+        for more in parts[1:]:
+            rows = rows.unionByName(more)
+        values = [c for c in rows.columns if c not in (*self.keys, "_b")]
+        latest = F.max_by(F.struct(*values), "_b").alias("_v")
+        return rows.groupBy(*self.keys).agg(latest).select(*self.keys, "_v.*")
 
-    def read(spark: SparkSession) -> DataFrame:
-        return spark.read.parquet(table).groupBy("token").agg(F.max_by("freq", "batch_id").alias("freq"))
+    def read(self, spark: SparkSession) -> DataFrame:
+        """The table after the last batch whose folder is complete."""
+        last = spark.read.parquet(f"{self.path}/changes").agg(F.max("batch_id")).first()[0]
+        return self.until(spark, 0 if last is None else int(last) + 1)
 
-    return read
 
+def stream_word_frequencies(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:
+    """Running counts of a stream with `tokens`; Spark's state store keeps the counts."""
+    table = ChangeTable(f"{state}/table", "token string, freq long", "token")
+    writer = V.word_frequencies(stream).writeStream.outputMode("update").foreachBatch(table.write)
+    return Running(_start(writer, state, trigger), table.read)
 
-def stream_context_vectors(
-    stream: DataFrame, state: str, size: int, k: int, s: int, seed: int = 0, include_target: bool = True, hash: str = "md5"
-) -> Callable[[SparkSession], DataFrame]:
-    """Context vectors of each batch; sums are additive, so the parts add up to the whole corpus."""
-    table = f"{state}/table"
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        cells = C.accumulate_context_vectors(df, size, k, s, seed, include_target, hash)
-        _replace_batch(cells, table, batch_id)
-
-    _run(stream.writeStream.foreachBatch(write), state)
-    return lambda spark: sparse_add(spark.read.parquet(table).drop("batch_id"), keys=("target",), value="w")
-
-
-def stream_vocabulary(stream: DataFrame, state: str) -> Callable[[SparkSession], DataFrame]:
+def stream_context_vectors(
+    stream: DataFrame, state: str, size: int, k: int, s: int, seed: int = 0, include_target: bool = True, trigger: dict | None = None
+) -> Running:
+    """Running context vectors: windows are encoded inside their row and summed in the state store."""
+    windows = C.window_vectors(stream, size, k, s, seed, include_target)
+    zipped = F.arrays_zip(F.col("tokens").alias("target"), windows.alias("cells"))
+    rows = generate(stream, [], F.posexplode_outer(zipped), "pos", "_z").select("_z.target", F.inline("_z.cells"))
+    sums = rows.groupBy("target", "idx").agg(F.sum("w").alias("w"))
+    table = ChangeTable(f"{state}/table", "target string, idx int, w long", "target", "idx")
+    writer = sums.writeStream.outputMode("update").foreachBatch(table.write)
+    return Running(_start(writer, state, trigger), lambda spark: table.read(spark).where("w <> 0"))
+
+
+def stream_vocabulary(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:
     """A growing vocabulary: new tokens take the next ids, old ids never change.
 
     A batch writes only its new tokens; when it is replayed it sees the tables of the
     earlier batches alone and gives the same ids again.
     """
-    table = f"{state}/table"
-
-    def earlier(spark: SparkSession, batch_id: int) -> DataFrame:
-        parts = [f"{table}/batch_id={b}" for b in range(batch_id)]
-        return spark.read.schema("token string, id long").parquet(*parts) if parts else (
-            spark.createDataFrame([], "token string, id long")
-        )
+    table = ChangeTable(f"{state}/table", "token string, id long", "token")
 
     def write(df: DataFrame, batch_id: int) -> None:
-        old = earlier(df.sparkSession, batch_id)
-        _replace_batch(V.new_signs(old, V.tokens_only(df)), table, batch_id)
+        table.write(V.new_signs(table.until(df.sparkSession, batch_id), V.tokens_only(df)), batch_id)
 
-    _run(stream.writeStream.foreachBatch(write), state)
-    return lambda spark: spark.read.schema("token string, id long, batch_id long").parquet(table).select("token", "id")
+    return Running(_start(stream.writeStream.foreachBatch(write), state, trigger), table.read)
 
 
-def stream_rows(stream: DataFrame, state: str) -> Callable[[SparkSession], DataFrame]:
+def stream_rows(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:
     """Appends the rows of a stateless stream (tokens, n-grams, entities) to a Parquet table."""
-    _run(stream.writeStream.outputMode("append").format("parquet").option("path", f"{state}/table"), state)
-    return lambda spark: spark.read.parquet(f"{state}/table")
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", f"{state}/table")
+    return Running(_start(writer, state, trigger), lambda spark: spark.read.parquet(f"{state}/table"))

@@ -44,15 +44,25 @@ def test_flat_ngrams_equal_brute_force(corpus, parts, block):
     assert got == {i: tokens[i:i + 4] for i in range(len(tokens) - 3)}
 
 
-def test_take_skip_and_range(spark, monkeypatch):
+def test_take_skip_and_range(spark):
     rows = spark.range(10).withColumn("k", -F.col("id"))
     assert [r.id for r in ordering.take(rows, 3, "k").collect()] == [9, 8, 7]
     assert ordering.take(rows, 50, "k").count() == 10
-    monkeypatch.setattr(ordering, "TOP_K_ROWS", 1)
-    assert sorted(r.id for r in ordering.take(rows, 3, "k").collect()) == [7, 8, 9]
     assert sorted(r.id for r in S.skip(rows, 7, "id").collect()) == [7, 8, 9]
     assert S.skip(rows, None, "id").count() == 0
     assert sorted(r.id for r in S.row_range(rows, 2, 4, "id").collect()) == [2, 3]
+    assert sorted((r.id, r.idx) for r in S.row_range(rows, 8, 40, "id").collect()) == [(8, 8), (9, 9)]
+    assert S.skip(rows, 10, "id").count() == 0 and S.skip(rows, 0, "id").count() == 10
+
+
+def test_rows_in_order_stay_in_place(spark, tmp_path, capsys):
+    spark.range(50).select("id", F.lit("text").alias("payload")).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for made in (S.skip(df, 3, "id"), S.add_slices(df, 4, "id"), V.split_corpus(df, "id")):
+        made.explain()
+        plan = capsys.readouterr().out.split("Subqueries")[0]
+        main = plan.split("Subquery")[0]
+        assert "payload" in main and "Exchange" not in main
 
 
 def test_slices(spark):
