@@ -314,10 +314,17 @@ def stream_context_vectors(spark, sf):
 
 @query(
     "st3_stream_vocabulary",
-    f"WITH {FREQ} SELECT token, row_number() OVER (ORDER BY token) - 1 AS id FROM freqs",
+    f"""WITH {TOK}, f AS (SELECT token, min(doc_id % 4) AS part FROM tok GROUP BY token)
+        SELECT token, row_number() OVER (ORDER BY part, token) - 1 AS id FROM f""",
 )
 def stream_vocabulary(spark, sf):
-    return ST.stream_vocabulary(token_arrays(spark, sf), scratch_path(spark, "st3"))(spark)
+    """Four runs of one stream, each over the documents that arrived since the last."""
+    path, state = scratch_path(spark, "arriving"), scratch_path(spark, "st3")
+    for part in range(4):
+        table(spark, sf, "documents").where(F.col("doc_id") % 4 == part).write.mode("append").parquet(path)
+        tokens = TX.normalize_corpus(ST.read_documents(spark, path, DOC_SCHEMA), mode="words")
+        found = ST.stream_vocabulary(tokens, state)(spark)
+    return found
 
 
 @query("st4_stream_ngrams", f"""WITH {DOCS}, p AS (SELECT doc_id, t, unnest(range(1, len(t) - 1)) AS i FROM docs)

@@ -17,7 +17,6 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corpuslens.operators import context as C
 from corpuslens.operators import vocabulary as V
-from corpuslens.operators.layout import generate
 
 COMPACT_EVERY = 10
 
@@ -92,14 +91,13 @@ def stream_word_frequencies(stream: DataFrame, state: str, trigger: dict | None
 def stream_context_vectors(
     stream: DataFrame, state: str, size: int, k: int, s: int, seed: int = 0, include_target: bool = True, trigger: dict | None = None
 ) -> Running:
-    """Running context vectors: windows are encoded inside their row and summed in the state store."""
-    windows = C.window_vectors(stream, size, k, s, seed, include_target)
-    zipped = F.arrays_zip(F.col("tokens").alias("target"), windows.alias("cells"))
-    rows = generate(stream, [], F.posexplode_outer(zipped), "pos", "_z").select("_z.target", F.inline("_z.cells"))
-    sums = rows.groupBy("target", "idx").agg(F.sum("w").alias("w"))
-    table = ChangeTable(f"{state}/table", "target string, idx int, w long", "target", "idx")
-    writer = sums.writeStream.outputMode("update").foreachBatch(table.write)
-    return Running(_start(writer, state, trigger), lambda spark: table.read(spark).where("w <> 0"))
+    """Running context vectors: the state store sums how often words meet, ten times fewer rows than cells."""
+    counts = C.unordered_pair_counts(stream, size, include_target)
+    table = ChangeTable(f"{state}/table", "a string, b string, n long", "a", "b")
+    writer = counts.writeStream.outputMode("update").foreachBatch(table.write)
+    return Running(
+        _start(writer, state, trigger), lambda spark: C.vectors_of_pairs(C.mirrored(table.read(spark)), k, s, seed)
+    )
 
 
 def stream_vocabulary(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:
