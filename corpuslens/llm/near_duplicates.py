@@ -15,12 +15,12 @@ are in few lists this way.
 
 Candidates from the lists are filtered by the estimate from their union's sketch, and what
 is left is verified on full sets, which are made again from the texts: texts travel to
-their candidates, never all pairs of a list.  In each round a list offers only pairs with
-one pivot, the member with most shared values; linked members fall into one component, and
+their candidates, never all pairs of a list.  First a list offers only pairs with one
+pivot, the member that shares most of its values; linked members fall into one component, and
 pairs inside a component need no test.  When few pairs are left between components, all
-are tested.  Lists that stay large without linking (classes that consist of common
-passages) get a second index over full sets, where the bound on common values is exact
-and holds without probability.
+are tested.  Where many are left (classes that consist of common passages), the lists'
+members get a second index over full sets, in which the bounds on common values are exact
+and hold without probability; further rounds follow there as long as they link.
 
 Every stage deals its work by class, list value or (pivot, part of its members), lists are
 never gathered, and joins whose one side is hot are left to adaptive execution's splitting.
@@ -50,7 +50,8 @@ THRESHOLD = 80  # percent
 K = 64
 MISS = 1e-9
 MEMBERS = 256  # members that meet a pivot in one place
-FEW = 2  # pairs left for each index entry that may be tested without further rounds
+FEW = 0.5  # pairs left for each index entry that may be tested without further rounds
+FEW_EXACT = 1  # the same for lists over full sets
 FEWEST_LINKS = 50  # rounds go on while one pair in so many is a link
 BROADCAST_ROWS = 500_000
 WORDS_HELD = 1 << 20  # word hashes remembered by a task
@@ -236,42 +237,37 @@ def _may_reach(threshold: int, exact: bool) -> Column:
 
 
 def linked(
-    index: DataFrame, edges: DataFrame, classes: DataFrame, docs: DataFrame, width: int, threshold: int, last: bool
+    index: DataFrame, edges: DataFrame | None, classes: DataFrame, docs: DataFrame, width: int, threshold: int, last: bool
 ) -> tuple[DataFrame, DataFrame | None]:
     """`edges` with the links that the lists of `index` lead to, and lists that are left.
 
-    `last`: the index is over full sets.  Else lists are left where rounds link few more
-    and many pairs remain.
+    `last`: the index is over full sets, and no list is left.  Else one round is made, and
+    lists are left where many pairs remain.
     """
-    entries = index.count()
-    comp = components(edges)
-    member = stored(index.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
-    tested, going = None, True
+    entries, tested, going = index.count(), None, True
     while True:
-        shorts = F.count(F.when(F.col("short"), 1)).alias("shorts")
-        by_comp = member.groupBy("value", "comp").agg(F.count("*").alias("c"), shorts)
-        lists = by_comp.groupBy("value").agg(
-            F.sum("c").alias("size"), F.sum("shorts").alias("shorts"), F.max(F.struct("c", "comp", "shorts")).alias("major"),
-            F.count("*").alias("comps"),
-        ).where("comps > 1 and shorts > 0")
-        rest, rest_shorts = F.col("size") - F.col("major.c"), F.col("shorts") - F.col("major.shorts")
-        cost = rest * F.col("shorts") + rest_shorts * F.col("size")
-        lists = stored(lists.select("value", F.col("major.comp").alias("major"), cost.alias("cost")), "open")
-        cost = lists.agg(F.sum("cost")).first()[0]
-        if cost is None:
-            return edges, None
-        finish = tested is not None and (cost <= FEW * entries or (last and not going))
-        if tested is not None and not going and not finish:
-            return edges, lists.select("value")
-        open_member = member.join(lists.select("value", "major"), "value").withColumn("outside", F.col("comp") != F.col("major"))
-        outside = open_member.where("outside")
-        if finish:
-            chosen = outside.select("value", F.struct("weight", F.col("node").alias("m"), "n", "comp", "short").alias("p"))
+        first = edges is None
+        if first:  # every class is a component of its own
+            member = index.withColumns({"comp": F.col("node"), "outside": F.lit(True)})
+            finish = False
         else:
-            # The member with most shared values, after the first round one outside the largest component.
-            pool = open_member if tested is None else outside
-            best = F.max(F.struct("weight", (-F.col("node")).alias("m"), "n", "comp", "short")).alias("p")
-            chosen = pool.groupBy("value").agg(best).withColumn("p", F.col("p").withField("m", -F.col("p.m")))
+            comp = components(edges)
+            labelled = stored(index.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+            lists = _open_lists(labelled)
+            cost = lists.agg(F.sum("cost")).first()[0]
+            if cost is None:
+                return edges, None
+            finish = cost <= (FEW_EXACT if last else FEW) * entries or (last and not going)
+            if not finish and not last:
+                return edges, lists.select("value")
+            member = labelled.join(lists.select("value", "major"), "value").withColumn("outside", F.col("comp") != F.col("major"))
+        outside = member.where("outside")
+        whole_set = F.col("n") if last else F.least("n", F.lit(K))
+        entry = F.struct((F.col("weight") / whole_set).alias("share"), "weight", F.col("node").alias("m"), "n", "comp", "short").alias("p")
+        if finish:
+            chosen = outside.select("value", entry)
+        else:  # the member that shares most of its values, after the first round one outside the largest component
+            chosen = outside.groupBy("value").agg(F.max(entry).alias("p"))
         chosen = chosen.select(
             "value", F.col("p.m").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"),
             F.col("p.weight").alias("wa"), F.col("p.short").alias("sa"),
@@ -279,24 +275,33 @@ def linked(
         met = (F.col("comp") != F.col("ca")) & _may_reach(threshold, last)
         if finish:  # two members outside meet once
             met = met & (~F.col("outside") | (F.col("a") < F.col("node")))
-        pairs = open_member.join(chosen, "value").where(met).select("a", F.col("node").alias("b")).distinct()
+        pairs = member.join(chosen, "value").where(met).select("a", F.col("node").alias("b")).distinct()
         if tested is not None:
             known = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(known, ["a", "b"], "left_anti")
         pairs = stored(pairs, "pairs")
-        tested = pairs if tested is None else stored(tested.unionByName(pairs), "tested")
+        tested = pairs if tested is None else tested.unionByName(pairs)
         found = verified(likely(pairs, classes, threshold=threshold), classes, docs, width, threshold)
-        edges = edges.unionByName(found)
+        edges = found if first else edges.unionByName(found)
         if finish:
             return edges, None
         going = found.count() * FEWEST_LINKS >= pairs.count() > 0
-        # Components of components: only the new links are followed.
-        labels = member.select("node", "comp").distinct()
-        named = found.join(labels.select(F.col("node").alias("a"), F.col("comp").alias("ca")), "a").join(
-            labels.select(F.col("node").alias("b"), F.col("comp").alias("cb")), "b"
-        )
-        merged = components(named.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("comp"), F.col("comp").alias("_to"))
-        member = stored(member.join(merged, "comp", "left").withColumn("comp", F.coalesce("_to", "comp")).drop("_to"), "members")
+
+
+def _open_lists(member: DataFrame) -> DataFrame:
+    """Lists whose members are in several components: (value, major, cost); stored.
+
+    `major` is the component with most members, `cost` the pairs with members outside it.
+    """
+    shorts = F.count(F.when(F.col("short"), 1)).alias("shorts")
+    by_comp = member.groupBy("value", "comp").agg(F.count("*").alias("c"), shorts)
+    lists = by_comp.groupBy("value").agg(
+        F.sum("c").alias("size"), F.sum("shorts").alias("shorts"), F.max(F.struct("c", "comp", "shorts")).alias("major"),
+        F.count("*").alias("comps"),
+    ).where("comps > 1 and shorts > 0")
+    rest, rest_shorts = F.col("size") - F.col("major.c"), F.col("shorts") - F.col("major.shorts")
+    cost = rest * F.col("shorts") + rest_shorts * F.col("size")
+    return stored(lists.select("value", F.col("major.comp").alias("major"), cost.alias("cost")), "open")
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
@@ -304,9 +309,8 @@ def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE, threshold:
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
     exact = F.ceil(F.col("n") * threshold / 100)
     need = F.when(F.col("n") * 100 <= K * threshold, exact).otherwise(floor_of(K, threshold))
-    none = classes.sparkSession.createDataFrame([], "a long, b long")
     index = index_of(values, need, need)
-    edges, left = linked(index, none, classes, docs, width, threshold, last=False)
+    edges, left = linked(index, None, classes, docs, width, threshold, last=False)
     if left is None:
         return edges
     # Full sets for the classes of the lists that are left.

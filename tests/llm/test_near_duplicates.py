@@ -99,6 +99,7 @@ def odd_documents():
 def test_odd_rows_and_every_path(spark, make, monkeypatch, few):
     """With few = 0 pairs are only left to the last resort: lists over full sets."""
     monkeypatch.setattr(nd, "FEW", few)
+    monkeypatch.setattr(nd, "FEW_EXACT", few)
     docs = odd_documents()
     path = make([(d, t, None, None, None) for d, t in docs])
     assert rows_of(queries.op4_near_duplicates(spark, path)) == brute(docs)
