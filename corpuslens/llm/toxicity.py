@@ -1,16 +1,20 @@
-"""Toxicity by compression: two zstandard dictionaries, one per class, compared window by window.
+"""Toxicity by compression: zstandard dictionaries of the two classes, compared window by window.
 
-The ordinary dictionary is trained on ordinary text.  The toxic one is trained on words
-that recur in toxic documents and that ordinary ones hardly have, and ends in the ordinary
-dictionary's content, so that ordinary windows compress alike under both and the
-difference of two lengths is what the toxic part explains.  Dictionaries are used as
-content only, since entropy tables would shift all lengths.
+Passages: one dictionary is trained on windows of ordinary texts, one of the same size on
+all windows of the toxic texts.  Windows are runs of words of at least `PASSAGE_BYTES`
+bytes, taken twice with borders half a window apart, so that a phrase is whole in one.
 
-A window is a run of words of at least `WINDOW_BYTES` bytes; the default makes each word a
-window, and a fixed frame around it, known to both dictionaries, keeps the overhead of so
-short a block out of the comparison.  A document's differences are counted by size, and a
-logistic calibration turns the counts into a score.  The calibration is fitted crosswise:
-documents of one half are compared by dictionaries of the other half.
+Words: each word is a window of its own, too, under the ordinary dictionary and the same one
+with a lexicon before it: all words that recur in toxic documents and that ordinary ones
+hardly have, however many.  Words of many toxic documents and words of few are two
+lexicons, since more of the second are there by chance.  Ordinary words compress alike
+with and without a lexicon, so the difference is what the lexicon explains.
+
+A fixed frame around a window, known to all dictionaries, keeps the overhead of so short a
+block out of the comparison.  Dictionaries are used as content only, since entropy tables
+would shift all lengths.  A document's differences are counted by size for each comparison,
+and a logistic calibration turns the counts into a score.  The calibration is fitted
+crosswise: documents of one half are compared by dictionaries of the other half.
 
 The model is fitted on the driver on at most `TOXIC_DOCS` and `ORDINARY_DOCS` labelled
 documents and `SAMPLE_BYTES` bytes of text (a stated sample; beyond the bytes fewer
@@ -36,12 +40,15 @@ FOLDS, HELD_OUT = 4, 2
 TOXIC_DOCS, ORDINARY_DOCS = 4000, 8000
 SAMPLE_BYTES = 64 << 20
 THRESHOLD = 0.3
-LEVEL = 9
+LEVEL, PASSAGE_LEVEL = 9, 3
 WINDOW_BYTES = 1
-ORDINARY_BYTES, TOXIC_BYTES = 1 << 16, 1 << 11  # sizes of the trained dictionaries
-TRAINING_WINDOWS = 40_000
+PASSAGE_BYTES = 48
+DICTIONARY_BYTES = 1 << 16  # size of each trained dictionary
+TRAINING_WINDOWS = 40_000  # of ordinary texts
+COMMON = 200  # a word is in the first lexicon if one in so many toxic documents has it
 FRAME = b"\x01\x02 window \x03\x04"
 LOWEST, HIGHEST = -2, 7  # differences are counted between these
+VALUES = np.arange(LOWEST, HIGHEST + 1)
 HELD = 400_000  # window lengths remembered by a task
 _TO_SPACE = bytes.maketrans(b".,!?#$%&*|", b" " * 10)
 
@@ -61,16 +68,38 @@ def windows(text: str | None, size: int) -> list[bytes]:
     return out + ([b" ".join(held)] if held else [])
 
 
-def train(samples: list[bytes], size: int, **parameters: int) -> bytes:
+def passages(text: str | None, size: int = PASSAGE_BYTES) -> list[bytes]:
+    """The windows of at least `size` bytes and those that begin half a window later."""
+    found = windows(text, max(size // 2, 1))
+    return [b" ".join(found[i : i + 2]) for i in range(max(len(found) - 1, min(len(found), 1)))]
+
+
+def train(samples: list[bytes], size: int) -> bytes:
     """A trained dictionary; of few samples, which cannot be trained on, their joined bytes."""
     try:
-        return zstandard.train_dictionary(size, samples, **parameters).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
         return b" ".join(samples)[-size:]
 
 
+def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
+    raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    parameters = zstandard.ZstdCompressionParameters.from_level(
+        level, source_size=64, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0,
+        format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    return zstandard.ZstdCompressor(dict_data=raw, compression_params=parameters)
+
+
+def _gains(compressors: list[zstandard.ZstdCompressor], window: bytes) -> tuple[int, ...]:
+    """Bytes by which the framed window is shorter under each compressor than under the first."""
+    framed = FRAME + b" " + window + b" " + FRAME
+    ordinary, *others = [len(c.compress(framed)) for c in compressors]
+    return tuple(min(max(ordinary - o, LOWEST), HIGHEST) for o in others)
+
+
 class Dictionaries:
-    """The two dictionaries, trained on (label, text) pairs."""
+    """The dictionaries, trained on (label, text) pairs: ordinary, with each of two lexicons, toxic."""
 
     def __init__(self, rows: list[tuple[int, str]], window: int = WINDOW_BYTES):
         self.window = window
@@ -83,28 +112,23 @@ class Dictionaries:
             else:
                 elsewhere.update(words)
                 ordinary += 1
-        least = max(2, toxic // 200)
-        telling = {w: c for w, c in seen.items() if c >= least and c / toxic > 8 * (elsewhere[w] + 0.5) / max(ordinary, 1)}
+        telling = [w for w, c in seen.items() if c >= 2 and c / toxic > 8 * (elsewhere[w] + 0.5) / max(ordinary, 1)]
+        common = {w for w in telling if seen[w] >= max(2, toxic // COMMON)}
+        lexicons = common, set(telling) - common
         order = np.random.default_rng(0)
-        repeated = [w for w in sorted(telling) for _ in range(telling[w])]
-        order.shuffle(repeated)
-        packed = [b" " + b"  ".join(repeated[i : i + 8]) + b" " for i in range(0, len(repeated), 8)]
         plain = [b" " + w + b" " for label, text in rows if not label for w in windows(text, 96)]
         order.shuffle(plain)
-        ordinary_part = train(plain[:TRAINING_WINDOWS], ORDINARY_BYTES)
-        self.contents = ordinary_part + FRAME, ordinary_part + train(packed, TOXIC_BYTES, k=16, d=6) + FRAME
+        ordinary_part = train(plain[:TRAINING_WINDOWS], DICTIONARY_BYTES)
+        hostile = train([b" " + w + b" " for label, text in rows if label for w in windows(text, 96)], DICTIONARY_BYTES)
+        joined = [b" " + b"  ".join(sorted(lexicon, key=lambda w: (seen[w], w))) + b" " for lexicon in lexicons]
+        with_words = [words + ordinary_part + FRAME for words in joined]
+        self.contents = [ordinary_part + FRAME, *with_words], [ordinary_part + FRAME, hostile + FRAME]
         self._ready()
 
     def _ready(self) -> None:
-        self.held: dict[bytes, int] = {}
-        self.compressors = []
-        for content in self.contents:
-            raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            parameters = zstandard.ZstdCompressionParameters.from_level(
-                LEVEL, source_size=64, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0,
-                format=zstandard.FORMAT_ZSTD1_MAGICLESS,
-            )
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=raw, compression_params=parameters))
+        self.held: dict[bytes, tuple[int, int]] = {}
+        self.by_word = [_compressor(content, LEVEL) for content in self.contents[0]]
+        self.by_passage = [_compressor(content, PASSAGE_LEVEL) for content in self.contents[1]]
 
     def __getstate__(self) -> dict:
         return {"window": self.window, "contents": self.contents}
@@ -113,25 +137,35 @@ class Dictionaries:
         self.__dict__.update(state)
         self._ready()
 
-    def difference(self, window: bytes) -> int:
-        """Bytes by which the window is shorter under the toxic dictionary."""
+    def differences(self, window: bytes) -> tuple[int, int]:
+        """Bytes by which the window is shorter with each of the two lexicons."""
         found = self.held.get(window)
         if found is None:
-            framed = FRAME + b" " + window + b" " + FRAME
-            ordinary, toxic = (len(c.compress(framed)) for c in self.compressors)
-            found = min(max(ordinary - toxic, LOWEST), HIGHEST)
+            found = _gains(self.by_word, window)
             if len(self.held) < HELD:
                 self.held[window] = found
         return found
 
+    def difference(self, window: bytes) -> int:
+        """Bytes by which the window is shorter with the lexicon that explains more of it."""
+        return max(self.differences(window), key=abs)
+
+    def passage_difference(self, window: bytes) -> int:
+        """Bytes by which the window is shorter under the dictionary of toxic texts."""
+        return _gains(self.by_passage, window)[0]
+
     def features(self, text: str | None) -> list[float]:
-        """Logarithms of the counts of differences, their shares, and the number of windows."""
+        """For each comparison logarithms of the counts of differences, their shares, the largest and their sum; the number of windows."""
         found = windows(text, self.window)
-        counts = np.bincount(np.array([self.difference(w) - LOWEST for w in found], dtype=np.int64), minlength=HIGHEST - LOWEST + 1)
-        values = np.arange(LOWEST, HIGHEST + 1)
-        gain = (counts * values)[values >= 2].sum()
-        largest = values[counts > 0].max() if found else 0
-        return [*np.log1p(counts), *(counts / max(len(found), 1))[1 - LOWEST :], np.log1p(len(found)), largest, np.log1p(gain)]
+        by_word = [self.differences(w) for w in found]
+        by_passage = [self.passage_difference(w) for w in passages(text)]
+        out = [float(np.log1p(len(found)))]
+        for gains in ([g[0] for g in by_word], [g[1] for g in by_word], by_passage):
+            counts = np.bincount(np.array(gains, dtype=np.int64) - LOWEST, minlength=HIGHEST - LOWEST + 1)
+            gain = (counts * VALUES)[VALUES >= 2].sum()
+            largest = VALUES[counts > 0].max() if gains else 0
+            out += [*np.log1p(counts), *(counts / max(len(gains), 1))[1 - LOWEST :], largest, np.log1p(gain)]
+        return out
 
 
 class Classifier:

@@ -67,6 +67,41 @@ def test_compression_difference():
     assert toxicity.windows("One, two three.", 5) == [b"one two", b"three"]
 
 
+def made_words(rng, n):
+    return sorted({"".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(n)})
+
+
+def area_of_new_texts(rng, made, n):
+    """Of texts that `made(toxic)` makes: a classifier of n texts of each class, and its area under the curve on others."""
+    labels = [1, 0] * n
+    model = toxicity.Classifier([(y, i // 2 % 2, made(y)) for i, y in enumerate(labels)])
+    return auc(model.scores([made(y) for y in labels[:400]]), labels[:400])
+
+
+def test_toxic_phrases_of_ordinary_words():
+    rng = np.random.default_rng(5)
+    words = made_words(rng, 400)
+    phrases = [words[i : i + 4] for i in range(0, 24, 4)]
+
+    def made(toxic):
+        text, at = list(rng.choice(words, 40)), rng.integers(40)
+        return " ".join(text[:at] + (phrases[rng.integers(6)] if toxic else list(rng.choice(words, 4))) + text[at:])
+
+    assert area_of_new_texts(rng, made, 500) > 0.95
+
+
+def test_many_rare_toxic_words():
+    rng = np.random.default_rng(6)
+    words, toxic_words = made_words(rng, 150), made_words(rng, 400)
+
+    def made(toxic):
+        text = list(rng.choice(words, 40)) + [rng.choice(toxic_words if toxic else words)]
+        rng.shuffle(text)
+        return " ".join(text)
+
+    assert area_of_new_texts(rng, made, 4000) > 0.9
+
+
 def test_statistics_of_chunks(monkeypatch):
     text = "Some Words, repeated repeated words. 12 ## é\n" * 500
     whole = quality.statistics(text)
