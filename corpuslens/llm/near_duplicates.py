@@ -116,11 +116,20 @@ def sketches(docs: DataFrame, width: int = SHINGLE, k: int = K) -> DataFrame:
 
 
 def classes_of(sketched: DataFrame) -> DataFrame:
-    """One row for each distinct set: node, digest, doc (its smallest id), n, sketch; stored."""
-    grouped = sketched.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("doc"), F.first("n").alias("n"), F.first("sketch").alias("sketch")
-    )
-    return stored(grouped.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+    """One row for each distinct set: node, digest, doc (its smallest id), mark (of a text of that id), n, sketch; stored."""
+    smallest = F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "mark")).alias("k")
+    grouped = sketched.where("n > 0").groupBy("digest").agg(smallest, F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    named = grouped.select("digest", F.col("k.doc_id").alias("doc"), F.col("k.mark").alias("mark"), "n", "sketch")
+    return stored(named.select(F.monotonically_increasing_id().alias("node"), "*"), "classes")
+
+
+def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
+    """`wanted`, whose rows name a text by (doc, mark), with the text; equal rows of `docs` count once."""
+    same = F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("_mark") == F.col("mark"))
+    keys = wanted.select("doc", "mark").distinct()
+    marked = docs.select("doc_id", F.md5("text").alias("_mark"), "text").join(small_or_shuffled(keys), same, "left_semi")
+    single = marked.groupBy("doc_id", "_mark").agg(F.first("text").alias("text"))
+    return single.join(small_or_shuffled(wanted), same)
 
 
 def index_of(values: DataFrame, need: Column, need_of_longer: Column) -> DataFrame:
@@ -199,10 +208,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int =
     dealt = stored(pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("_parts")).alias("part"), "b"), "dealt")
     heads = dealt.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("node"))
     members = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("node"))
-    named = heads.unionByName(members).join(classes.select("node", "digest", "doc"), "node")
+    named = heads.unionByName(members).join(classes.select("node", "digest", "doc", "mark"), "node")
     wanted = stored(named, "wanted")
-    texts = docs.select("doc_id", "text").join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("doc")))
-    rows = texts.select("a", "part", "role", "node", "digest", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    rows = texts_of(wanted, docs).select("a", "part", "role", "node", "digest", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, place, pivot = _WordHashes(), None, None
@@ -315,7 +323,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE, threshold:
         return edges
     # Full sets for the classes of the lists that are left.
     nodes = index.join(left, "value", "left_semi").select("node").distinct()
-    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "n", "digest", "doc"), "wanted")
+    wanted = stored(classes.join(nodes, "node", "left_semi").select("node", "n", "digest", "doc", "mark"), "wanted")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
@@ -326,8 +334,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE, threshold:
             arrays = [batch.column(0), batch.column(1), pa.array(own, pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(arrays, ["node", "n", "vals"])
 
-    texts = docs.select("doc_id", "text").join(small_or_shuffled(wanted), F.col("doc_id").eqNullSafe(F.col("doc")))
-    full = texts.select("node", "n", "digest", "text").mapInArrow(sets, "node long, n long, vals array<long>")
+    full = texts_of(wanted, docs).select("node", "n", "digest", "text").mapInArrow(sets, "node long, n long, vals array<long>")
     rows = stored(full.select("node", "n", F.explode("vals").alias("value")).distinct(), "values")
     of_longer = F.ceil(F.col("n") * (2 * threshold) / (100 + threshold))
     return linked(index_of(rows, exact, of_longer), edges, classes, docs, width, threshold, last=True)[0]

@@ -142,3 +142,23 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (202, 201)]
     got = {r.node: r.comp for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 0, 200: 200, 201: 200, 202: 200}
+
+
+def test_texts_under_one_id_travel_to_their_own_candidates_only(spark, make, monkeypatch):
+    rng, names = random.Random(8), (f"new{i}" for i in range(10**9))
+    docs = []
+    for i in range(60):
+        words = [f"t{i}w{j}" for j in range(60)]
+        docs += [(None if i % 2 else 7, varied(words, changes, rng, names)) for changes in (0, 1, 1)]
+    docs += docs[:1] * 20
+    sent, kind = [], type(spark.range(0))
+
+    def counted(df, *args, made=kind.mapInArrow, **named):
+        if "role" in df.columns:
+            sent.append((df.count(), df.select("a", "part", "node").distinct().count()))
+        return made(df, *args, **named)
+
+    monkeypatch.setattr(kind, "mapInArrow", counted)
+    path = make([(d, t, None, None, None) for d, t in docs])
+    assert rows_of(queries.op4_near_duplicates(spark, path)) == brute(docs)
+    assert sent and all(rows == wanted for rows, wanted in sent)
