@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +84,21 @@ def sums_before(numbers: Column) -> Column:
             + _sum(F.slice(s["n"], F.floor(i / PREFIX_BLOCK).cast("int") * PREFIX_BLOCK + 1, i % PREFIX_BLOCK)),
         ),
     )
+
+
+PORTION_BYTES = 1 << 20
+
+
+def portions(data: bytes, separator: re.Pattern, size: int = PORTION_BYTES) -> Iterator[bytes]:
+    """`data` in slices of about `size` bytes, cut only where `separator` (one byte) matches.
+
+    What a long text is split into then need not exist all at once.
+    """
+    start = 0
+    while len(data) - start > size:
+        found = separator.search(data, start + size)
+        if not found:
+            break
+        yield data[start : found.start()]
+        start = found.start()
+    yield data[start:]

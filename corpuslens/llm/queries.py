@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontamination, fingerprint, mixing, near_duplicates, quality, secret_scan, sharding, toxicity, warc
+from corpuslens.llm import chat, decontamination, fingerprint, mixing, near_duplicates, quality, secret_scan, sharding, token_counts, toxicity, warc
 from corpuslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -134,6 +135,17 @@ def op9_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+TOKENIZER = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
+
+
+@query("op12_count_tokens")
+def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    proof = token_counts.prove(public_tokenizers.path(TOKENIZER))
+    counted = token_counts.token_counts(table(spark, sf_dir, "documents"), proof, TOKEN_LIMIT)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_direct", "n_merged")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
