@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontamination, fingerprint, mixing, near_duplicates, quality, secret_scan, sharding, token_counts, toxicity, warc
+from corpuslens.llm import chat, decontamination, fingerprint, mixing, near_duplicates, quality, secret_scan, sharding, spelling, token_counts, toxicity, warc
 from corpuslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,11 @@ def op9_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query("op11_group_spellings")
+def op11_group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), change=spelling.with_slips(199))
+
+
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 
