@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import chat, decontamination, fingerprint, mixing, near_duplicates, quality, secret_scan, sharding, spelling, token_counts, toxicity, warc
+from corpuslens.llm import chat, decontamination, fingerprint, mixing, near_duplicates, quality, ranked_search, secret_scan, sharding, spelling, token_counts, toxicity, warc
 from corpuslens.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,6 +151,39 @@ def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_direct", "n_merged")
 
 
+SEARCH_SQL = r"""
+with words as (
+  select row, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as row, doc_id, text from documents)),
+counted as (select row, doc_id, term, count(*)::bigint as tf from words group by all),
+sizes as (select row, sum(tf)::bigint as n from counted group by row),
+corpus as (select count(*)::bigint as docs, sum(n)::bigint as size from sizes),
+frequencies as (select term, count(*)::bigint as df from counted group by term),
+asked as (
+  select distinct item, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from (select row_number() over () as item, item_id, text from benchmark)),
+weighted as (
+  select item, item_id, term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from asked join frequencies using (term), corpus),
+scored as (
+  select item, item_id, row, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // size))))::bigint as score
+  from weighted join counted using (term) join sizes using (row), corpus
+  group by item, item_id, row, doc_id),
+ranked as (
+  select item_id, doc_id, score, row_number() over (partition by item order by score desc, doc_id nulls last) as rank
+  from scored where score > 0)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+"""
+
+
+@query("op13_rank_documents", SEARCH_SQL)
+def op13_rank_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 50)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
