@@ -135,7 +135,49 @@ def op9_score_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-@query("op11_group_spellings")
+SPELLING_SQL = r"""
+with recursive
+table_of as (  -- the CRC-32 of every byte: eight steps of the polynomial EDB88320
+  select list_transform(range(256), lambda i: list_reduce(range(8),
+    lambda c, _: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, i)) as crc),
+runs as (
+  select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+  from documents),
+counted as (select doc_id, run, count(*) as n from runs where length(run) >= 6 group by doc_id, run),
+bytes as (
+  select doc_id, run, n, flatten(list_transform(string_split(concat(doc_id, ':', run), ''),
+    lambda c: case when unicode(c) < 128 then [unicode(c)::bigint] else [192 + (unicode(c) >> 6)::bigint, 128 + (unicode(c) & 63)::bigint] end)) as b
+  from counted),
+hashed as (
+  select run, n, xor(list_reduce(b, lambda c, x: xor(crc[(xor(c, x) & 255) + 1], c >> 8), 4294967295::bigint), 4294967295::bigint) as h
+  from bytes, table_of),
+slipped as (
+  select case when h % 199 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word, n
+  from hashed),
+words as (select word, sum(n)::bigint as n from slipped where length(word) >= 6 group by word having sum(n) >= 5),
+keys as (
+  select word, n, unnest(list_distinct(list_append(list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, (i - 1)::int) || substr(word, (i + 1)::int)), word))) as key
+  from words),
+pairs as (
+  select distinct a.word, a.n, b.word as near, b.n as near_n from keys a join keys b using (key)
+  where a.word <> b.word and (length(a.word) <> length(b.word) or
+    len(list_filter(range(1, length(a.word) + 1), lambda i: substr(a.word, i::int, 1) <> substr(b.word, i::int, 1))) = 1)),
+best as (
+  select word, count(*)::bigint as n_near, first(near order by near_n desc, near) as near, max(near_n) as near_n from pairs group by word),
+formed as (
+  select w.word, w.n, coalesce(n_near, 0)::bigint as n_near,
+    case when near_n >= 5 * w.n then near end as form, case when near_n >= 5 * w.n then near_n end as form_n
+  from words w left join best using (word)),
+chain as (
+  select word, word as root, form as onward from formed
+  union all
+  select c.word, f.word, f.form from chain c join formed f on c.onward = f.word)
+select f.word, f.form, c.root, f.n, f.n_near, f.form_n::bigint as form_n
+from formed f join chain c on c.word = f.word and c.onward is null
+"""
+
+
+@query("op11_group_spellings", SPELLING_SQL)
 def op11_group_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_groups(table(spark, sf_dir, "documents"), change=spelling.with_slips(199))
 

@@ -65,11 +65,14 @@ def random_words(rnd, count, letters="abé", longest=9):
     return sorted({"".join(rnd.choice(letters) for _ in range(rnd.randint(0, longest))) for _ in range(count)})
 
 
-def test_documents(spark):
+def test_documents(spark, db):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     want = brute(brute_counts(docs))
     assert len(want) > 100 and any(r[4] for r in want)
     assert rows_of(queries.op11_group_spellings(spark, SF)) == want
+    sql = db.execute(queries.ORACLE["op11_group_spellings"])
+    places = [[c[0] for c in sql.description].index(c) for c in ("word", "form", "root", "n", "n_near", "form_n")]
+    assert sorted(tuple(r[i] for i in places) for r in sql.fetchall()) == want
 
 
 def test_edit_rows_against_all_prefixes():
