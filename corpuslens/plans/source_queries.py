@@ -83,13 +83,13 @@ def xml_sentences(spark, sf):
     docs = corpus(spark, sf).where(F.size("tokens") > 0).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
 
     def leaf(t, i):
-        """Plain text, a CDATA section, a decimal and a hexadecimal character reference in turn."""
+        """Plain text, a CDATA section, a decimal and a zero-led hexadecimal character reference in turn."""
         rest = F.substring(t, 2, 1 << 30)
         forms = [
             t,
             F.concat(F.lit("<![CDATA["), t, F.lit("]]>")),
             F.concat(F.lit("&#"), F.ascii(t), F.lit(";"), rest),
-            F.concat(F.lit("&#x"), F.hex(F.ascii(t)), F.lit(";"), rest),
+            F.concat(F.lit("&#x0000000"), F.hex(F.ascii(t)), F.lit(";"), rest),
         ]
         return F.concat(F.lit('<w c5="NN1">'), F.element_at(F.array(*forms), (i % 4 + 1).cast("int")), F.lit(" </w>"))
 
