@@ -1,9 +1,13 @@
 """Incremental counting and accumulation over file streams.
 
-Results are tables under a shared path.  Every micro-batch writes the rows it changed to
-a ``batch_id`` folder of its own and overwrites it when it is replayed, so a restarted
-stream never counts anything twice.  Every `COMPACT_EVERY` batches the current table is
-written as a whole; reading takes the latest whole table and the few folders after it.
+Counts and vector sums live in Spark's state store alone and are read from there with the
+state data source, as of any batch that is still kept; no second copy is written, and a
+replayed batch changes nothing, as the store keeps a version for each batch.  The
+vocabulary finds new tokens by deduplication in the state store.  Its batches write their
+new tokens and the next free id to folders of their own, overwritten on replay.
+
+States with very many rows belong into the RocksDB store, which keeps them on disk: set
+``spark.sql.streaming.stateStore.providerClass`` before a stream is first started.
 """
 
 from __future__ import annotations
@@ -11,14 +15,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from corpuslens.operators import context as C
 from corpuslens.operators import vocabulary as V
-
-COMPACT_EVERY = 10
+from corpuslens.operators.ordering import ordered_index
 
 
 @dataclass(frozen=True)
@@ -26,7 +30,7 @@ class Running:
     """A started stream: its query handle, and its table as far as it has come."""
 
     query: StreamingQuery
-    read: Callable[[SparkSession], DataFrame]
+    read: Callable[..., DataFrame]
 
     def __call__(self, spark: SparkSession) -> DataFrame:
         """The table once all input that was there has been processed."""
@@ -46,72 +50,77 @@ def _start(writer: DataStreamWriter, state: str, trigger: dict | None) -> Stream
     return writer.option("checkpointLocation", f"{state}/checkpoint").trigger(**(trigger or {"availableNow": True})).start()
 
 
-class ChangeTable:
-    """Rows by key, kept as the changes of each batch; a key's current row is its latest."""
-
-    def __init__(self, path: str, schema: str, *keys: str):
-        self.path, self.schema, self.keys = path, schema, keys
-
-    def write(self, df: DataFrame, batch_id: int) -> None:
-        spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{self.path}/changes/batch_id={batch_id}")
-        if (batch_id + 1) % COMPACT_EVERY == 0:
-            self.until(spark, batch_id + 1).write.mode("overwrite").parquet(f"{self.path}/whole/until={batch_id + 1}")
-
-    def until(self, spark: SparkSession, batches: int) -> DataFrame:
-        """The table after the first `batches` batches."""
-        whole = max(batches - 1, 0) // COMPACT_EVERY * COMPACT_EVERY
-        reader = spark.read.schema(self.schema)
-        parts = [reader.parquet(f"{self.path}/whole/until={whole}").withColumn("_b", F.lit(-1))] if whole else []
-        parts += [
-            reader.parquet(f"{self.path}/changes/batch_id={b}").withColumn("_b", F.lit(b)) for b in range(whole, batches)
-        ]
-        if not parts:
-            return spark.createDataFrame([], self.schema)
-        rows = parts[0]
-        for more in parts[1:]:
-            rows = rows.unionByName(more)
-        values = [c for c in rows.columns if c not in (*self.keys, "_b")]
-        latest = F.max_by(F.struct(*values), "_b").alias("_v")
-        return rows.groupBy(*self.keys).agg(latest).select(*self.keys, "_v.*")
-
-    def read(self, spark: SparkSession) -> DataFrame:
-        """The table after the last batch whose folder is complete."""
-        last = spark.read.parquet(f"{self.path}/changes").agg(F.max("batch_id")).first()[0]
-        return self.until(spark, 0 if last is None else int(last) + 1)
+def state_table(spark: SparkSession, state: str, schema: str, batch: int | None = None) -> DataFrame:
+    """A streamed aggregation's groups and sums, read from the state store as of a batch, by default the last.
+
+    `schema` names the key columns and then the sums; a stream without a batch has no rows.
+    """
+    reader = spark.read.format("statestore")
+    try:
+        rows = (reader if batch is None else reader.option("batchId", batch)).load(f"{state}/checkpoint")
+    except PySparkException as error:
+        if batch is None and error.getCondition() in NO_BATCH:
+            return spark.createDataFrame([], schema)
+        raise
+    return rows.select("key.*", "value.*").toDF(*[c.split()[0] for c in schema.split(", ")])
+
+
+# What the state data source raises for a checkpoint without a committed batch.
+NO_BATCH = ("STDS_COMMITTED_BATCH_UNAVAILABLE", "STDS_OFFSET_LOG_UNAVAILABLE", "STDS_NO_PARTITION_DISCOVERED_IN_STATE_STORE")
+
+
+def _summed(groups: DataFrame, schema: str, state: str, trigger: dict | None) -> Running:
+    """Runs a streamed aggregation for its state; the sink takes nothing."""
+    writer = groups.writeStream.outputMode("update").format("noop")
+    return Running(_start(writer, state, trigger), lambda spark, batch=None: state_table(spark, state, schema, batch))
 
 
 def stream_word_frequencies(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:
-    """Running counts of a stream with `tokens`; Spark's state store keeps the counts."""
-    table = ChangeTable(f"{state}/table", "token string, freq long", "token")
-    writer = V.word_frequencies(stream).writeStream.outputMode("update").foreachBatch(table.write)
-    return Running(_start(writer, state, trigger), table.read)
+    """Running counts of a stream with `tokens`; one state row per token."""
+    return _summed(V.word_frequencies(stream), "token string, freq long", state, trigger)
 
 
 def stream_context_vectors(
     stream: DataFrame, state: str, size: int, k: int, s: int, seed: int = 0, include_target: bool = True, trigger: dict | None = None
 ) -> Running:
-    """Running context vectors: the state store sums how often words meet, ten times fewer rows than cells."""
-    counts = C.unordered_pair_counts(stream, size, include_target)
-    table = ChangeTable(f"{state}/table", "a string, b string, n long", "a", "b")
-    writer = counts.writeStream.outputMode("update").foreachBatch(table.write)
-    return Running(
-        _start(writer, state, trigger), lambda spark: C.vectors_of_pairs(C.mirrored(table.read(spark)), k, s, seed)
-    )
+    """Running context vectors ``(target, idx, w)``: one state row per cell, at most k for each word."""
+    cells = C.context_cells(stream, size, k, s, seed, include_target)
+    running = _summed(cells.groupBy("target", "idx").agg(F.sum("v").alias("w")), "target string, idx int, w long", state, trigger)
+    return Running(running.query, lambda spark, batch=None: running.read(spark, batch).where("w <> 0"))
 
 
-def stream_vocabulary(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:
-    """A growing vocabulary: new tokens take the next ids, old ids never change.
+NEXT = "next long, batch_id int"
 
-    A batch writes only its new tokens; when it is replayed it sees the tables of the
-    earlier batches alone and gives the same ids again.
-    """
-    table = ChangeTable(f"{state}/table", "token string, id long", "token")
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        table.write(V.new_signs(table.until(df.sparkSession, batch_id), V.tokens_only(df)), batch_id)
+def stream_vocabulary(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:
+    """A growing vocabulary ``(token, id)``: new tokens take the next ids, old ids never change.
 
-    return Running(_start(stream.writeStream.foreachBatch(write), state, trigger), table.read)
+    The state store lets each token through once, so a batch sees only its new tokens; from
+    what is stored it reads one number, the next free id after the batch before.  A batch that
+    is replayed meets the same state and the same number, and writes the same ids again.
+    """
+    table, numbers = f"{state}/table", f"{state}/next"
+
+    def write(fresh: DataFrame, batch_id: int) -> None:
+        spark = fresh.sparkSession
+        before = spark.read.schema("next long").parquet(f"{numbers}/batch_id={batch_id - 1}").first()[0] if batch_id else 0
+        # The stateful part runs once: its rows are written before they are ordered.
+        fresh.write.mode("overwrite").parquet(f"{state}/fresh/batch_id={batch_id}")
+        tokens = spark.read.schema("token string").parquet(f"{state}/fresh/batch_id={batch_id}")
+        named = ordered_index(tokens, "token", name="id", start=before)
+        named.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        found = spark.read.schema("id long").parquet(f"{table}/batch_id={batch_id}").count()
+        spark.range(1).select(F.lit(before + found).alias("next")).write.mode("overwrite").parquet(f"{numbers}/batch_id={batch_id}")
+
+    def read(spark: SparkSession, batch: int | None = None) -> DataFrame:
+        """The ids after a batch, by default the last one that is complete."""
+        if batch is None:
+            batch = spark.read.schema(NEXT).parquet(numbers).agg(F.max("batch_id")).first()[0]
+        rows = spark.read.schema("token string, id long, batch_id int").parquet(table)
+        return rows.where(F.col("batch_id") <= batch).select("token", "id")
+
+    once = V.tokens_only(stream).dropDuplicates(["token"])
+    return Running(_start(once.writeStream.outputMode("append").foreachBatch(write), state, trigger), read)
 
 
 def stream_rows(stream: DataFrame, state: str, trigger: dict | None = None) -> Running:

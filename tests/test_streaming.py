@@ -51,24 +51,58 @@ def test_vocabulary_ids_are_dense_and_stable(spark, corpus, folder, tmp_path):
     assert second["aa"] == len(first) and second["zz"] == len(first) + 1
 
 
-def test_replayed_batch_changes_nothing(spark, corpus, tmp_path):
-    table = ST.ChangeTable(str(tmp_path / "table"), "token string, freq long", "token")
-    counts = V.word_frequencies(corpus)
-    for _ in range(2):
-        table.write(counts, 0)
-    assert key(table.read(spark)) == key(counts)
-
-
-def test_compacted_table_is_the_latest_rows(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(ST, "COMPACT_EVERY", 3)
-    table = ST.ChangeTable(str(tmp_path / "table"), "token string, freq long", "token")
-    want = {}
-    for batch in range(8):
-        rows = [(f"t{i}", batch * 10 + i) for i in range(batch, batch + 3)]
-        want |= dict(rows)
-        table.write(spark.createDataFrame(rows, "token string, freq long"), batch)
-        assert dict(key(table.read(spark))) == want
-    assert sorted(p.name for p in (tmp_path / "table" / "whole").iterdir()) == ["until=3", "until=6"]
+def test_state_is_read_as_of_each_batch(spark, corpus, folder, tmp_path):
+    running = ST.stream_word_frequencies(stream(spark, folder), str(tmp_path / "state"))
+    assert key(running(spark)) == key(V.word_frequencies(corpus)) == key(running.read(spark, 2))
+    totals = [running.read(spark, batch).agg(F.sum("freq")).first()[0] for batch in range(3)]
+    assert 0 < totals[0] < totals[1] < totals[2]
+
+
+def take_back_last_commit(state):
+    """As if the driver had failed after the batch was written."""
+    commits = state / "checkpoint" / "commits"
+    last = max((p for p in commits.iterdir() if p.name.isdigit()), key=lambda p: int(p.name))
+    for path in (last, commits / f".{last.name}.crc"):
+        path.unlink(missing_ok=True)
+
+
+def test_replayed_batch_gives_the_same_ids(spark, folder, tmp_path):
+    first = key(ST.stream_vocabulary(stream(spark, folder), str(tmp_path / "s"))(spark))
+    take_back_last_commit(tmp_path / "s")
+    assert key(ST.stream_vocabulary(stream(spark, folder), str(tmp_path / "s"))(spark)) == first
+
+
+def test_replayed_batch_counts_once(spark, corpus, folder, tmp_path):
+    ST.stream_word_frequencies(stream(spark, folder), str(tmp_path / "s"))(spark)
+    take_back_last_commit(tmp_path / "s")
+    assert key(ST.stream_word_frequencies(stream(spark, folder), str(tmp_path / "s"))(spark)) == key(V.word_frequencies(corpus))
+
+
+def test_a_stream_without_input(spark, corpus, tmp_path):
+    (tmp_path / "in").mkdir()
+    empty = ST.stream_word_frequencies(stream(spark, str(tmp_path / "in")), str(tmp_path / "s"))(spark)
+    assert empty.collect() == [] and empty.columns == ["token", "freq"]
+
+
+def test_null_tokens(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ["a", None, "b"]), (2, None), (3, []), (4, [None, "a"])], SCHEMA)
+    rows.write.parquet(str(tmp_path / "in"))
+    order = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert order(ST.stream_word_frequencies(stream(spark, str(tmp_path / "in")), str(tmp_path / "a"))(spark)) == order(V.word_frequencies(rows))
+    ids = order(ST.stream_vocabulary(stream(spark, str(tmp_path / "in")), str(tmp_path / "b"))(spark))
+    assert {t for t, _ in ids} == {"a", "b", None} and sorted(i for _, i in ids) == [0, 1, 2]
+    vectors = ST.stream_context_vectors(stream(spark, str(tmp_path / "in")), str(tmp_path / "c"), 1, 20, 4)(spark)
+    assert order(vectors) == order(C.accumulate_context_vectors(rows, 1, 20, 4))
+
+
+def test_rocksdb_state(spark, corpus, folder, tmp_path):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        read = ST.stream_word_frequencies(stream(spark, folder), str(tmp_path / "state"))
+        assert key(read(spark)) == key(V.word_frequencies(corpus))
+    finally:
+        spark.conf.unset(name)
 
 
 def test_a_running_query_can_be_followed(spark, corpus, folder, tmp_path):
