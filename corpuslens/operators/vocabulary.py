@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.functions import hashing, words
-from corpuslens.operators import sequences
+from corpuslens.operators import sequences, sketches
 from corpuslens.operators.layout import generate
 from corpuslens.operators.lookup import hot_rows, lookup
 from corpuslens.operators.ordering import ordered_index, take
@@ -276,9 +276,11 @@ def hash_split(df: DataFrame, key: str, train: float = 0.8, seed: int = 0) -> Da
 
 def approximate_stats(corpus: DataFrame, rsd: float = 0.01) -> DataFrame:
     """Approximate number of distinct tokens and exact number of occurrences in one pass."""
-    return tokens_only(corpus).agg(
-        F.approx_count_distinct("token", rsd).alias("approx_unique_words"), F.count("*").alias("total_words")
-    )
+    sizes = sketches.Sizes.of(rsd, eps=1.0, delta=0.5)  # no single counts are asked for
+    found = sketches.corpus_sketches(corpus, F.lit("all"), sizes)
+    stats = found.agg(F.sum("n").alias("n"), F.flatten(F.collect_list("registers")).alias("r"))  # no or one row
+    estimate = F.round(sketches.distinct_estimate(F.col("r"), sizes)).cast("long")
+    return stats.select(estimate.alias("approx_unique_words"), F.coalesce("n", F.lit(0)).alias("total_words"))
 
 
 def heavy_hitters(corpus: DataFrame, share: float = 0.005) -> DataFrame:

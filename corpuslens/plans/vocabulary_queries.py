@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import stopwords
 from corpuslens.functions.words import words
+from corpuslens.operators import sketches
 from corpuslens.operators import vocabulary as V
 from corpuslens.operators.layout import spread_scan
 from corpuslens.plans.registry import query, table
+from corpuslens.session import scratch_path
 
 DOCS = r"docs AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{L}+') AS t FROM documents)"
 TOK = f"{DOCS}, tok AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) - 1 AS pos FROM docs)"
@@ -259,17 +261,88 @@ def hash_split(spark, sf):
     return V.hash_split(table(spark, sf, "documents").select("doc_id"), "doc_id", seed=3)
 
 
+def registers_sql(words: str, bits: int, name: str = "registers") -> str:
+    """SQL for the non-empty registers of the tokens in `words`: (cell, value)."""
+    return f"""dg_{name} AS (SELECT md5('d0:' || token) AS h FROM {words}),
+        rest_{name} AS (SELECT ('0x' || substr(h, 1, 4))::BIGINT % {1 << bits} AS cell, ('0x' || substr(h, 5, 12))::BIGINT AS r FROM dg_{name}),
+        {name} AS (SELECT cell, max(49 - CASE WHEN r = 0 THEN 0 ELSE len(bin(r)) END) AS value FROM rest_{name} GROUP BY cell)"""
+
+
+def estimate_sql(bits: int, name: str = "registers") -> str:
+    """SQL for the number of distinct tokens, from registers of 7 bits at least."""
+    m = 1 << bits
+    return f"""(SELECT CASE WHEN raw <= {2.5 * m}::DOUBLE AND empty > 0 THEN {m}::DOUBLE * ln({m}::DOUBLE / empty) ELSE raw END FROM
+        (SELECT {m} - count(*) AS empty, {0.7213 / (1 + 1.079 / m) * m * m}::DOUBLE / ({m} - count(*) + sum(pow(2.0::DOUBLE, -value))) AS raw FROM {name}))"""
+
+
 @query(
     "v20_approximate_stats",
-    f"WITH {FREQ} SELECT CAST(sum(freq) AS BIGINT) AS total_words, true AS within_three_rsd FROM freqs",
+    f"""WITH {FREQ}, {registers_sql('freqs', 14)} SELECT CAST(sum(freq) AS BIGINT) AS total_words,
+        CAST(round({estimate_sql(14)}) AS BIGINT) AS approx_unique_words, count(*) AS unique_words FROM freqs""",
 )
 def approximate_stats(spark, sf):
-    """The estimate is compared with the exact number of distinct words."""
-    rsd = 0.01
-    found = V.approximate_stats(corpus(spark, sf), rsd)
-    exact = freqs(spark, sf).agg(F.count("*")).scalar()
-    within = F.abs(F.col("approx_unique_words") / exact - 1) <= 3 * rsd
-    return found.select("total_words", within.alias("within_three_rsd"))
+    """The estimate beside the exact number of distinct words."""
+    exact = freqs(spark, sf).agg(F.count("*").alias("unique_words"))
+    return V.approximate_stats(corpus(spark, sf), 0.01).crossJoin(exact)  # one row each
+
+
+EPS = 0.0005
+COUNTED = sketches.Sizes.of(rsd=0.01, eps=EPS, delta=0.01)
+
+
+def counter_sql(token: str = "token") -> str:
+    """SQL for the list of a token's cells in the count-min sketch."""
+    hashes = [f"('0x' || substr(md5('c0.{r // 4}:' || {token}), {8 * (r % 4) + 1}, 8))::BIGINT % {COUNTED.width} + {r * COUNTED.width}" for r in range(COUNTED.depth)]
+    return f"[{', '.join(hashes)}]"
+
+
+def stored_sketches(spark, sf):
+    """Sketches of the documents by source, written once and read back."""
+    path = scratch_path(spark, "sketches")
+    docs = spread_scan(table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id")
+    parts = sketches.corpus_sketches(docs.select("source", words("text").alias("tokens")), F.col("source"), COUNTED)
+    parts.write.parquet(path)
+    return spark.read.schema(parts.schema).parquet(path)
+
+
+@query(
+    "v20_merged_counts",
+    f"""WITH {FREQ}, asked AS (SELECT token, freq, unnest({counter_sql()}) AS cell FROM freqs),
+        sketch AS (SELECT cell, sum(freq) AS value FROM asked GROUP BY cell)
+        SELECT token, freq, CAST(min(value) AS BIGINT) AS estimate,
+          min(value) - freq <= {EPS}::DOUBLE * (SELECT sum(freq) FROM freqs) AS within
+        FROM asked JOIN sketch USING (cell) GROUP BY token, freq""",
+)
+def merged_counts(spark, sf):
+    """Counts of all words from the stored sketches of the sources, merged; beside the exact ones."""
+    whole = sketches.merge_sketches(stored_sketches(spark, sf), sizes=COUNTED)
+    found = sketches.count_estimates(freqs(spark, sf), whole, COUNTED)
+    n = whole.select("n").scalar()
+    return found.withColumn("within", F.col("estimate") - F.col("freq") <= EPS * n)
+
+
+@query(
+    "v20_merged_distinct",
+    rf"""WITH d AS (SELECT source, unnest(regexp_extract_all(lower(text), '\p{{L}}+')) AS token FROM documents),
+        w AS (SELECT 'of ' || source AS part, token, count(*) AS n FROM d GROUP BY 1, 2
+              UNION ALL SELECT 'all', token, count(*) FROM d GROUP BY token),
+        h AS (SELECT part, md5('d0:' || token) AS h FROM w),
+        x AS (SELECT part, ('0x' || substr(h, 1, 4))::BIGINT % {1 << COUNTED.bits} AS cell, ('0x' || substr(h, 5, 12))::BIGINT AS r FROM h),
+        allregs AS (SELECT part, cell, max(49 - CASE WHEN r = 0 THEN 0 ELSE len(bin(r)) END) AS value FROM x GROUP BY part, cell),
+        exact AS (SELECT part, CAST(sum(n) AS BIGINT) AS n, count(*) AS unique_words FROM w GROUP BY part)
+        SELECT part, n, unique_words, CAST(round({estimate_sql(COUNTED.bits, '(FROM allregs WHERE allregs.part = exact.part)')}) AS BIGINT) AS estimate
+        FROM exact""",
+)
+def merged_distinct(spark, sf):
+    """Estimated and exact distinct words of each source, and of all by the merged sketch."""
+    parts = stored_sketches(spark, sf).withColumn("part", F.concat(F.lit("of "), "part"))
+    every = parts.unionByName(sketches.merge_sketches(parts, sizes=COUNTED))
+    estimates = every.select("part", "n", F.round(sketches.distinct_estimate(F.col("registers"), COUNTED)).cast("long").alias("estimate"))
+    docs = table(spark, sf, "documents").select(F.concat(F.lit("of "), "source").alias("part"), F.explode(words("text")).alias("token")).distinct()
+    exact = docs.groupBy("part").agg(F.count("*").alias("unique_words")).unionByName(
+        docs.agg(F.lit("all").alias("part"), F.count_distinct("token").alias("unique_words"))
+    )
+    return estimates.join(exact, "part")
 
 
 @query(
