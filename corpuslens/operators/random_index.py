@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import hashing
 from corpuslens.functions import random_index as R
+from corpuslens.functions.bijection import Bijection
 from corpuslens.operators.layout import generate, place
 from corpuslens.operators.lookup import hot_rows, lookup
 from corpuslens.operators.ordering import running_total
@@ -52,12 +53,13 @@ def sparse_add(*tables: DataFrame, keys: tuple[str, ...] = ("row",), value: str
 # -- permutations ------------------------------------------------------------------
 
 
-def permutation(spark: SparkSession, k: int, seed: int = 0) -> DataFrame:
-    """``(i, src)``: position i takes its value from position src; k rows in all."""
-    order = Window.orderBy(hashing.order_key(seed, F.col("src")), "src")  # k rows, the vector size
-    return spark.range(k).select(F.col("id").cast("int").alias("src")).select(
-        (F.row_number().over(order) - 1).cast("int").alias("i"), "src"
-    )
+def permutation(spark: SparkSession, k: int, seed: int = 0, times: int = 1) -> DataFrame:
+    """``(i, src)``: position i takes its value from position src; k rows, each computed by itself.
+
+    `times` gives a power of the permutation, negative ones of its inverse.
+    """
+    source = Bijection(k, seed).power(F.col("id"), times)
+    return spark.range(k).select(F.col("id").cast("int").alias("i"), source.cast("int").alias("src"))
 
 
 def inverse(perm: DataFrame) -> DataFrame:
@@ -81,20 +83,23 @@ def permute(coo: DataFrame, perm: DataFrame) -> DataFrame:
     return coo.join(moved, "idx").withColumn("idx", F.col("_to")).select(*coo.columns)
 
 
+def permute_by(coo: DataFrame, bijection: Bijection, times: int = 1) -> DataFrame:
+    """``permute`` without a table: a cell's new position is computed from its old one."""
+    return coo.withColumn("idx", bijection.power(F.col("idx"), -times).cast("int"))
+
+
 def shift_table(spark: SparkSession, k: int, seed: int, reach: int) -> DataFrame:
     """``(offset, idx, to)`` for offsets -reach..reach: (2*reach + 1) * k rows.
 
     A context token at distance d to the right is permuted d times, to the left with
     the inverse, so offset 0 leaves positions alone.
     """
-    perm = permutation(spark, k, seed)
-    steps = [perm.select(F.lit(0).alias("offset"), F.col("i").alias("idx"), F.col("i").alias("to"))]
-    for step, sign in ((inverse(perm), 1), (perm, -1)):
-        steps += [
-            power(step, d).select(F.lit(sign * d).alias("offset"), F.col("i").alias("idx"), F.col("src").alias("to"))
-            for d in range(1, reach + 1)
-        ]
-    return reduce(DataFrame.unionByName, steps)
+    moved = Bijection(k, seed)
+    steps = [
+        F.struct(F.lit(d).alias("offset"), F.col("id").cast("int").alias("idx"), moved.power(F.col("id"), -d).cast("int").alias("to"))
+        for d in range(-reach, reach + 1)
+    ]
+    return spark.range(k).select(F.inline(F.array(*steps)))
 
 
 # -- noise and samples ----------------------------------------------------------------

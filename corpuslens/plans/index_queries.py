@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpuslens.functions import random_index as R
+from corpuslens.functions.bijection import Bijection
 from corpuslens.operators import context as C
 from corpuslens.operators import random_index as RI
 from corpuslens.operators import vocabulary as V
@@ -214,13 +215,25 @@ def encode_bow_normalised(spark, sf):
     return window_rows(C.encode_bow(corpus(spark, sf), 1, K, S, include_target=False, normalise=True), 6)
 
 
-PERM_SQL = f"""perm AS (SELECT i AS src, row_number() OVER (ORDER BY md5('9:' || i), i) - 1 AS i FROM range(0, {K}) x(i)),
+def permutation_sql(k: str, seed: int, name: str = "perm") -> str:
+    """SQL for the permutation of 0..k-1 as (i, src): six rounds, again while the result is k or more."""
+    hashed = lambda digit: f"('0x' || substr(md5('{seed}:' || r || ':' || {digit}), 1, 13))::BIGINT"
+    return f"""side_{name} AS (SELECT n, a, CAST(ceil(n / a) AS BIGINT) AS c FROM (
+        SELECT {k} AS n, CAST(ceil(sqrt({k})) AS BIGINT) AS a)),
+      walk_{name} AS (SELECT i, i AS x, 0 AS r FROM side_{name}, range(0, n) t(i)
+        UNION ALL SELECT i, y, CASE WHEN r = 5 AND y >= n THEN 0 ELSE r + 1 END FROM (
+          SELECT i, r, n, CASE WHEN r % 2 = 0 THEN ((x // c + {hashed('(x % c)')}) % a) * c + x % c
+            ELSE (x // c) * c + (x % c + {hashed('(x // c)')}) % c END AS y FROM walk_{name}, side_{name} WHERE r < 6)),
+      {name} AS (SELECT i, x AS src FROM walk_{name} WHERE r = 6)"""
+
+
+PERM_SQL = f"""{permutation_sql(str(K), 9)},
       lft1 AS (SELECT i AS idx, src AS t FROM perm), rgt1 AS (SELECT src AS idx, i AS t FROM perm)"""
 
 
 @query(
     "r07_encode_bow_dir",
-    f"""WITH {RI_SQL}, {PERM_SQL}, {WINDOW_SQL.format(w=1)},
+    f"""WITH RECURSIVE {RI_SQL}, {PERM_SQL}, {WINDOW_SQL.format(w=1)},
         x AS (SELECT doc_id, pos, o, idx, v FROM w JOIN ri USING (sign)),
         p AS (SELECT doc_id, pos, idx, v FROM x WHERE o = 0
               UNION ALL SELECT doc_id, pos, t, v FROM x JOIN lft1 USING (idx) WHERE o < 0
@@ -233,7 +246,7 @@ def encode_bow_dir(spark, sf):
 
 @query(
     "r08_encode_bow_order",
-    f"""WITH {RI_SQL}, {PERM_SQL}, lft2 AS (SELECT a.idx, b.t FROM lft1 a JOIN lft1 b ON a.t = b.idx),
+    f"""WITH RECURSIVE {RI_SQL}, {PERM_SQL}, lft2 AS (SELECT a.idx, b.t FROM lft1 a JOIN lft1 b ON a.t = b.idx),
         rgt2 AS (SELECT a.idx, b.t FROM rgt1 a JOIN rgt1 b ON a.t = b.idx),
         mv AS (SELECT 0 AS o, src AS idx, src AS t FROM perm UNION ALL SELECT -1, * FROM lft1
                UNION ALL SELECT -2, * FROM lft2 UNION ALL SELECT 1, * FROM rgt1 UNION ALL SELECT 2, * FROM rgt2),
@@ -245,9 +258,8 @@ def encode_bow_order(spark, sf):
     return window_rows(C.encode_bow_order(corpus(spark, sf), 2, K, S, perm_seed=9))
 
 
-EMB_SQL = """e AS (SELECT vec_id AS row, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS idx
-      FROM embeddings), n AS (SELECT max(len(embedding)) AS n FROM embeddings),
-      perm AS (SELECT i AS src, row_number() OVER (ORDER BY md5('9:' || i), i) - 1 AS i FROM n, range(0, n) x(i))"""
+EMB_SQL = f"""e AS (SELECT vec_id AS row, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS idx
+      FROM embeddings), {permutation_sql('(SELECT max(len(embedding)) FROM embeddings)', 9)}"""
 
 
 def embedding_cells(spark, sf):
@@ -258,27 +270,41 @@ def embedding_cells(spark, sf):
 
 @query(
     "r09_permutation",
-    f"""WITH {EMB_SQL} SELECT row, CAST(i AS INTEGER) AS idx, v FROM e JOIN perm ON idx = src""",
+    f"""WITH RECURSIVE {EMB_SQL} SELECT row, CAST(i AS INTEGER) AS idx, v FROM e JOIN perm ON idx = src""",
 )
 def permutation(spark, sf):
     cells, k = embedding_cells(spark, sf)
     return RI.permute(cells, RI.permutation(spark, k, 9))
 
 
-@query("r09_permutation_inverse", f"WITH {EMB_SQL} SELECT row, CAST(src AS INTEGER) AS idx, v FROM e JOIN perm ON idx = i")
+@query("r09_permutation_inverse", f"WITH RECURSIVE {EMB_SQL} SELECT row, CAST(src AS INTEGER) AS idx, v FROM e JOIN perm ON idx = i")
 def permutation_inverse(spark, sf):
     cells, k = embedding_cells(spark, sf)
-    return RI.permute(cells, RI.inverse(RI.permutation(spark, k, 9)))
+    return RI.permute_by(cells, Bijection(k, 9), -1)
 
 
 @query(
     "r09_permutation_power",
-    f"""WITH {EMB_SQL}, p3 AS (SELECT a.i, c.src FROM perm a JOIN perm b ON a.src = b.i JOIN perm c ON b.src = c.i)
+    f"""WITH RECURSIVE {EMB_SQL}, p3 AS (SELECT a.i, c.src FROM perm a JOIN perm b ON a.src = b.i JOIN perm c ON b.src = c.i)
         SELECT row, CAST(p3.i AS INTEGER) AS idx, v FROM e JOIN p3 ON idx = src""",
 )
 def permutation_power(spark, sf):
     cells, k = embedding_cells(spark, sf)
-    return RI.permute(cells, RI.power(RI.permutation(spark, k, 9), 3))
+    return RI.permute_by(cells, Bijection(k, 9), 3)
+
+
+@query(
+    "r09_bijection",
+    f"""WITH RECURSIVE {VOCAB}, {permutation_sql('(SELECT count(*) FROM vocab)', 4)}
+        SELECT token, id, CAST(p.src AS BIGINT) AS moved, CAST(q.src AS BIGINT) AS moved_twice, id AS back
+        FROM vocab JOIN perm p ON id = p.i JOIN perm q ON p.src = q.i""",
+)
+def bijection(spark, sf):
+    """Vocabulary ids under a permutation of all of them, and taken back."""
+    ids = vocab(spark, sf).select("token", "id")
+    moves = Bijection(ids.count(), 4)
+    moved = ids.withColumn("moved", moves.forward(F.col("id"))).withColumn("moved_twice", moves.power(F.col("id"), 2))
+    return moved.withColumn("back", moves.inverse(F.col("moved")))
 
 
 def accumulated_sql(extra: str) -> str:
