@@ -8,13 +8,14 @@ each word of a vocabulary the words that differ by one inserted, deleted or repl
   half of the word asked for or, reversed, the second half; so a word is looked up in one stretch
   of either list, and a find of the second that the first has made as well is left out.
 * A scan walks down a stretch with one row of the edit matrix for each character, cut to the
-  three cells that can be within one edit.  The next word of the list keeps the rows of the
+  three cells that can be within one edit and coded as a number.  The next word of the list keeps the rows of the
   prefix it shares with the one before (their LCP) and computes only the rows below.  Once no cell
   of a row is within one edit, all words with that prefix are jumped over by binary search.
-* Words travel to blocks in the same way: the directory has the first and last word of each
-  block, and a block whose common prefix exceeds one edit is not visited.  A task reads one row:
-  some words to look up and one block.  No group is ever collected, however many words share a
-  beginning, and no pairs are made but the finds, which are folded to one row per word and visit.
+* Words travel in the order of the list that they are looked up in, so a block's words visit few
+  blocks.  The directory has the first and last word of each block, and a block whose common
+  prefix exceeds one edit is not visited.  A task reads one row: some words to look up and one
+  block.  No group is ever collected, however many words share a beginning, and no pairs are
+  made but the finds, which are folded to one row per word and visit.
 
 The directory (one row per `BLOCK` words of the vocabulary) is held by the driver and the tasks.
 
@@ -49,6 +50,7 @@ HELD_WORDS = 1 << 18  # different words a task counts before it passes them on
 BLOCK = 2048  # words of a sorted list in one row
 ASKED = 256  # words that are looked up in a block by one row
 TOP = "\U0010ffff"
+FEW = 4  # words that a jump steps over before it searches
 
 
 def word_counts(
@@ -107,27 +109,51 @@ def halves(word: str) -> tuple[int, int]:
     return rest // 2, rest - rest // 2
 
 
-def start_row(shared: int) -> tuple[int, int, int]:
-    """The row after `shared` equal characters: distances to one character less, as many, and one more."""
-    return (1 if shared else 2, 0, 1)
+def _coded(below: int, same: int, above: int) -> int:
+    return min(below, 2) * 9 + min(same, 2) * 3 + min(above, 2)
 
 
-def next_row(row: tuple[int, int, int], char: str, asked: str, depth: int) -> tuple[int, int, int]:
-    """The row one character further; `depth` characters have been read before `char`."""
-    below, same, above = row
-    length = len(asked)
-    left = min(below + (char != asked[depth - 1 : depth]), same + 1) if depth <= length else 2
-    middle = min(same + (char != asked[depth]), above + 1, left + 1) if depth < length else 2
-    right = min(above + (char != asked[depth + 1]), middle + 1) if depth + 1 < length else 2
-    return left, middle, right
+def _steps() -> list[int]:
+    """The row that follows a row, by row * 8 + which of the three characters around are equal."""
+    out = []
+    for row in range(27):
+        below, same, above = row // 9, row // 3 % 3, row % 3
+        for equal in range(8):
+            left = min(below + (not equal & 1), same + 1)
+            middle = min(same + (not equal & 2), above + 1, left + 1)
+            out.append(_coded(left, middle, min(above + (not equal & 4), middle + 1)))
+    return out
+
+
+# A row of the edit matrix, cut to the distances of as many characters and of one less and one
+# more, each up to 2, is one of 27 numbers; the next one is looked up.
+STEPS = _steps()
+FAR = _coded(2, 2, 2)  # nothing within one edit
+BEFORE = "\0"  # around the word asked for, equal to no letter
+
+
+def start_row(shared: int) -> int:
+    """The row after `shared` equal characters."""
+    return _coded(1 if shared else 2, 0, 1)
+
+
+def next_row(row: int, char: str, padded: str, depth: int) -> int:
+    """The row one character further; `depth` characters have been read before, `padded` has BEFORE around it."""
+    return STEPS[row * 8 + (char == padded[depth]) + 2 * (char == padded[depth + 1]) + 4 * (char == padded[depth + 2])]
+
+
+def pad(asked: str) -> str:
+    return BEFORE + asked + BEFORE * 4
 
 
 def may_hold(asked: str, shared: int, prefix: str) -> bool:
     """Whether a word that begins with `prefix` can be within one edit."""
-    row = start_row(shared)
+    row, padded = start_row(shared), pad(asked)
+    if len(prefix) > len(asked) + 1:
+        return False
     for depth in range(shared, len(prefix)):
-        row = next_row(row, prefix[depth], asked, depth)
-        if min(row) > 1:
+        row = next_row(row, prefix[depth], padded, depth)
+        if row == FAR:
             return False
     return True
 
@@ -138,46 +164,60 @@ def common(a: str, b: str) -> int:
     return next((i for i in range(n) if a[i] != b[i]), n)
 
 
+def shared_prefixes(words: list[str]) -> list[int]:
+    """For each word of a sorted list how much it shares with the one before (its LCP)."""
+    return [0, *map(common, words, words[1:])] if words else []
+
+
 class SortedList:
-    """Distinct words in code-point order, with the prefix each one shares with the one before."""
+    """Distinct words in code-point order with their LCPs."""
 
-    def __init__(self, words: list[str]):
-        self.words = words
-        self.lcp = [0, *map(common, words, words[1:])]
+    def __init__(self, words: list[str], lcp: list[int]):
+        self.words, self.lcp = words, lcp
 
     def near(self, asked: str, shared: int) -> Iterator[int]:
         """Places of the words one edit away among those that share the first `shared` characters."""
-        words, lcp, length = self.words, self.lcp, len(asked)
+        words, lcp, length, padded = self.words, self.lcp, len(asked), pad(asked)
         at = bisect_left(words, asked[:shared])
         end = bisect_right(words, asked[:shared] + TOP, at)
-        rows = [start_row(shared)] * (length + 3)
+        rows = [start_row(shared)] * (length + 4)
         depth = shared
         while at < end:
             word = words[at]
             row = rows[depth]
-            while depth < len(word):
-                row = next_row(row, word[depth], asked, depth)
+            for char in word[depth : length + 2]:
+                row = STEPS[row * 8 + (char == padded[depth]) + 2 * (char == padded[depth + 1]) + 4 * (char == padded[depth + 2])]
                 depth += 1
-                if min(row) > 1:
-                    at = bisect_right(words, word[:depth] + TOP, at + 1, end)
+                if row == FAR:
                     break
                 rows[depth] = row
+            if row == FAR or len(word) > length + 1:
+                # all words with this prefix are too far: over a few by their LCP, over many by search
+                depth = min(depth, length + 2)
+                at += 1
+                for _ in range(FEW):
+                    if at >= end or lcp[at] < depth:
+                        break
+                    at += 1
+                else:
+                    at = bisect_right(words, word[:depth] + TOP, at, end)
             else:
-                if abs(length - len(word)) <= 1 and row[length - len(word) + 1] == 1:
+                if len(word) >= length - 1 and row // (9, 3, 1)[length - len(word) + 1] % 3 == 1:
                     yield at
                 at += 1
-            depth = lcp[at] if at < end else 0
+            if at < end:
+                depth = lcp[at]
 
 
 # -- the distributed list ----------------------------------------------------------------
 
-LISTS = "backward boolean, words array<string>, counts array<long>"
-ROUTES = "block long, asked array<string>"
+LISTS = "backward boolean, words array<string>, lcp array<int>, counts array<long>"
+ROUTES = "block long, asked array<string>"  # words as the list has them, perhaps backward
 FOUND = "word string, n_near long, near string, near_n long"
 
 
 def sorted_blocks(vocab: DataFrame) -> DataFrame:
-    """(block, backward, words, counts): both sorted lists in rows of at most `BLOCK` words; stored."""
+    """(block, backward, words, lcp, counts): both sorted lists in rows of at most `BLOCK` words; stored."""
     sides = F.explode(
         F.array(
             F.struct(F.lit(False).alias("backward"), F.col("word").alias("key")),
@@ -200,9 +240,9 @@ def sorted_blocks(vocab: DataFrame) -> DataFrame:
             yield packed(side, words, counts)
 
     def packed(side, words, counts) -> pa.RecordBatch:
-        kinds = [pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int64())]
-        arrays = [pa.array([v], k) for v, k in zip((side, words, counts), kinds, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, ["backward", "words", "counts"])
+        kinds = [pa.bool_(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        arrays = [pa.array([v], k) for v, k in zip((side, words, shared_prefixes(words), counts), kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(arrays, ["backward", "words", "lcp", "counts"])
 
     rows = ranged.sortWithinPartitions("backward", "key").mapInArrow(cut, LISTS)
     return stored(rows.select(F.monotonically_increasing_id().alias("block"), "*"), "sorted-words")
@@ -218,14 +258,13 @@ class Directory:
             prefixes = [first[: common(first, last)] for first, last, _ in own]
             self.sides[backward] = ([r[0] for r in own], [r[1] for r in own], prefixes, [r[2] for r in own])
 
-    def blocks_for(self, word: str) -> Iterator[int]:
-        for backward, shared in zip((False, True), halves(word), strict=True):
-            firsts, lasts, prefixes, blocks = self.sides[backward]
-            asked = word[::-1] if backward else word
-            begin = bisect_left(lasts, asked[:shared])
-            for i in range(begin, bisect_right(firsts, asked[:shared] + TOP, begin)):
-                if may_hold(asked, shared, prefixes[i]):
-                    yield blocks[i]
+    def blocks_for(self, asked: str, backward: bool) -> Iterator[int]:
+        firsts, lasts, prefixes, blocks = self.sides[backward]
+        shared = halves(asked)[backward]
+        begin = bisect_left(lasts, asked[:shared])
+        for i in range(begin, bisect_right(firsts, asked[:shared] + TOP, begin)):
+            if may_hold(asked, shared, prefixes[i]):
+                yield blocks[i]
 
 
 def near_words(vocab: DataFrame) -> DataFrame:
@@ -239,32 +278,33 @@ def near_words(vocab: DataFrame) -> DataFrame:
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words in batch.column(0):
+            for backward, words in zip(*batch.columns, strict=True):
                 visits: dict[int, list[str]] = {}
-                for word in words.as_py():
-                    for block in directory.blocks_for(word):
-                        visits.setdefault(block, []).append(word)
+                for asked in words.as_py():
+                    for block in directory.blocks_for(asked, backward.as_py()):
+                        visits.setdefault(block, []).append(asked)
                 cut = [(b, v[i : i + ASKED]) for b, v in visits.items() for i in range(0, len(v), ASKED)]
                 arrays = [pa.array([b for b, _ in cut], pa.int64()), pa.array([v for _, v in cut], pa.list_(pa.string()))]
                 yield pa.RecordBatch.from_arrays(arrays, ["block", "asked"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for asked, backward, words, counts in zip(*batch.columns, strict=True):
-                found = visit(asked.as_py(), backward.as_py(), words.as_py(), counts.as_py())
+            for row in zip(*batch.columns, strict=True):
+                asked, backward, words, lcp, counts = (x.as_py() for x in row)
+                found = visit(asked, backward, SortedList(words, lcp), counts)
                 names = ["word", "n_near", "near", "near_n"]
                 kinds = [pa.string(), pa.int64(), pa.string(), pa.int64()]
                 columns = list(zip(*found, strict=True)) or [()] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    def visit(asked: list[str], backward: bool, words: list[str], counts: list[int]) -> list[tuple]:
-        block, out = SortedList(words), []
-        for word in asked:
-            first, second = halves(word)
-            near = []
-            for i in block.near(word[::-1], second) if backward else block.near(word, first):
-                other = words[i][::-1] if backward else words[i]
-                if not (backward and other.startswith(word[:first])):  # the forward list has found it
+    def visit(asked: list[str], backward: bool, block: SortedList, counts: list[int]) -> list[tuple]:
+        out = []
+        for key in asked:
+            parts, near = halves(key), []
+            word = key[::-1] if backward else key
+            for i in block.near(key, parts[backward]):
+                other = block.words[i][::-1] if backward else block.words[i]
+                if not (backward and other.startswith(word[: parts[0]])):  # the forward list has found it
                     near.append((-counts[i], other))
             if near:
                 n, best = min(near)
@@ -272,8 +312,8 @@ def near_words(vocab: DataFrame) -> DataFrame:
         return out
 
     spread = task_count(vocab)
-    routes = blocks.where(~F.col("backward")).select("words").repartition(spread).mapInArrow(route, ROUTES)
-    visits = routes.join(blocks, "block").select("asked", "backward", "words", "counts").repartition(spread)
+    routes = blocks.select("backward", "words").repartition(spread).mapInArrow(route, ROUTES)
+    visits = routes.join(blocks, "block").select("asked", "backward", "words", "lcp", "counts").repartition(spread)
     found = visits.mapInArrow(scan, FOUND).groupBy("word")
     best = F.min(F.struct((-F.col("near_n")).alias("less"), "near"))
     folded = found.agg(F.sum("n_near").alias("n_near"), best.alias("_best"))

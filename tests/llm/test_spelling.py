@@ -80,12 +80,12 @@ def test_edit_rows_against_all_prefixes():
         for b in random_words(random.Random(6), 80):
             assert (not one_edit(a, b)) or sp.may_hold(a, 0, b)
             if sp.common(a, b) >= sp.halves(a)[0]:
-                assert list(sp.SortedList([b]).near(a, sp.halves(a)[0])) == ([0] if one_edit(a, b) else [])
+                assert list(sp.SortedList([b], [0]).near(a, sp.halves(a)[0])) == ([0] if one_edit(a, b) else [])
 
 
 def test_a_scan_finds_all_and_jumps():
     words = random_words(random.Random(2), 900)
-    near, listed = brute_near(words), sp.SortedList(words)
+    near, listed = brute_near(words), sp.SortedList(words, sp.shared_prefixes(words))
     for w in words:
         assert {words[i] for i in listed.near(w, 0)} == near[w]
 
