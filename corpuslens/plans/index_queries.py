@@ -355,8 +355,8 @@ def squash(spark, sf):
         kept AS (SELECT doc_id, token, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS pos
           FROM tok JOIN dr USING (token)
           WHERE ('0x' || substr(md5('7:' || doc_id || ':' || pos), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE >= d),
-        w AS (SELECT a.doc_id, a.pos, b.token AS sign FROM kept a JOIN kept b
-              ON a.doc_id = b.doc_id AND b.pos BETWEEN a.pos - 2 AND a.pos + 2 AND a.pos <> b.pos),
+        w AS (SELECT a.doc_id, a.pos, b.token AS sign FROM (SELECT doc_id, pos, pos + unnest([-2, -1, 1, 2]) AS at FROM kept) a
+              JOIN kept b ON a.doc_id = b.doc_id AND a.at = b.pos),
         s AS (SELECT doc_id, pos, idx, sum(v) AS w FROM w JOIN ri USING (sign) GROUP BY 1, 2, 3 HAVING sum(v) <> 0),
         m AS (SELECT doc_id, pos, max(abs(w)) AS m FROM s GROUP BY 1, 2),
         x AS (SELECT doc_id, pos, string_agg(idx || ':' || CAST(round(w::DOUBLE / m * 1000000) AS BIGINT), ' ' ORDER BY idx) AS x
