@@ -62,6 +62,29 @@ def running_total(df: DataFrame, *order: Column | str, value: str, name: str = "
     )
 
 
+def neighbours_by_kind(df: DataFrame, order: str, first: Column, value: Column) -> DataFrame:
+    """Adds ``before`` and ``after``: `value` of the last row with `first` at or before this one in
+    the order of (`order`, `first` rows first), and of the next row with `first` after it; null if none.
+
+    An as-of match of two kinds of rows stacked in one table: they are sorted into ranges once,
+    a range finds its own neighbours in one pass, and what a range passes on to the others is
+    one row per range.
+    """
+    rows = frozen_order(df.withColumns({"_mark": F.when(first, value), "_kind": F.when(first, 0).otherwise(1)}), order, "_kind")
+    inside = Window.partitionBy(PARTITION).orderBy(ROW)
+    up_to, behind = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(1, Window.unboundedFollowing)
+    found = rows.withColumns({"_b": F.last("_mark", True).over(up_to), "_a": F.first("_mark", True).over(behind)})
+    ends = rows.groupBy(PARTITION).agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(ROW))).alias("_last"), F.min_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(ROW))).alias("_first"))
+    across = Window.orderBy(PARTITION)  # one row per range
+    passed = ends.select(
+        PARTITION,
+        F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"),
+        F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_pa"),
+    )
+    joined = found.join(F.broadcast(passed), PARTITION)
+    return joined.select(*df.columns, F.coalesce("_b", "_pb").alias("before"), F.coalesce("_a", "_pa").alias("after"))
+
+
 def take(df: DataFrame, n: int, *order: Column | str) -> DataFrame:
     """The first n rows in `order` (unique), all of them when there are fewer.
 

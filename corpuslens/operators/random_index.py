@@ -12,7 +12,7 @@ from corpuslens.functions import random_index as R
 from corpuslens.functions.bijection import Bijection
 from corpuslens.operators.layout import generate, place
 from corpuslens.operators.lookup import hot_rows, lookup
-from corpuslens.operators.ordering import running_total
+from corpuslens.operators.ordering import neighbours_by_kind, running_total
 
 
 def index_signs(signs: DataFrame, k: int, s: int, seed: int = 0, symmetric: bool = True) -> DataFrame:
@@ -127,6 +127,44 @@ def sample_random_indexes(rows: DataFrame, row: str, k: int, s: int, seed: int =
     return rows.withColumn("ri", ri)
 
 
+def alias_table(vocab: DataFrame) -> DataFrame:
+    """``(id, freq, own, alias, total)``: one slot per id of dense ids 0..n-1 with frequencies.
+
+    A slot stands for `total` units, the sum of all frequencies; its own id has the first `own`
+    of them and `alias` the rest, so that each id has freq * n units over all slots, exactly.
+
+    Light ids (freq * n below total) lack units, heavy ones have units to spare.  With both laid
+    out one behind the other, a light id is filled up by the heavy one on whose stretch its
+    lack begins; a heavy id that is overdrawn at its stretch's end gets the missing units from
+    the next one.  This is two running totals and two as-of matches, so no task goes through
+    the whole vocabulary, and each of them holds a range of it.
+    """
+    n, total = vocab.agg(F.count("*"), F.sum("freq")).first()
+    scaled = vocab.select("id", "freq", (F.col("freq") * n - total).alias("_spare"))
+    light = running_total(scaled.where("_spare < 0").withColumn("_lack", -F.col("_spare")), "id", value="_lack", name="_at")
+    heavy = running_total(scaled.where("_spare >= 0"), "id", value="_spare", name="_at")
+    light, heavy = (df.select("id", "freq", "_spare", "_at", F.lit(k).alias("_heavy")) for df, k in ((light, False), (heavy, True)))
+    both = light.unionByName(heavy)
+    # Heavy ids without anything to spare cover nothing, and stand behind their place in line.
+    giving = F.col("_heavy") & (F.col("_spare") > 0)
+    met = neighbours_by_kind(both, "_at", giving, F.struct("id", "_at"))
+    lights = met.where(~F.col("_heavy")).select("id", "freq", (F.col("_spare") + total).alias("own"), F.col("before.id").alias("alias"))
+    # The end of a heavy id's stretch, and the first light id that begins there or later.
+    ends = met.where(giving).select("id", "freq", F.col("after.id").alias("_next"), (F.col("_at") + F.col("_spare")).alias("_at"))
+    starts = light.select(F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("freq"), F.lit(None).cast("long").alias("_next"), "_at")
+    begun = neighbours_by_kind(ends.unionByName(starts).withColumn("_start", F.col("id").isNull()), "_at", F.col("_start"), F.col("_at"))
+    lack = F.sum("_lack")
+    covered = light.select((-F.col("_spare")).alias("_lack")).agg(F.coalesce(lack, F.lit(0))).scalar()
+    # A start exactly at the end comes first in the order, so it is `before`.
+    boundary = F.when(F.col("before") == F.col("_at"), F.col("_at")).otherwise(F.coalesce("after", covered))
+    over = boundary - F.col("_at")
+    heavies = begun.where(~F.col("_start")).select(
+        "id", "freq", (total - over).alias("own"), F.when(over > 0, F.col("_next")).otherwise(F.col("id")).alias("alias")
+    )
+    idle = met.where(F.col("_heavy") & (F.col("_spare") == 0)).select("id", "freq", F.lit(total).alias("own"), F.col("id").alias("alias"))
+    return lights.unionByName(heavies).unionByName(idle).withColumn("total", F.lit(total))
+
+
 def negative_samples(
     targets: DataFrame,
     vocab: DataFrame,
@@ -138,27 +176,30 @@ def negative_samples(
 ) -> DataFrame:
     """n noise ids per example with their probability: ``(*key, target, draw, sample, p)``.
 
-    `targets` has `key` columns and `target` ids.  Draws are uniform numbers below the
-    vocabulary size or the total frequency; the second kind is matched with the id
-    whose range of cumulated frequencies holds it.  Ranges and draws meet in buckets
-    of equal width, so no bucket gets more than its share of draws however skewed the
-    frequencies are.
+    `targets` has `key` columns and `target` ids.  Draws are uniform over the vocabulary, or
+    follow the frequencies by an alias table: a uniform slot, joined by equality, and a uniform
+    unit of it.  All slots are drawn alike, however skewed the frequencies are.
     """
     draws = targets.select(*key, "target", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("draw"))
-    chance = hashing.uniform(seed, *[F.col(c) for c in key], F.col("draw"))
+    keys = [F.col(c) for c in key]
+    chance = hashing.uniform(seed, *keys, F.col("draw"))
     size, total = vocab.agg(F.count("*"), F.sum("freq")).first()
+    slot = F.floor(chance * size)
     if dist == "uniform":
-        picked = draws.withColumn("sample", F.floor(chance * size)).withColumn("p", F.lit(1.0) / size)
+        picked = draws.withColumn("sample", slot).withColumn("p", F.lit(1.0) / size)
     elif dist == "unigram":
-        width = max(1, total // size)
-        ranges = running_total(vocab.select("id", "freq"), "id", value="freq", name="lower")
-        end = F.col("lower") + F.col("freq")
-        reach = F.sequence(F.floor(F.col("lower") / width), F.floor((end - 1) / width))
-        spread = ranges.select("id", "freq", "lower", end.alias("upper"), F.explode(reach).alias("bucket"))
-        drawn = draws.withColumn("_r", F.floor(chance * total)).withColumn("bucket", F.floor(F.col("_r") / width))
-        picked = drawn.join(spread, "bucket").where("_r >= lower and _r < upper").select(
-            *key, "target", "draw", F.col("id").alias("sample"), (F.col("freq") / total).alias("p")
-        )
+        table = alias_table(vocab)
+        owned = table.select(F.col("id").alias("_slot"), "own", "alias", "freq")
+        other = table.select(F.col("id").alias("alias"), F.col("freq").alias("_alias_freq"))
+        slots = owned.join(other, "alias")  # aliases are ids of the table
+        unit = F.floor(hashing.uniform(seed, *keys, F.col("draw"), F.lit("unit")) * total)
+        drawn = draws.withColumns({"_slot": slot, "_unit": unit}).join(slots, "_slot")
+        own = F.col("_unit") < F.col("own")
+        picked = drawn.select(
+            *key, "target", "draw",
+            F.when(own, F.col("_slot")).otherwise(F.col("alias")).alias("sample"),
+            (F.when(own, F.col("freq")).otherwise(F.col("_alias_freq")) / total).alias("p"),
+        )
     else:
         raise ValueError("dist must be 'uniform' or 'unigram'")
     return picked.where(F.col("sample") != F.col("target")) if exclude_hits else picked

@@ -427,12 +427,42 @@ def negative_samples_uniform(spark, sf):
     return RI.negative_samples(examples(spark, sf, ids), ids, 2, "doc_id", "pos", dist="uniform", seed=6)
 
 
+ALIAS_SQL = f"""{TARGET_SQL},
+      scaled AS (SELECT id, freq, freq * n - total AS spare, n, total FROM vocab, z),
+      light AS (SELECT *, coalesce(sum(-spare) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM scaled WHERE spare < 0),
+      heavy AS (SELECT *, coalesce(sum(spare) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at,
+        lead(id) OVER (ORDER BY id) AS next FROM scaled WHERE spare > 0),
+      lights AS (SELECT l.id, l.freq, l.spare + l.total AS own, h.id AS alias FROM light l ASOF JOIN heavy h ON l.at >= h.at),
+      bounds AS (SELECT at FROM light UNION ALL SELECT sum(-spare)::BIGINT FROM light),
+      heavies AS (SELECT h.id, h.freq, h.total - (b.at - h.at - h.spare) AS own, CASE WHEN b.at > h.at + h.spare THEN h.next ELSE h.id END AS alias
+        FROM heavy h ASOF JOIN bounds b ON h.at + h.spare <= b.at),
+      slots AS (SELECT * FROM lights UNION ALL SELECT * FROM heavies UNION ALL SELECT id, freq, total, id FROM scaled WHERE spare = 0)"""
+
+
+@query(
+    "r15_alias_table",
+    f"""WITH {ALIAS_SQL}, shares AS (SELECT id, sum(units) AS units FROM (
+          SELECT id, own AS units FROM slots UNION ALL SELECT alias, total - own FROM slots, z) GROUP BY id)
+        SELECT s.id, s.freq, CAST(own AS BIGINT) AS own, alias, CAST(units AS BIGINT) AS units FROM slots s JOIN shares USING (id)""",
+)
+def alias_table(spark, sf):
+    """Slots, and the units that each id has over all of them."""
+    slots = RI.alias_table(vocab(spark, sf))
+    parts = F.array(
+        F.struct("id", F.col("own").alias("units")), F.struct(F.col("alias").alias("id"), (F.col("total") - F.col("own")).alias("units"))
+    )
+    shares = slots.select(F.inline(parts)).groupBy("id").agg(F.sum("units").alias("units"))
+    return slots.select("id", "freq", "own", "alias").join(shares, "id")
+
+
 @query(
     "r15_negative_samples_unigram",
-    f"""WITH {TARGET_SQL}, cum AS (SELECT id, freq, CAST(sum(freq) OVER (ORDER BY id) AS BIGINT) - freq AS lo FROM vocab),
-        x AS (SELECT doc_id, pos, target, d, CAST(floor(u * total) AS BIGINT) AS r, total FROM dr, z)
-        SELECT doc_id, CAST(pos AS INTEGER) AS pos, target, CAST(d AS INTEGER) AS draw, id AS sample, round(freq::DOUBLE / total, 12) AS p
-        FROM x ASOF JOIN cum ON x.r >= cum.lo WHERE id <> target""",
+    f"""WITH {ALIAS_SQL}, x AS (SELECT doc_id, pos, target, d, CAST(floor(u * n) AS BIGINT) AS slot, total,
+          CAST(floor(('0x' || substr(md5('6:' || doc_id || ':' || pos || ':' || d || ':unit'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE * total) AS BIGINT) AS unit
+          FROM dr, z),
+        picked AS (SELECT x.*, CASE WHEN unit < own THEN s.id ELSE alias END AS sample FROM x JOIN slots s ON slot = s.id)
+        SELECT doc_id, CAST(pos AS INTEGER) AS pos, target, CAST(d AS INTEGER) AS draw, sample, round(freq::DOUBLE / total, 12) AS p
+        FROM picked JOIN vocab ON sample = vocab.id WHERE sample <> target""",
 )
 def negative_samples_unigram(spark, sf):
     ids = vocab(spark, sf)
