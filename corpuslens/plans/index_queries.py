@@ -429,13 +429,13 @@ def negative_samples_uniform(spark, sf):
 
 ALIAS_SQL = f"""{TARGET_SQL},
       scaled AS (SELECT id, freq, freq * n - total AS spare, n, total FROM vocab, z),
-      light AS (SELECT *, coalesce(sum(-spare) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at FROM scaled WHERE spare < 0),
-      heavy AS (SELECT *, coalesce(sum(spare) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at,
+      light AS (SELECT *, coalesce(sum(-spare) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot FROM scaled WHERE spare < 0),
+      heavy AS (SELECT *, coalesce(sum(spare) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS spot,
         lead(id) OVER (ORDER BY id) AS next FROM scaled WHERE spare > 0),
-      lights AS (SELECT l.id, l.freq, l.spare + l.total AS own, h.id AS alias FROM light l ASOF JOIN heavy h ON l.at >= h.at),
-      bounds AS (SELECT at FROM light UNION ALL SELECT sum(-spare)::BIGINT FROM light),
-      heavies AS (SELECT h.id, h.freq, h.total - (b.at - h.at - h.spare) AS own, CASE WHEN b.at > h.at + h.spare THEN h.next ELSE h.id END AS alias
-        FROM heavy h ASOF JOIN bounds b ON h.at + h.spare <= b.at),
+      lights AS (SELECT l.id, l.freq, l.spare + l.total AS own, h.id AS alias FROM light l ASOF JOIN heavy h ON l.spot >= h.spot),
+      bounds AS (SELECT spot FROM light UNION ALL SELECT sum(-spare)::BIGINT FROM light),
+      heavies AS (SELECT h.id, h.freq, h.total - (b.spot - h.spot - h.spare) AS own, CASE WHEN b.spot > h.spot + h.spare THEN h.next ELSE h.id END AS alias
+        FROM heavy h ASOF JOIN bounds b ON h.spot + h.spare <= b.spot),
       slots AS (SELECT * FROM lights UNION ALL SELECT * FROM heavies UNION ALL SELECT id, freq, total, id FROM scaled WHERE spare = 0)"""
 
 
