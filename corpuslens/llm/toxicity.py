@@ -82,6 +82,20 @@ def train(samples: list[bytes], size: int) -> bytes:
         return b" ".join(samples)[-size:]
 
 
+def _chosen(texts: list[str], count: int) -> list[bytes]:
+    """At most `count` training windows of the texts, chosen at random by their numbers; only these are kept."""
+    numbers = list(range(sum(len(windows(text, 96)) for text in texts)))
+    np.random.default_rng(0).shuffle(numbers)
+    place = {number: i for i, number in enumerate(numbers[:count])}
+    found, number = [b""] * len(place), 0
+    for text in texts:
+        for window in windows(text, 96):
+            if number in place:
+                found[place[number]] = b" " + window + b" "
+            number += 1
+    return found
+
+
 def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
     raw = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     parameters = zstandard.ZstdCompressionParameters.from_level(
@@ -105,20 +119,17 @@ class Dictionaries:
         self.window = window
         seen, elsewhere, toxic, ordinary = Counter(), Counter(), 0, 0
         for label, text in rows:
-            words = set(windows(text, 1))
             if label:
-                seen.update(words)
+                seen.update(set(windows(text, 1)))
                 toxic += 1
-            else:
-                elsewhere.update(words)
+        for label, text in rows:
+            if not label:
+                elsewhere.update(seen.keys() & windows(text, 1))  # other words are never asked for
                 ordinary += 1
         telling = [w for w, c in seen.items() if c >= 2 and c / toxic > 8 * (elsewhere[w] + 0.5) / max(ordinary, 1)]
         common = {w for w in telling if seen[w] >= max(2, toxic // COMMON)}
         lexicons = common, set(telling) - common
-        order = np.random.default_rng(0)
-        plain = [b" " + w + b" " for label, text in rows if not label for w in windows(text, 96)]
-        order.shuffle(plain)
-        ordinary_part = train(plain[:TRAINING_WINDOWS], DICTIONARY_BYTES)
+        ordinary_part = train(_chosen([text for label, text in rows if not label], TRAINING_WINDOWS), DICTIONARY_BYTES)
         hostile = train([b" " + w + b" " for label, text in rows if label for w in windows(text, 96)], DICTIONARY_BYTES)
         joined = [b" " + b"  ".join(sorted(lexicon, key=lambda w: (seen[w], w))) + b" " for lexicon in lexicons]
         with_words = [words + ordinary_part + FRAME for words in joined]
