@@ -47,8 +47,8 @@ from corpuslens.session import scratch_path
 TERM_RULE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 TERM_BYTES = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 NO_TERM_BYTE = re.compile(rb"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]")
-SEGMENT_WORDS = 1 << 19
-SEGMENT_DOCS = 4096
+SEGMENT_WORDS = 1 << 18
+SEGMENT_DOCS = 2048
 FOLD = 4  # coordinates for each distinct term, at least
 LEAST_WIDTH = 64
 FULL = 255  # a sketch's count that means "this or more"
