@@ -10,6 +10,7 @@ from corpuslens.operators import random_index as RI
 from corpuslens.operators import sequences as S
 from corpuslens.operators import text as TX
 from corpuslens.operators import vocabulary as V
+from corpuslens.operators.layout import place
 from corpuslens.plans.index_queries import CELLS_SQL, K, RI_SQL, accumulated_sql, vector_rows
 from corpuslens.plans.index_queries import S as ACTIVE
 from corpuslens.plans.registry import query, table
@@ -281,10 +282,13 @@ DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long
 
 
 def document_stream(spark, sf, files=4):
-    """The documents as several files, which arrive one after the other."""
+    """The documents as several files, which arrive one after the other.
+
+    Each file is one split here, so its rows are dealt over the cores before they are worked on.
+    """
     path = scratch_path(spark, "arriving")
     table(spark, sf, "documents").repartition(files, "doc_id").write.parquet(path)
-    return ST.read_documents(spark, path, DOC_SCHEMA, files_per_batch=1)
+    return place(ST.read_documents(spark, path, DOC_SCHEMA, files_per_batch=1), "doc_id")
 
 
 def token_arrays(spark, sf, files=4):
@@ -322,7 +326,7 @@ def stream_vocabulary(spark, sf):
     path, state = scratch_path(spark, "arriving"), scratch_path(spark, "st3")
     for part in range(4):
         table(spark, sf, "documents").where(F.col("doc_id") % 4 == part).write.mode("append").parquet(path)
-        tokens = TX.normalize_corpus(ST.read_documents(spark, path, DOC_SCHEMA), mode="words")
+        tokens = TX.normalize_corpus(place(ST.read_documents(spark, path, DOC_SCHEMA), "doc_id"), mode="words")
         found = ST.stream_vocabulary(tokens, state)(spark)
     return found
 

@@ -6,13 +6,14 @@ replayed batch changes nothing, as the store keeps a version for each batch.  Th
 vocabulary finds new tokens by deduplication in the state store.  Its batches write their
 new tokens and the next free id to folders of their own, overwritten on replay.
 
-States with very many rows belong into the RocksDB store, which keeps them on disk: set
-``spark.sql.streaming.stateStore.providerClass`` before a stream is first started.
+Context vectors have up to k state rows for each word, so their stream is started with the
+RocksDB store, which keeps rows on disk; the others take the session's store.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.errors import PySparkException
@@ -69,6 +70,25 @@ def state_table(spark: SparkSession, state: str, schema: str, batch: int | None
 NO_BATCH = ("STDS_COMMITTED_BATCH_UNAVAILABLE", "STDS_OFFSET_LOG_UNAVAILABLE", "STDS_NO_PARTITION_DISCOVERED_IN_STATE_STORE")
 
 
+ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",  # saves a lookup at each write
+}
+
+
+@contextmanager
+def session_conf(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings for the streams started inside, which keep those of their start."""
+    before = {key: spark.conf.get(key, None) for key in conf}
+    try:
+        for key, value in conf.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def _summed(groups: DataFrame, schema: str, state: str, trigger: dict | None) -> Running:
     """Runs a streamed aggregation for its state; the sink takes nothing."""
     writer = groups.writeStream.outputMode("update").format("noop")
@@ -85,7 +105,9 @@ def stream_context_vectors(
 ) -> Running:
     """Running context vectors ``(target, idx, w)``: one state row per cell, at most k for each word."""
     cells = C.context_cells(stream, size, k, s, seed, include_target)
-    running = _summed(cells.groupBy("target", "idx").agg(F.sum("v").alias("w")), "target string, idx int, w long", state, trigger)
+    sums = cells.groupBy("target", "idx").agg(F.sum("v").alias("w"))
+    with session_conf(stream.sparkSession, ON_DISK):
+        running = _summed(sums, "target string, idx int, w long", state, trigger)
     return Running(running.query, lambda spark, batch=None: running.read(spark, batch).where("w <> 0"))
 
 
