@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.mllib.linalg.distributed import RowMatrix
 from pyspark.mllib.util import MLUtils
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions import hashing
 from corpuslens.functions import vectors as VX
 from corpuslens.operators.ordering import running_total
 from corpuslens.session import checkpoint_dir
@@ -120,6 +122,92 @@ def truncated_svd(vectors: DataFrame, r: int, vector: str = "vector") -> DataFra
     return with_v.withColumn("projected", projected).drop(vector, "_v")
 
 
+def _times(vector: Column | str, columns: Column) -> Column:
+    """A row vector times a matrix given by its columns, one array each."""
+    vector = F.col(vector) if isinstance(vector, str) else vector
+    return F.transform(columns, lambda c: VX.dot(vector, c))
+
+
+def _right_inverse(rows: DataFrame, vector: str) -> tuple[np.ndarray, Column]:
+    """R of the rows' QR decomposition, and the columns of its inverse, by which rows become those of Q.
+
+    The decomposition is one of blocks, a block being a task's rows, whose triangles are
+    decomposed again in a tree; only R, as wide as the rows and no longer, comes to the driver.
+    """
+    dense = rows.select(array_to_vector(F.col(vector)).alias("v"))
+    r = RowMatrix(MLUtils.convertVectorColumnsFromML(dense, "v")).tallSkinnyQR().R.toArray()
+    return r, F.lit(np.linalg.pinv(r, rcond=1e-12).T.tolist())
+
+
+def random_columns(spark: SparkSession, dimension: int, count: int, seed: int = 0) -> DataFrame:
+    """``(idx, vector)``: a random matrix of numbers between -1 and 1, a row for each dimension, from hashes."""
+    number = lambda j: hashing.uniform(seed, F.col("id"), j) * 2 - 1
+    return spark.range(dimension).select("id", F.transform(F.sequence(F.lit(0), F.lit(count - 1)), number).alias("vector")).toDF("idx", "vector")
+
+
+def _held(matrix: DataFrame) -> Column:
+    """The columns of a matrix ``(idx, vector)`` as one array of arrays, a value of one row that joins need not be made for."""
+    rows = F.sort_array(F.collect_list(F.struct("idx", "vector")))
+    by_row = matrix.agg(F.transform(rows, lambda x: x["vector"]).alias("m"))
+    turned = F.transform(F.sequence(F.lit(0), F.size(F.col("m")[0]) - 1), lambda j: F.transform("m", lambda row: F.get(row, j)))
+    return by_row.select(turned).scalar()
+
+
+def randomised_svd(
+    vectors: DataFrame, r: int, oversample: int = 10, power_steps: int = 2, seed: int = 0, vector: str = "vector"
+) -> tuple[DataFrame, DataFrame, list[float]]:
+    """U_r * S_r as `projected`, the right singular vectors ``(idx, vector)``, and the r largest singular values.
+
+    The rows' range is found by a random matrix of r + `oversample` columns and sharpened by
+    `power_steps` passes back and forth, each orthonormalised by blocked QR.  The driver holds
+    factors as wide as that, never one of the dimension or of the rows; a matrix of the dimension
+    times the width is a table.  Each component's sign makes its largest entry positive.
+    """
+    spark = vectors.sparkSession
+    checkpoint_dir(spark)
+    dimension = vectors.agg(F.max(F.size(vector))).first()[0] or 0
+    if not dimension:
+        return vectors.withColumn("projected", F.array().cast("array<double>")).drop(vector), spark.createDataFrame([], MATRIX), []
+    width = min(dimension, r + oversample)
+    rows = vectors.withColumn("_v", F.col(vector).cast("array<double>"))
+    basis = random_columns(spark, dimension, width, seed)
+    for step in range(power_steps + 1):
+        ranged = rows.withColumn("_m", _held(basis)).withColumn("_y", _times("_v", F.col("_m"))).drop("_m")
+        _, inverse = _right_inverse(ranged, "_y")
+        ranged = ranged.withColumn("_q", _times("_y", inverse))
+        across = _transposed_product(ranged, "_v", "_q").checkpoint()
+        triangle, inverse = _right_inverse(across, "vector")
+        basis = across.select("idx", _times("vector", inverse).alias("vector")).checkpoint()
+    left, values, right = np.linalg.svd(triangle.T)
+    n = min(r, len(values))
+    components = basis.select("idx", _times("vector", F.lit(right[:n].tolist())).alias("vector"))
+    entry = [F.col("vector")[j] for j in range(n)]
+    largest = components.agg(*[F.max_by(e, F.abs(e)).alias(f"c{j}") for j, e in enumerate(entry)]).first()
+    signs = np.where(np.array(largest, float) < 0, -1.0, 1.0)
+    components = components.select("idx", F.zip_with("vector", F.lit(signs.tolist()), lambda x, sign: x * sign).alias("vector"))
+    scale = left[:, :n] * values[:n] * signs
+    projected = ranged.withColumn("projected", _times("_q", F.lit(scale.T.tolist()))).drop(vector, "_v", "_y", "_q")
+    return projected, components, values[:n].tolist()
+
+
+MATRIX = "idx long, vector array<double>"
+
+
+def _transposed_product(rows: DataFrame, left: str, right: str) -> DataFrame:
+    """``(idx, vector)``: the transpose of the rows' `left` vectors times their `right` ones, summed partially in the tasks."""
+    width = rows.agg(F.max(F.size(right))).first()[0]
+    cells = rows.select(right, F.posexplode(left).alias("idx", "_x"))
+    sums = [F.sum(F.col("_x") * F.col(right)[j]).alias(f"s{j}") for j in range(width)]
+    return cells.groupBy(F.col("idx").cast("long").alias("idx")).agg(*sums).select("idx", F.array(*[f"s{j}" for j in range(width)]).alias("vector"))
+
+
+def reconstructed(projected: DataFrame, components: DataFrame) -> DataFrame:
+    """`projected` rows times the transposed components: the matrix again, up to the components left out."""
+    by_row = F.transform(F.sort_array(F.collect_list(F.struct("idx", "vector"))), lambda x: x["vector"])
+    held = components.agg(by_row.alias("m")).scalar()
+    return projected.withColumn("_m", held).withColumn("reconstructed", _times("projected", F.col("_m"))).drop("projected", "_m")
+
+
 def value_histogram(vectors: DataFrame, key: str, low: float, high: float, bins: int, vector: str = "vector") -> DataFrame:
     """``(key, bucket, n)``: bucket 0 and bins+1 hold values outside [low, high)."""
     cells = vectors.select(key, F.explode(vector).alias("v"))

@@ -159,6 +159,19 @@ def truncated_svd(spark, sf):
     return projected.select("key", *[F.round(F.col("projected")[i], 4).alias(c) for i, c in enumerate("xy")])
 
 
+@query(
+    "e07_reconstruction",
+    "SELECT vec_id AS key, generate_subscripts(embedding, 1) - 1 AS idx, round(unnest(embedding)::DOUBLE, 4) AS value FROM embeddings",
+)
+def reconstruction(spark, sf):
+    """All components of the randomised decomposition give the vectors again."""
+    projected, components, _ = E.randomised_svd(keyed(spark, sf), 1 << 10)
+    whole = E.reconstructed(projected, components)
+    return whole.select("key", F.posexplode("reconstructed").alias("idx", "value")).select(
+        "key", F.col("idx").cast("long").alias("idx"), (F.round("value", 4) + 0.0).alias("value")
+    )
+
+
 @query(
     "e08_value_histogram",
     f"""WITH {CELLS}, b AS (SELECT vec_id AS key, CASE WHEN v < -0.4::DOUBLE THEN 0 WHEN v >= 0.4::DOUBLE THEN 21

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import stopwords
 from corpuslens.functions.words import words
-from corpuslens.operators import sketches
+from corpuslens.operators import bloom, sketches
 from corpuslens.operators import vocabulary as V
 from corpuslens.operators.layout import spread_scan
 from corpuslens.plans.registry import query, table
@@ -205,6 +205,37 @@ def coverage(spark, sf):
     return V.coverage(corpus(spark, sf), gold).withColumn("share", F.round("share", 9))
 
 
+FILTER_BITS, FILTER_HASHES = 4096, 3
+
+
+def bits_sql(token: str = "token") -> str:
+    """SQL for the list of a token's bits in the filter."""
+    number = lambda at: f"('0x' || substr(md5('0:' || {token}), {at}, 13))::BIGINT"
+    return f"list_transform(range({FILTER_HASHES}), lambda i: ({number(1)} % {FILTER_BITS} + i * ({number(14)} % {FILTER_BITS - 1} + 1)) % {FILTER_BITS})"
+
+
+@query(
+    "v15_bloom_membership",
+    f"""WITH {TOK}, {BENCH}, f AS (SELECT list(DISTINCT bit) AS held FROM (SELECT unnest({bits_sql()}) AS bit FROM bench)),
+        w AS (SELECT token, {bits_sql()} AS bits FROM (SELECT DISTINCT token FROM tok)),
+        c AS (SELECT w.token, list_has_all(held, bits) AS candidate, bench.token IS NOT NULL AS member
+              FROM w CROSS JOIN f LEFT JOIN bench ON w.token = bench.token)
+        SELECT doc_id, count(*) AS tokens, count(*) FILTER (candidate) AS candidates, count(*) FILTER (member) AS members
+        FROM tok JOIN c USING (token) GROUP BY doc_id""",
+)
+def bloom_membership(spark, sf):
+    """Tokens of each document, those that a small filter lets through, and those in the dictionary."""
+    shape = bloom.Shape(FILTER_BITS, FILTER_HASHES)
+    gold = V.token_stream(bench_corpus(spark, sf)).select("token").distinct()
+    halves = [bloom.build(gold.where(F.length("token") % 2 == side), "token", shape) for side in (0, 1)]
+    both = bloom.merge(halves[0].unionByName(halves[1]), shape)
+    counted = V.token_stream(corpus(spark, sf)).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
+    total = counted.groupBy("doc_id").agg(F.sum("n").alias("tokens"))
+    passed = bloom.prune(counted, "token", both, shape).join(gold.withColumn("_in", F.lit(1)), "token", "left")
+    kept = passed.groupBy("doc_id").agg(F.sum("n").alias("candidates"), F.sum(F.col("n") * F.coalesce("_in", F.lit(0))).alias("members"))
+    return total.join(kept, "doc_id", "left").select("doc_id", "tokens", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("candidates", "members")])
+
+
 @query(
     "v16_add_signs",
     f"""WITH {FREQ}, {BENCH}, bf AS (SELECT unnest(regexp_extract_all(lower(text), '\\p{{L}}+')) AS token

@@ -30,6 +30,31 @@ def test_svd(vectors, matrix):
     assert all(max(c, key=abs) > 0 for c in right)
 
 
+def test_randomised_svd(vectors, matrix):
+    u, s, v = np.linalg.svd(matrix, full_matrices=False)
+    projected, components, values = E.randomised_svd(vectors, 3, oversample=3, power_steps=3)
+    assert np.allclose(values, s[:3], rtol=1e-3)
+    whole = np.array([r.reconstructed for r in E.reconstructed(projected, components).orderBy("key").collect()])
+    exact = np.linalg.norm(matrix - (u[:, :3] * s[:3]) @ v[:3])
+    assert exact <= np.linalg.norm(matrix - whole) + 1e-9 < 1.001 * exact + 1e-8
+    right = np.array([r.vector for r in components.orderBy("idx").collect()])
+    assert np.allclose(right.T @ right, np.eye(3), atol=1e-9) and all(c[np.abs(c).argmax()] > 0 for c in right.T)
+
+
+def test_randomised_svd_of_all_components(spark, vectors, matrix):
+    projected, components, values = E.randomised_svd(vectors, 100)
+    assert len(values) == 8 and np.allclose(values, np.linalg.svd(matrix)[1])
+    whole = np.array([r.reconstructed for r in E.reconstructed(projected, components).orderBy("key").collect()])
+    assert np.allclose(whole, matrix, atol=1e-10)
+    few = spark.createDataFrame([(1, [3.0, 0.0, 4.0]), (2, [0.0, 0.0, 0.0]), (3, [6.0, 0.0, 8.0])], "key long, vector array<double>")
+    projected, components, values = E.randomised_svd(few, 2)  # of rank one, with fewer rows than a basis
+    again = {r.key: r.reconstructed for r in E.reconstructed(projected, components).collect()}
+    assert np.allclose([again[1], again[2], again[3]], [[3, 0, 4], [0, 0, 0], [6, 0, 8]], atol=1e-9)
+    assert math.isclose(values[0], math.sqrt(125))
+    nothing, none, empty = E.randomised_svd(few.limit(0), 2)
+    assert (nothing.count(), none.count(), empty) == (0, 0, [])
+
+
 def test_pca(vectors, matrix):
     values, axes = np.linalg.eigh(np.cov(matrix.T))
     got = np.array([r.projected for r in E.pca(vectors, 2).orderBy("key").collect()])
