@@ -123,9 +123,8 @@ def truncated_svd(vectors: DataFrame, r: int, vector: str = "vector") -> DataFra
 
 
 def _times(vector: Column | str, columns: Column) -> Column:
-    """A row vector times a matrix given by its columns, one array each."""
-    vector = F.col(vector) if isinstance(vector, str) else vector
-    return F.transform(columns, lambda c: VX.dot(vector, c))
+    """A row vector, derived once, times a matrix given by its columns, one array each."""
+    return F.transform(F.array(vector), lambda v: F.transform(columns, lambda c: VX.dot(v, c)))[0]
 
 
 def _right_inverse(rows: DataFrame, vector: str) -> tuple[np.ndarray, Column]:
