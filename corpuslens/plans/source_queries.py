@@ -214,6 +214,19 @@ def write_vocabulary(spark, sf):
     return stores.read_vocabulary(spark, path)
 
 
+@query(
+    "s08_bucketed_vocabulary",
+    f"""WITH {VOCAB} SELECT doc_id, string_agg(CAST(id AS VARCHAR), ' ' ORDER BY pos) AS ids
+        FROM tok JOIN vocab USING (token) GROUP BY doc_id UNION ALL SELECT doc_id, '' FROM docs WHERE len(t) = 0""",
+)
+def bucketed_vocabulary(spark, sf):
+    """Documents encoded by a stored vocabulary that the lookup's join reads bucket by bucket."""
+    path = scratch_path(spark, "bucketed")
+    stored = stores.write_bucketed_vocabulary(vocab(spark, sf), f"vocabulary_{path[-32:]}", path)
+    encoded = V.encode_ids(corpus(spark, sf), stored)
+    return encoded.select("doc_id", F.array_join(F.col("ids").cast("array<string>"), " ").alias("ids"))
+
+
 @query(
     "s09_write_ngrams",
     f"""WITH {VOCAB}, e AS (SELECT doc_id, list(id ORDER BY pos) AS t FROM tok JOIN vocab USING (token) GROUP BY doc_id),
