@@ -2,6 +2,7 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import duckdb
 from pyspark.sql import functions as F
 
 from corpuslens.llm import chat, queries
@@ -36,6 +37,24 @@ def test_conversations(spark):
     assert all(r.formatted_chars > r.loss_chars for r in rows)
 
 
+def test_sql(spark, db):
+    rows = queries.op8_format_chats(spark, SF.replace("sf0.01", "sf0.001")).collect()
+    sql = db.execute(queries.ORACLE["op8_format_chats"])
+    names = [c[0] for c in sql.description]
+    key = lambda row: tuple(row[c] for c in ("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"))
+    assert sorted(map(key, rows)) == sorted(key(dict(zip(names, r))) for r in sql.fetchall())
+
+
+def test_sql_of_odd_rows(spark, make):
+    path = make(ODD, TURN, "conversations")
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{path}/conversations.parquet/*.parquet'")
+    sql = con.execute(queries.ORACLE["op8_format_chats"])
+    names = [c[0] for c in sql.description]
+    want = {r[names.index("conv_id")]: r[names.index("formatted_chars")] for r in sql.fetchall()}
+    assert want == {r.conv_id: r.formatted_chars for r in queries.op8_format_chats(spark, path).collect()}
+
+
 ODD = [
     (1, 0, "user", None),
     (1, 1, None, "no role"),
