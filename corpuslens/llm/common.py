@@ -23,9 +23,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     Cuts the lineage, survives lost executors, and gives the planner the true size,
     so that later joins broadcast it only when it is below the session's threshold.
     """
+    return stored_at(df, label)[0]
+
+
+def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """As ``stored``, with the path, for tables that are removed once nothing reads them any more."""
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def remove(spark: SparkSession, *paths: str) -> None:
+    """Deletes tables of ``stored_at``; what was derived from them must have been stored before."""
+    for path in paths:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def whole(df: DataFrame, name: str = "_doc") -> Column:

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import stored, unpacked, whole
+from corpuslens.llm.common import remove, stored, stored_at, unpacked, whole
 
 SHINGLE = 4
 THRESHOLD = 80  # percent
@@ -158,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
     comp is the smallest node.  Each step shuffles the edges by node with the minimum
     aggregated before, so a hub is one row per task.
     """
-    links = stored(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct(), "links")
+    links, held = stored_at(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct(), "links")
     content = [F.count("*").alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")).alias("h")]
     before = links.agg(*content).first()
     while before.n:
@@ -167,11 +167,13 @@ def components(edges: DataFrame) -> DataFrame:
         )
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low"))
-        large = stored(large.where("low < high").distinct(), "links")
+        large, between = stored_at(large.where("low < high").distinct(), "links")
         near = large.groupBy("high").agg(F.min("low").alias("m"))
         to_least = lambda c: F.struct(F.col(c).alias("high"), F.col("m").alias("low"))
         small = large.join(near, "high").select(F.explode(F.array(to_least("high"), to_least("low"))).alias("e"))
-        links = stored(small.select("e.low", "e.high").where("low < high").distinct(), "links")
+        passed = (held, between)
+        links, held = stored_at(small.select("e.low", "e.high").where("low < high").distinct(), "links")
+        remove(links.sparkSession, *passed)  # a round reads the one before only
         after = links.agg(*content).first()
         if after == before:
             break
@@ -205,11 +207,11 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int =
     pivot's text; a task holds one pivot's set and one batch of texts.
     """
     parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / MEMBERS).alias("_parts"))
-    dealt = stored(pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("_parts")).alias("part"), "b"), "dealt")
+    dealt, dealt_path = stored_at(pairs.join(parts, "a").select("a", F.pmod(F.hash("b"), F.col("_parts")).alias("part"), "b"), "dealt")
     heads = dealt.select("a", "part").distinct().select("a", "part", F.lit(0).alias("role"), F.col("a").alias("node"))
     members = dealt.select("a", "part", F.lit(1).alias("role"), F.col("b").alias("node"))
     named = heads.unionByName(members).join(classes.select("node", "digest", "doc", "mark"), "node")
-    wanted = stored(named, "wanted")
+    wanted, wanted_path = stored_at(named, "wanted")
     rows = texts_of(wanted, docs).select("a", "part", "role", "node", "digest", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +232,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int =
                         out[1].append(node[i])
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
-    return stored(rows.mapInArrow(checked, "a long, b long").distinct(), "edges")
+    found = stored(rows.mapInArrow(checked, "a long, b long").distinct(), "edges")
+    remove(found.sparkSession, dealt_path, wanted_path)
+    return found
 
 
 def _may_reach(threshold: int, exact: bool) -> Column:
@@ -260,7 +264,7 @@ def linked(
             finish = False
         else:
             comp = components(edges)
-            labelled = stored(index.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
+            labelled, labelled_path = stored_at(index.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
             lists = _open_lists(labelled)
             cost = lists.agg(F.sum("cost")).first()[0]
             if cost is None:
@@ -291,6 +295,8 @@ def linked(
         tested = pairs if tested is None else tested.unionByName(pairs)
         found = verified(likely(pairs, classes, threshold=threshold), classes, docs, width, threshold)
         edges = found if first else edges.unionByName(found)
+        if not first:
+            remove(index.sparkSession, labelled_path)  # the next round labels the members anew
         if finish:
             return edges, None
         going = found.count() * FEWEST_LINKS >= pairs.count() > 0
