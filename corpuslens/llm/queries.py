@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -206,6 +205,8 @@ TOKEN_LIMIT = 2048
 
 @query("op12_count_tokens")
 def op12_count_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers  # only this query needs the tokenizer files
+
     proof = token_counts.prove(public_tokenizers.path(TOKENIZER))
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), proof, TOKEN_LIMIT)
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_direct", "n_merged")
