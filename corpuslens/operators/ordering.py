@@ -71,16 +71,15 @@ def neighbours_by_kind(df: DataFrame, order: str, first: Column, value: Column)
     one row per range.
     """
     rows = frozen_order(df.withColumns({"_mark": F.when(first, value), "_kind": F.when(first, 0).otherwise(1)}), order, "_kind")
-    inside = Window.partitionBy(PARTITION).orderBy(ROW)
-    up_to, behind = inside.rowsBetween(Window.unboundedPreceding, 0), inside.rowsBetween(1, Window.unboundedFollowing)
-    found = rows.withColumns({"_b": F.last("_mark", True).over(up_to), "_a": F.first("_mark", True).over(behind)})
+    # Both windows grow from their start, the second in reverse order: a frame that ends at the
+    # partition's end would be summed up anew for each row.
+    up_to = Window.partitionBy(PARTITION).orderBy(ROW).rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy(PARTITION).orderBy(F.col(ROW).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.withColumn("_b", F.last("_mark", True).over(up_to)).withColumn("_a", F.last("_mark", True).over(behind))
     ends = rows.groupBy(PARTITION).agg(F.max_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(ROW))).alias("_last"), F.min_by("_mark", F.when(F.col("_mark").isNotNull(), F.col(ROW))).alias("_first"))
-    across = Window.orderBy(PARTITION)  # one row per range
-    passed = ends.select(
-        PARTITION,
-        F.last("_last", True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_pb"),
-        F.first("_first", True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_pa"),
-    )
+    earlier = Window.orderBy(PARTITION).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    later = Window.orderBy(F.col(PARTITION).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    passed = ends.select(PARTITION, F.last("_last", True).over(earlier).alias("_pb"), F.last("_first", True).over(later).alias("_pa"))
     joined = found.join(F.broadcast(passed), PARTITION)
     return joined.select(*df.columns, F.coalesce("_b", "_pb").alias("before"), F.coalesce("_a", "_pa").alias("after"))
 

@@ -216,10 +216,10 @@ def bits_sql(token: str = "token") -> str:
 
 @query(
     "v15_bloom_membership",
-    f"""WITH {TOK}, {BENCH}, f AS (SELECT list(DISTINCT bit) AS held FROM (SELECT unnest({bits_sql()}) AS bit FROM bench)),
-        w AS (SELECT token, {bits_sql()} AS bits FROM (SELECT DISTINCT token FROM tok)),
-        c AS (SELECT w.token, list_has_all(held, bits) AS candidate, bench.token IS NOT NULL AS member
-              FROM w CROSS JOIN f LEFT JOIN bench ON w.token = bench.token)
+    f"""WITH {TOK}, {BENCH}, held AS (SELECT DISTINCT unnest({bits_sql()}) AS bit FROM bench),
+        w AS (SELECT token, unnest({bits_sql()}) AS bit FROM (SELECT DISTINCT token FROM tok)),
+        p AS (SELECT token, bool_and(held.bit IS NOT NULL) AS candidate FROM w LEFT JOIN held ON w.bit = held.bit GROUP BY token),
+        c AS (SELECT p.token, candidate, bench.token IS NOT NULL AS member FROM p LEFT JOIN bench ON p.token = bench.token)
         SELECT doc_id, count(*) AS tokens, count(*) FILTER (candidate) AS candidates, count(*) FILTER (member) AS members
         FROM tok JOIN c USING (token) GROUP BY doc_id""",
 )
