@@ -20,7 +20,8 @@ pivot, the member that shares most of its values; linked members fall into one c
 pairs inside a component need no test.  When few pairs are left between components, all
 are tested.  Where many are left (classes that consist of common passages), the lists'
 members get a second index over full sets, in which the bounds on common values are exact
-and hold without probability; further rounds follow there as long as they link.
+and hold without probability; further rounds follow there as long as they link and leave
+clearly fewer pairs.  Then all pairs that are left are tested.
 
 Every stage deals its work by class, list value or (pivot, part of its members), lists are
 never gathered, and joins whose one side is hot are left to adaptive execution's splitting.
@@ -53,6 +54,8 @@ MEMBERS = 256  # members that meet a pivot in one place
 FEW = 0.5  # pairs left for each index entry that may be tested without further rounds
 FEW_EXACT = 1  # the same for lists over full sets
 FEWEST_LINKS = 50  # rounds go on while one pair in so many is a link
+FALLING = 0.9  # and while each leaves at most this share of the pairs that it found,
+MOST = 256  # unless more pairs than this are left for each index entry
 BROADCAST_ROWS = 500_000
 WORDS_HELD = 1 << 20  # word hashes remembered by a task
 
@@ -155,29 +158,27 @@ def index_of(values: DataFrame, need: Column, need_of_longer: Column) -> DataFra
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes with edges (a, b), by alternating large and small stars.
 
-    comp is the smallest node.  Each step shuffles the edges by node with the minimum
-    aggregated before, so a hub is one row per task.
+    comp is the smallest node.  A round shuffles the edges by node with the minimum
+    aggregated before, so a hub is one row per task.  It ends when all edges form stars,
+    which is read off the degrees; edges that do from the start need no round.
     """
     links, held = stored_at(edges.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")).where("low < high").distinct(), "links")
-    content = [F.count("*").alias("n"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)")).alias("h")]
-    before = links.agg(*content).first()
-    while before.n:
+    while True:
         both = links.select(F.col("high").alias("u"), F.col("low").alias("v")).unionByName(
             links.select(F.col("low").alias("u"), F.col("high").alias("v"))
         )
+        lower = F.count(F.when(F.col("v") < F.col("u"), 1)).alias("lower")
+        degrees = both.groupBy("u").agg(lower, F.count("*").alias("n"))
+        if not degrees.where("lower > 1 or lower = 1 and n > 1").agg(F.count("*")).first()[0]:
+            break
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("high"), F.col("m").alias("low"))
-        large, between = stored_at(large.where("low < high").distinct(), "links")
+        large = links.join(least, F.col("low") == F.col("u")).select("high", F.col("m").alias("low")).where("low < high")
         near = large.groupBy("high").agg(F.min("low").alias("m"))
         to_least = lambda c: F.struct(F.col(c).alias("high"), F.col("m").alias("low"))
         small = large.join(near, "high").select(F.explode(F.array(to_least("high"), to_least("low"))).alias("e"))
-        passed = (held, between)
+        passed = held
         links, held = stored_at(small.select("e.low", "e.high").where("low < high").distinct(), "links")
-        remove(links.sparkSession, *passed)  # a round reads the one before only
-        after = links.agg(*content).first()
-        if after == before:
-            break
-        before = after
+        remove(links.sparkSession, passed)  # a round reads the one before only
     roots = links.select(F.col("low").alias("node"), F.col("low").alias("comp")).distinct()
     return links.select(F.col("high").alias("node"), F.col("low").alias("comp")).unionByName(roots)
 
@@ -251,12 +252,13 @@ def _may_reach(threshold: int, exact: bool) -> Column:
 def linked(
     index: DataFrame, edges: DataFrame | None, classes: DataFrame, docs: DataFrame, width: int, threshold: int, last: bool
 ) -> tuple[DataFrame, DataFrame | None]:
-    """`edges` with the links that the lists of `index` lead to, and lists that are left.
+    """Edges with the components of `edges` and the links that the lists of `index` lead to, and lists that are left.
 
     `last`: the index is over full sets, and no list is left.  Else one round is made, and
-    lists are left where many pairs remain.
+    lists are left where many pairs remain.  Components found by a round go on as stars, so
+    that the next one does not start from single links again.
     """
-    entries, tested, going = index.count(), None, True
+    entries, tested, going, before = index.count(), None, True, None
     while True:
         first = edges is None
         if first:  # every class is a component of its own
@@ -264,12 +266,15 @@ def linked(
             finish = False
         else:
             comp = components(edges)
+            edges = comp.where("node != comp").select(F.col("node").alias("a"), F.col("comp").alias("b"))
             labelled, labelled_path = stored_at(index.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "members")
             lists = _open_lists(labelled)
             cost = lists.agg(F.sum("cost")).first()[0]
             if cost is None:
                 return edges, None
-            finish = cost <= (FEW_EXACT if last else FEW) * entries or (last and not going)
+            slow = before is not None and cost > FALLING * before and cost <= MOST * entries
+            finish = cost <= (FEW_EXACT if last else FEW) * entries or (last and (slow or not going))
+            before = cost
             if not finish and not last:
                 return edges, lists.select("value")
             member = labelled.join(lists.select("value", "major"), "value").withColumn("outside", F.col("comp") != F.col("major"))
@@ -319,7 +324,7 @@ def _open_lists(member: DataFrame) -> DataFrame:
 
 
 def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:
-    """(a, b): verified links that connect each component of classes."""
+    """(a, b): edges that connect each component of classes, by verified links or as its star."""
     values = classes.select("node", "n", F.explode("sketch").alias("value"))
     exact = F.ceil(F.col("n") * threshold / 100)
     need = F.when(F.col("n") * 100 <= K * threshold, exact).otherwise(floor_of(K, threshold))

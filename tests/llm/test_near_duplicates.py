@@ -162,3 +162,31 @@ def test_texts_under_one_id_travel_to_their_own_candidates_only(spark, make, mon
     path = make([(d, t, None, None, None) for d, t in docs])
     assert rows_of(queries.op4_near_duplicates(spark, path)) == brute(docs)
     assert sent and all(rows == wanted for rows, wanted in sent)
+
+
+def counted_calls(monkeypatch, name, label=None):
+    calls, made = [], getattr(nd, name)
+
+    def counted(*args, **named):
+        if label in (None, *args[1:2]):
+            calls.append(1)
+        return made(*args, **named)
+
+    monkeypatch.setattr(nd, name, counted)
+    return calls
+
+
+def test_components_that_are_stars_already_need_no_round(spark, monkeypatch):
+    calls = counted_calls(monkeypatch, "stored_at", "links")
+    got = {r.node: r.comp for r in nd.components(spark.createDataFrame([(0, i) for i in range(1, 40)] + [(60, 50)], "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(40)}, 50: 50, 60: 50} and len(calls) == 1
+
+
+def test_rounds_end_when_they_leave_nearly_as_many_pairs(spark, make, monkeypatch):
+    """With FALLING = 0 the second round over full sets tests all pairs that are left."""
+    for name in ("FEW", "FEW_EXACT", "FALLING"):
+        monkeypatch.setattr(nd, name, 0)
+    calls = counted_calls(monkeypatch, "verified")
+    docs = odd_documents()
+    assert rows_of(queries.op4_near_duplicates(spark, make([(d, t, None, None, None) for d, t in docs]))) == brute(docs)
+    assert len(calls) <= 3
