@@ -27,6 +27,7 @@ labels of both classes every score is the share of toxic labels, 0 if there are
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -182,8 +183,8 @@ class Dictionaries:
 class Classifier:
     """Dictionaries and calibration; `constant` is the score where nothing could be learned."""
 
-    def __init__(self, rows: list[tuple[int, int, str]], window: int = WINDOW_BYTES):
-        """`rows`: (label, half, text)."""
+    def __init__(self, rows: list[tuple[int, int, str]], window: int = WINDOW_BYTES, featured: Callable | None = None):
+        """`rows`: (label, half, text); ``featured(dictionaries, half)``: (label, features) of the rows of one half, in their order."""
         labels = [label for label, _, _ in rows]
         self.constant = None
         if len(set(labels)) < 2:
@@ -192,8 +193,11 @@ class Classifier:
         features, wanted = [], []
         for half in (0, 1):
             other = Dictionaries([(label, text) for label, h, text in rows if h != half], window)
-            own = [(label, text) for label, h, text in rows if h == half]
-            features += [other.features(text) for _, text in own]
+            if featured:
+                own = featured(other, half)
+            else:
+                own = [(label, other.features(text)) for label, h, text in rows if h == half]
+            features += [values for _, values in own]
             wanted += [label for label, _ in own]
         self.calibration = Logistic(np.array(features), np.array(wanted, float))
         self.dictionaries = Dictionaries([(label, text) for label, _, text in rows], window)
@@ -207,13 +211,33 @@ class Classifier:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:
-    """The classifier of a bounded sample of the labelled documents outside the held-out fold."""
+    """The classifier of a bounded sample of the labelled documents outside the held-out fold.
+
+    The driver trains the dictionaries; the sample is compared by them in tasks, so the
+    driver holds no compressed windows.
+    """
     sample = labelled_texts(docs, labels, "toxic", FOLDS, HELD_OUT, {1: TOXIC_DOCS, 0: ORDINARY_DOCS})
     size = sample.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     if size > SAMPLE_BYTES:
         sample = sample.where(F.crc32(F.col("text").cast("binary")) < (1 << 32) * SAMPLE_BYTES / size / 2)
-    rows = sample.orderBy("label", "half", F.md5("text")).toPandas()
-    return Classifier(list(rows[["label", "half", "text"]].itertuples(index=False, name=None)))
+    place = F.md5("text").alias("place")  # rows that agree in it have the same text
+
+    def featured(dictionaries: Dictionaries, half: int) -> list[tuple[int, list[float]]]:
+        own = sample.where(F.col("half") == half).select("label", place, _features_column(dictionaries)("text").alias("features"))
+        return [(r.label, r.features) for r in sorted(own.collect(), key=lambda r: (r.label, r.place))]
+
+    rows = sample.select("label", "half", "text", place).toPandas().sort_values(["label", "half", "place"])
+    return Classifier(list(rows[["label", "half", "text"]].itertuples(index=False, name=None)), featured=featured)
+
+
+def _features_column(dictionaries: Dictionaries):
+    """The comparison by `dictionaries` as a function of a text column."""
+
+    @F.pandas_udf("array<double>")
+    def features(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.array(dictionaries.features(t), float) for t in texts.tolist()], dtype=object)
+
+    return features
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -131,3 +131,29 @@ def test_discriminant_equals_the_formula():
         gap = z - z[y == c].mean(0)
         logs.append(np.log((y == c).mean()) - 0.5 * np.linalg.slogdet(own)[1] - 0.5 * (gap @ np.linalg.inv(own) * gap).sum(1))
     assert m.log_ratio(x) == pytest.approx(logs[1] - logs[0])
+
+
+def test_the_sample_is_compared_in_tasks(spark, make, monkeypatch):
+    """The model is the one that a fit in one process has, and the driver compares no text."""
+    texts = [(i, ("calm words only here " if i % 3 else "awful words insultx here ") + f"t{i} " * (i % 7), "en", "s", 1) for i in range(300)]
+    path = make(texts)
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    docs, labels = spark.read.parquet(f"{path}/documents.parquet"), spark.read.parquet(f"{path}/labels.parquet")
+    rows = toxicity.labelled_texts(docs, labels, "toxic", 4, 2, {1: 4000, 0: 8000}).orderBy("label", "half", toxicity.F.md5("text")).collect()
+    alone = toxicity.Classifier([(r.label, r.half, r.text) for r in rows])
+    monkeypatch.setattr(toxicity.Dictionaries, "features", _not_here(toxicity.Dictionaries.features))
+    model = toxicity.fit(docs, labels)
+    assert model.dictionaries.contents == alone.dictionaries.contents
+    assert np.array_equal(model.calibration.weights, alone.calibration.weights)
+
+
+def _not_here(features):
+    import os
+
+    driver = os.getpid()
+
+    def elsewhere(self, text):
+        assert os.getpid() != driver
+        return features(self, text)
+
+    return elsewhere
