@@ -21,7 +21,9 @@ pairs inside a component need no test.  When few pairs are left between componen
 are tested.  Where many are left (classes that consist of common passages), the lists'
 members get a second index over full sets, in which the bounds on common values are exact
 and hold without probability; further rounds follow there as long as they link and leave
-clearly fewer pairs.  Then all pairs that are left are tested.
+clearly fewer pairs.  Then all pairs that are left are tested.  Entries of this index carry
+a histogram of their class's values by hash; two classes have no more values in common than
+the histograms, so near copies beyond the threshold are not paired, though they share lists.
 
 Every stage deals its work by class, list value or (pivot, part of its members), lists are
 never gathered, and joins whose one side is hot are left to adaptive execution's splitting.
@@ -56,6 +58,7 @@ FEW_EXACT = 1  # the same for lists over full sets
 FEWEST_LINKS = 50  # rounds go on while one pair in so many is a link
 FALLING = 0.9  # and while each leaves at most this share of the pairs that it found,
 MOST = 256  # unless more pairs than this are left for each index entry
+BUCKETS, LEVELS = 512, 3  # histograms of full sets: buckets, a multiple of 64, and values told apart in each
 BROADCAST_ROWS = 500_000
 WORDS_HELD = 1 << 20  # word hashes remembered by a task
 
@@ -135,24 +138,34 @@ def texts_of(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     return single.join(small_or_shuffled(wanted), same)
 
 
-def index_of(values: DataFrame, need: Column, need_of_longer: Column) -> DataFrame:
+def index_of(values: DataFrame, need: Column, need_of_longer: Column, histogram: bool = False) -> DataFrame:
     """(value, node, n, weight, short): entries in the lists of each class's rarest values.
 
     `values` has (node, n, value); any partner has at least `need` values in common, a
     partner that is not shorter at least `need_of_longer`.  Two linked classes share a list
     in which the shorter one's entry is ``short``.  ``weight`` counts the values that others
-    have, too.
+    have, too.  ``histogram`` adds where these values fall by hash: bits, whose level l marks
+    the buckets of at least l values, and over, the values beyond the last level.
     """
     shared = values.groupBy("value").agg(F.count("*").alias("df")).where("df > 1")
     found = values.join(shared, "value")
-    own = found.groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("own"))
+    entry, added = F.collect_list(F.struct("df", "value")), []
+    if histogram:
+        bucket = F.pmod("value", F.lit(BUCKETS)).cast("int").alias("bucket")
+        found = found.groupBy("node", "n", bucket).agg(entry.alias("part"), F.count("*").alias("c"))
+        bit = F.expr("shiftleft(1L, bucket % 64)")
+        lane = lambda l, k: F.bit_or(F.when((F.col("c") >= l) & (F.floor(F.col("bucket") / 64) == k), bit).otherwise(F.lit(0)))
+        bits = F.array(*[lane(l, k) for l in range(1, LEVELS + 1) for k in range(BUCKETS // 64)])  # noqa: E741
+        entry, added = F.flatten(F.collect_list("part")), [bits.alias("bits"), F.sum(F.greatest(F.col("c") - LEVELS, F.lit(0))).alias("over")]
+    own = found.groupBy("node", "n").agg(F.sort_array(entry).alias("own"), *added)
+    kept = own.columns[3:]
     enough = own.withColumns(
         {"weight": F.size("own"), "_need": need.cast("int"), "_longer": need_of_longer.cast("int")}
     ).where("weight >= _need")
     rarest = F.slice("own", F.lit(1), F.col("weight") - F.col("_need") + 1)
-    entries = enough.select("node", "n", "weight", "_longer", F.posexplode(rarest).alias("i", "e"))
+    entries = enough.select("node", "n", "weight", "_longer", *kept, F.posexplode(rarest).alias("i", "e"))
     short = F.col("i") <= F.col("weight") - F.col("_longer")
-    return stored(entries.select("e.value", "node", "n", "weight", short.alias("short")), "lists")
+    return stored(entries.select("e.value", "node", "n", "weight", short.alias("short"), *kept), "lists")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -239,14 +252,16 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int =
 
 
 def _may_reach(threshold: int, exact: bool) -> Column:
-    """Whether two entries of one list can belong to linked classes, by sizes and shared values."""
+    """Whether two entries of one list can belong to linked classes, by sizes, shared values and, if exact, histograms."""
     similar = F.least("n", "na") * 100 >= F.greatest("n", "na") * threshold
     marked = F.when(F.col("n") < F.col("na"), F.col("short")).when(F.col("n") > F.col("na"), F.col("sa"))
     listed = similar & marked.otherwise(F.col("short") & F.col("sa"))
     if not exact:
         return listed
-    common = F.least("weight", "wa")  # at most so many
-    return listed & (common * 100 >= (F.col("n") + F.col("na") - common) * threshold)
+    both = reduce(Column.__add__, [F.bit_count(F.col("bits")[i].bitwiseAND(F.col("ba")[i])) for i in range(LEVELS * BUCKETS // 64)])
+    for common in (F.least("weight", "wa"), both + F.least("over", "oa")):  # at most so many
+        listed = listed & (common * 100 >= (F.col("n") + F.col("na") - common) * threshold)
+    return listed
 
 
 def linked(
@@ -280,14 +295,15 @@ def linked(
             member = labelled.join(lists.select("value", "major"), "value").withColumn("outside", F.col("comp") != F.col("major"))
         outside = member.where("outside")
         whole_set = F.col("n") if last else F.least("n", F.lit(K))
-        entry = F.struct((F.col("weight") / whole_set).alias("share"), "weight", F.col("node").alias("m"), "n", "comp", "short").alias("p")
+        histogram = ["bits", "over"] if last else []
+        entry = F.struct((F.col("weight") / whole_set).alias("share"), "weight", F.col("node").alias("m"), "n", "comp", "short", *histogram).alias("p")
         if finish:
             chosen = outside.select("value", entry)
         else:  # the member that shares most of its values, after the first round one outside the largest component
             chosen = outside.groupBy("value").agg(F.max(entry).alias("p"))
         chosen = chosen.select(
             "value", F.col("p.m").alias("a"), F.col("p.n").alias("na"), F.col("p.comp").alias("ca"),
-            F.col("p.weight").alias("wa"), F.col("p.short").alias("sa"),
+            F.col("p.weight").alias("wa"), F.col("p.short").alias("sa"), *[F.col(f"p.{c}").alias(f"{c[0]}a") for c in histogram],
         )
         met = (F.col("comp") != F.col("ca")) & _may_reach(threshold, last)
         if finish:  # two members outside meet once
@@ -348,7 +364,7 @@ def links(docs: DataFrame, classes: DataFrame, width: int = SHINGLE, threshold:
     full = texts_of(wanted, docs).select("node", "n", "digest", "text").mapInArrow(sets, "node long, n long, vals array<long>")
     rows = stored(full.select("node", "n", F.explode("vals").alias("value")).distinct(), "values")
     of_longer = F.ceil(F.col("n") * (2 * threshold) / (100 + threshold))
-    return linked(index_of(rows, exact, of_longer), edges, classes, docs, width, threshold, last=True)[0]
+    return linked(index_of(rows, exact, of_longer, histogram=True), edges, classes, docs, width, threshold, last=True)[0]
 
 
 def groups(docs: DataFrame, width: int = SHINGLE, threshold: int = THRESHOLD) -> DataFrame:

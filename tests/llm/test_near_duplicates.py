@@ -190,3 +190,44 @@ def test_rounds_end_when_they_leave_nearly_as_many_pairs(spark, make, monkeypatc
     docs = odd_documents()
     assert rows_of(queries.op4_near_duplicates(spark, make([(d, t, None, None, None) for d, t in docs]))) == brute(docs)
     assert len(calls) <= 3
+
+
+def test_near_copies_beyond_the_threshold_are_not_all_paired(spark, make, monkeypatch):
+    """The pairs of the lists over full sets grew with the square of such a group."""
+    rng, names = random.Random(11), (f"new{i}" for i in range(10**9))
+    base, common = [f"b{i}" for i in range(150)], [f"c{i}" for i in range(3)]
+    docs = []
+    for i in range(240):
+        words = varied(base, rng.randrange(8), rng, names).split(" ")
+        for at in rng.sample(range(0, 150, 10), rng.randrange(6)):  # edits that others have, too
+            words[at] = rng.choice(common)
+        docs.append((i, " ".join(words)))
+    monkeypatch.setattr(nd, "FEW", 0)
+    pairs, made = [], nd.stored
+
+    def counted(df, label):
+        out = made(df, label)
+        if label == "pairs":
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(nd, "stored", counted)
+    assert rows_of(queries.op4_near_duplicates(spark, make([(d, t, None, None, None) for d, t in docs]))) == brute(docs)
+    assert sum(pairs[1:]) < len(docs)
+
+
+@pytest.mark.parametrize("buckets, levels", [(512, 3), (64, 1)])
+def test_histograms_bound_the_common_values(spark, monkeypatch, buckets, levels):
+    monkeypatch.setattr(nd, "BUCKETS", buckets)
+    monkeypatch.setattr(nd, "LEVELS", levels)
+    rng = random.Random(12)
+    sets = [set(rng.sample(range(400), rng.randrange(50, 300))) | {1000 + i} for i in range(12)]
+    values = spark.createDataFrame([(i, len(s), v) for i, s in enumerate(sets) for v in s], "node long, n long, value long")
+    rows = {r.node: r for r in nd.index_of(values, nd.F.lit(1), nd.F.lit(1), histogram=True).collect()}
+    assert len(rows) == len(sets)
+    for a, one in enumerate(sets):
+        for b, two in enumerate(sets[:a]):
+            x, y = rows[a], rows[b]
+            bound = sum(((i & j) & (2**64 - 1)).bit_count() for i, j in zip(x.bits, y.bits, strict=True)) + min(x.over, y.over)
+            assert len(one & two) <= bound <= min(x.weight, y.weight)
+            assert levels == 1 or bound == len(one & two)  # 400 values in 512 buckets
