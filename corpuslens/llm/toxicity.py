@@ -26,8 +26,10 @@ labels of both classes every score is the share of toxic labels, 0 if there are
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import accumulate, islice
 
 import numpy as np
 import pandas as pd
@@ -50,6 +52,7 @@ COMMON = 200  # a word is in the first lexicon if one in so many toxic documents
 FRAME = b"\x01\x02 window \x03\x04"
 LOWEST, HIGHEST = -2, 7  # differences are counted between these
 VALUES = np.arange(LOWEST, HIGHEST + 1)
+TOGETHER = 1 << 18  # characters of texts whose windows are compressed in one call
 HELD = 400_000  # window lengths remembered by a task
 _TO_SPACE = bytes.maketrans(b".,!?#$%&*|", b" " * 10)
 
@@ -71,8 +74,18 @@ def windows(text: str | None, size: int) -> list[bytes]:
 
 def passages(text: str | None, size: int = PASSAGE_BYTES) -> list[bytes]:
     """The windows of at least `size` bytes and those that begin half a window later."""
-    found = windows(text, max(size // 2, 1))
-    return [b" ".join(found[i : i + 2]) for i in range(max(len(found) - 1, min(len(found), 1)))]
+    return _passages(windows(text, 1), size)
+
+
+def _passages(words: list[bytes], size: int = PASSAGE_BYTES) -> list[bytes]:
+    """The passages of a text's words, cut from the joined words at the borders of half windows."""
+    joined, ends, half = b" ".join(words), list(accumulate(len(w) + 1 for w in words)), max(size // 2, 1)
+    borders = [0]
+    while words and borders[-1] < ends[-1]:
+        borders.append(ends[min(bisect_left(ends, borders[-1] + half), len(ends) - 1)])
+    if len(borders) == 2:
+        return [joined]
+    return [joined[start : end - 1] for start, end in zip(borders, borders[2:], strict=False)]
 
 
 def train(samples: list[bytes], size: int) -> bytes:
@@ -103,14 +116,17 @@ def _compressor(content: bytes, level: int) -> zstandard.ZstdCompressor:
         level, source_size=64, dict_size=len(content), write_content_size=0, write_checksum=0, write_dict_id=0,
         format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
+    raw.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=raw, compression_params=parameters)
 
 
-def _gains(compressors: list[zstandard.ZstdCompressor], window: bytes) -> tuple[int, ...]:
-    """Bytes by which the framed window is shorter under each compressor than under the first."""
-    framed = FRAME + b" " + window + b" " + FRAME
-    ordinary, *others = [len(c.compress(framed)) for c in compressors]
-    return tuple(min(max(ordinary - o, LOWEST), HIGHEST) for o in others)
+def _gains(compressors: list[zstandard.ZstdCompressor], found: list[bytes]) -> np.ndarray:
+    """Bytes by which each framed window is shorter under each compressor than under the first, a row for each."""
+    before, after = FRAME + b" ", b" " + FRAME
+    framed = [before + window + after for window in found]
+    lengths = lambda c: map(len, c.multi_compress_to_buffer(framed) if framed else [])
+    ordinary, *others = [np.fromiter(lengths(c), np.int64, len(framed)) for c in compressors]
+    return np.array([ordinary - other for other in others]).clip(LOWEST, HIGHEST)
 
 
 class Dictionaries:
@@ -149,35 +165,53 @@ class Dictionaries:
         self.__dict__.update(state)
         self._ready()
 
-    def differences(self, window: bytes) -> tuple[int, int]:
-        """Bytes by which the window is shorter with each of the two lexicons."""
-        found = self.held.get(window)
-        if found is None:
-            found = _gains(self.by_word, window)
-            if len(self.held) < HELD:
-                self.held[window] = found
-        return found
+    def differences(self, found: list[bytes]) -> np.ndarray:
+        """Bytes by which each window is shorter with each of the two lexicons, a row for each window."""
+        missed = list(dict.fromkeys(w for w in found if w not in self.held))
+        new = dict(zip(missed, zip(*_gains(self.by_word, missed).tolist(), strict=True), strict=True))
+        out = np.array([new.get(w) or self.held[w] for w in found], np.int64).reshape(-1, 2)
+        self.held.update(islice(new.items(), max(HELD - len(self.held), 0)))
+        return out
 
     def difference(self, window: bytes) -> int:
         """Bytes by which the window is shorter with the lexicon that explains more of it."""
-        return max(self.differences(window), key=abs)
-
-    def passage_difference(self, window: bytes) -> int:
-        """Bytes by which the window is shorter under the dictionary of toxic texts."""
-        return _gains(self.by_passage, window)[0]
+        return max(self.differences([window])[0].tolist(), key=abs)
 
     def features(self, text: str | None) -> list[float]:
         """For each comparison logarithms of the counts of differences, their shares, the largest and their sum; the number of windows."""
-        found = windows(text, self.window)
-        by_word = [self.differences(w) for w in found]
-        by_passage = [self.passage_difference(w) for w in passages(text)]
-        out = [float(np.log1p(len(found)))]
-        for gains in ([g[0] for g in by_word], [g[1] for g in by_word], by_passage):
-            counts = np.bincount(np.array(gains, dtype=np.int64) - LOWEST, minlength=HIGHEST - LOWEST + 1)
-            gain = (counts * VALUES)[VALUES >= 2].sum()
-            largest = VALUES[counts > 0].max() if gains else 0
-            out += [*np.log1p(counts), *(counts / max(len(gains), 1))[1 - LOWEST :], largest, np.log1p(gain)]
-        return out
+        return self.all_features([text])[0]
+
+    def all_features(self, texts: list[str | None]) -> list[list[float]]:
+        """The features of each text; about `TOGETHER` characters are compared at once, since short blocks compress faster by the thousand."""
+        out, batch, size = [], [], 0
+        for text in texts:
+            batch.append(text)
+            size += len(text or "")
+            if size >= TOGETHER:
+                out += self._features(batch)
+                batch, size = [], 0
+        return out + list(self._features(batch))
+
+    def _features(self, texts: list[str | None]) -> Iterator[list[float]]:
+        found = [windows(text, self.window) for text in texts]
+        parts = [_passages(words if self.window <= 1 else windows(text, 1)) for words, text in zip(found, texts, strict=True)]
+        seen = [Counter(words) for words in found]  # a word of a text is looked up once
+        by_passage = _gains(self.by_passage, [part for own in parts for part in own])[0]
+        by_word = self.differences([word for own in seen for word in own])
+        w = p = 0
+        for words, times, own in zip(found, seen, parts, strict=True):
+            yield _counted(by_word[w : w + len(times)], np.fromiter(times.values(), np.int64, len(times)), by_passage[p : p + len(own)], len(words))
+            w, p = w + len(times), p + len(own)
+
+
+def _counted(by_word: np.ndarray, times: np.ndarray, by_passage: np.ndarray, n_words: int) -> list[float]:
+    out = [float(np.log1p(n_words))]
+    for gains, weights, n in ((by_word[:, 0], times, n_words), (by_word[:, 1], times, n_words), (by_passage, None, len(by_passage))):
+        counts = np.bincount(gains - LOWEST, weights, HIGHEST - LOWEST + 1)
+        gain = (counts * VALUES)[VALUES >= 2].sum()
+        largest = VALUES[counts > 0].max() if n else 0
+        out += [*np.log1p(counts).tolist(), *(counts / max(n, 1))[1 - LOWEST :].tolist(), float(largest), float(np.log1p(gain))]
+    return out
 
 
 class Classifier:
@@ -207,7 +241,7 @@ class Classifier:
             return np.full(len(texts), self.constant)
         if not texts:
             return np.zeros(0)
-        return self.calibration.scores(np.array([self.dictionaries.features(t) for t in texts]))
+        return self.calibration.scores(np.array(self.dictionaries.all_features(texts)))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Classifier:

@@ -157,3 +157,31 @@ def _not_here(features):
         return features(self, text)
 
     return elsewhere
+
+
+def test_texts_are_compared_together(monkeypatch):
+    """The features are those of single windows, made by two calls for many texts."""
+    rng = np.random.default_rng(9)
+    words = made_words(rng, 300)
+    texts = [None, "", " \n", "word", "y" * 23, "y" * 24 + " z", "é😀\x00\x01 x"] + [" ".join(rng.choice(words, n)) + ", end." for n in range(1, 40)]
+    d = toxicity.Dictionaries([(i % 2, text or "") for i, text in enumerate(texts)])
+
+    def gain(compressors, window, k):
+        framed = toxicity.FRAME + b" " + window + b" " + toxicity.FRAME
+        return min(max(len(compressors[0].compress(framed)) - len(compressors[k].compress(framed)), toxicity.LOWEST), toxicity.HIGHEST)
+
+    def expected(text):
+        found, halves = toxicity.windows(text, 1), toxicity.windows(text, toxicity.PASSAGE_BYTES // 2)
+        parts = [b" ".join(halves[i : i + 2]) for i in range(max(len(halves) - 1, min(len(halves), 1)))]
+        assert parts == toxicity.passages(text)
+        out = [np.log1p(len(found))]
+        for gains in ([gain(d.by_word, w, 1) for w in found], [gain(d.by_word, w, 2) for w in found], [gain(d.by_passage, p, 1) for p in parts]):
+            counts = np.array([gains.count(v) for v in toxicity.VALUES])
+            out += [*np.log1p(counts), *(counts / max(len(gains), 1))[1 - toxicity.LOWEST :], max(gains, default=0), np.log1p((counts * toxicity.VALUES)[toxicity.VALUES >= 2].sum())]
+        return out
+
+    calls, made = [], toxicity._gains
+    monkeypatch.setattr(toxicity, "_gains", lambda *args: calls.append(1) or made(*args))
+    assert np.allclose(d.all_features(texts), [expected(t) for t in texts], rtol=0, atol=1e-12)
+    assert len(calls) == 2
+    assert d.all_features(texts) == [d.features(t) for t in texts]
