@@ -64,11 +64,14 @@ def test_parts_add_up(spark, odd, few, monkeypatch):
     monkeypatch.setattr(A.Contexts, "few", few)
     monkeypatch.setattr(A, "PAIRS_OF", 3)
     monkeypatch.setattr(A, "VECTORS", 2)
+    monkeypatch.setattr(A, "LISTED", 2)
     batches = [pa.RecordBatch.from_arrays([pa.array([ts for _, ts in part], pa.list_(pa.string()))], ["tokens"]) for part in (DOCS[:2], DOCS[2:])]
     rows = [r for b in index.parts(iter(batches)) for r in b.to_pylist()]
+    assert few or not any(r["text"] for r in rows)
     words = sorted({r["target"] for r in rows}, key=str)
-    lists = [pa.array([[x for r in rows if r["target"] == w for x in r[c]] for w in words], pa.list_(t)) for c, t in (("ctx", pa.string()), ("n", pa.int32()), ("idx", pa.int32()), ("w", pa.int32()))]
-    got = {w: dict(zip(r["idx"], r["w"], strict=True)) for w, r in zip(words, index.total(*lists).to_pylist(), strict=True)}
+    lists = [[{c: r[c] for c in ("text", "numbers")} for r in rows if r["target"] == w] for w in words]
+    found = index.total(pa.array(lists, pa.list_(pa.struct([("text", pa.binary()), ("numbers", pa.binary())]))))
+    got = {w: {c["idx"]: c["w"] for c in r} for w, r in zip(words, found.to_pylist(), strict=True)}
     want = {}
     for _, ts in DOCS:
         for i, t in enumerate(ts or []):
@@ -76,11 +79,23 @@ def test_parts_add_up(spark, odd, few, monkeypatch):
     assert got == {t: {int(i): int(v[i]) for i in np.flatnonzero(v)} for t, v in want.items()}
 
 
-def test_cells_of_vectors_are_not_exchanged(odd, capsys):
-    """Whole vectors move; before, each cell was sent to its vector as a row."""
-    C.packed(C.squash(C.accumulate_context_vectors(odd, 2, 12, 4), 12)).explain()
-    plan = capsys.readouterr().out
-    assert "Generate" in plan and "Exchange" not in plan.split("Generate")[0]
+def test_small_numbers():
+    numbers = np.array([0, 1, 127, 128, 16383, 16384, 1 << 40, 5])
+    data, sizes = A.small(numbers)
+    assert sizes.tolist() == [1, 1, 1, 2, 2, 3, 6, 1] and A.unsmall(data).tolist() == numbers.tolist()
+    assert A.unsmall(A.small(numbers[:0])[0]).tolist() == []
+
+
+def test_vectors_that_become_cells_are_not_exchanged(odd, capsys):
+    """Before, each cell was sent to its vector as a row."""
+    cells = C.accumulate_context_vectors(odd, 2, 12, 4)
+    whole, squashed = C.packed(cells), C.packed(C.squash(cells, 12))
+    for df in (whole, squashed):
+        df.explain()
+        assert capsys.readouterr().out.count("Exchange") == 1
+    again = cells.select("target", "idx", "w")  # other rows, for which the vectors are put together
+    rows = lambda df: {r.target: [tuple(c) for c in r.cells] for r in df.collect()}
+    assert rows(whole) == rows(C.packed(again)) and rows(squashed) == rows(C.packed(C.squash(again, 12)))
 
 
 def test_cells_of_stored_vectors_are_not_exchanged(spark, tmp_path, capsys):
