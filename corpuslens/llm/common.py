@@ -17,19 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options: str) -> DataFrame:
     """`df` written once to the shared folder and read back.
 
     Cuts the lineage, survives lost executors, and gives the planner the true size,
     so that later joins broadcast it only when it is below the session's threshold.
     """
-    return stored_at(df, label)[0]
+    return stored_at(df, label, **options)[0]
 
 
-def stored_at(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+def stored_at(df: DataFrame, label: str, **options: str) -> tuple[DataFrame, str]:
     """As ``stored``, with the path, for tables that are removed once nothing reads them any more."""
     path = scratch_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 

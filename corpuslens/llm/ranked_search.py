@@ -54,6 +54,7 @@ LEAST_WIDTH = 64
 FULL = 255  # a sketch's count that means "this or more"
 LIMIT = 1_000_000  # the impact stays below this
 BATCH_TERMS = 1 << 14
+BOUNDED = 1 << 18  # impacts of documents and coordinates held at once
 FIRST_SCORED = 64  # documents scored before the threshold is looked at again
 
 SEGMENT = (
@@ -150,7 +151,8 @@ def build_index(docs: DataFrame) -> DataFrame:
             yield held.segment()
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.col("doc_id").isNull(), "text")
-    return stored(rows.toDF("doc_id", "absent", "text").mapInArrow(segments, SEGMENT), "impacts")
+    found = rows.toDF("doc_id", "absent", "text").mapInArrow(segments, SEGMENT)
+    return stored(found, "impacts", **{"parquet.block.row.count.limit": "1"})  # readers hold a row group as a whole
 
 
 # -- the search ---------------------------------------------------------------------------
@@ -195,15 +197,17 @@ class Segment:
         if not len(used):
             return out
         for width in np.unique(self.widths):
-            docs = np.flatnonzero(self.widths == width)
+            alike = np.flatnonzero(self.widths == width)
             columns, inverse = np.unique(hashes[used] & (width - 1), return_inverse=True)
-            peaks = self.sketch[self.starts[docs][None, :] + columns[:, None]].astype(np.int64)
-            impacts = np.where(peaks == FULL, LIMIT, impact(peaks, self.m[docs][None, :])).astype(np.float64)
             at = np.zeros(len(hashes), np.int64)
             at[used] = inverse
-            for q, terms in enumerate(present):
-                if len(terms):
-                    out[q, docs] = batch.weights[terms].astype(np.float64) @ impacts[at[terms]]
+            step = max(1, BOUNDED // len(columns))
+            for docs in (alike[i : i + step] for i in range(0, len(alike), step)):
+                peaks = self.sketch[self.starts[docs][None, :] + columns[:, None]].astype(np.int64)
+                impacts = np.where(peaks == FULL, LIMIT, impact(peaks, self.m[docs][None, :])).astype(np.float64)
+                for q, terms in enumerate(present):
+                    if len(terms):
+                        out[q, docs] = batch.weights[terms].astype(np.float64) @ impacts[at[terms]]
         return out
 
     def scores(self, docs: np.ndarray, places: np.ndarray, weights: np.ndarray) -> np.ndarray:

@@ -102,3 +102,28 @@ def test_odd_rows(spark, make):
     for a, b in ((df.limit(0), asked), (df, asked.limit(0)), (df.where("doc_id = 3"), asked)):
         empty = rs.search(a, b, 5)
         assert empty.count() == 0 and empty.columns == ["item_id", "rank", "doc_id", "score"]
+
+
+def test_a_task_reads_one_segment_at_once(spark, monkeypatch):
+    """Each segment is a row group of its own; before, a file's segments were held together."""
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(rs, "SEGMENT_DOCS", 7)
+    df = spark.createDataFrame(random_rows(random.Random(4), 60), "doc_id long, text string").coalesce(1)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in rs.build_index(df).inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
+    assert len(groups) > 7 and max(groups) == 1
+
+
+def test_bounds_in_portions_are_the_same(monkeypatch):
+    builder = rs.Builder()
+    for d, t in random_rows(random.Random(5), 200):
+        builder.add(d, False, t.encode())
+    rows = builder.segment()
+    named = sorted({t for t in rows.column("terms")[0].as_py()})
+    batch = rs.Batch([0, 1], [], named, np.arange(len(named)) + 1, 200, 30000, 5)
+    segment, hashes = rs.Segment(rows, 0, batch), rs.hashed([t.encode() for t in named])
+    asked = [np.arange(0, len(named), 3), np.arange(1, 9)]
+    whole = segment.bounds(batch, asked, hashes)
+    monkeypatch.setattr(rs, "BOUNDED", 500)
+    assert (segment.bounds(batch, asked, hashes) == whole).all()
