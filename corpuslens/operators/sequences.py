@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.operators.layout import generate
+from corpuslens.operators.layout import generate, place
 from corpuslens.operators.ordering import ordered_index, running_total
 
 BLOCK_TOKENS = 8192
@@ -61,11 +61,12 @@ def context_windows(corpus: DataFrame, size: int) -> DataFrame:
 def context_pairs(corpus: DataFrame, size: int) -> DataFrame:
     """``(doc_id, target, context, offset)`` for all neighbours up to `size` away.
 
-    Each neighbouring pair is generated once and then emitted in both directions.
+    Each neighbouring pair is generated once and then emitted in both directions.  Documents are
+    placed by their key while they are compact, so that pairs can be grouped by it where they are.
     """
     tokens = F.col("tokens")
     ahead = F.flatten(F.array(*[shifted_pairs(tokens, d) for d in range(1, size + 1)]))
-    one_way = generate(corpus, ["doc_id"], F.inline_outer(ahead), "offset", "target", "context")
+    one_way = generate(place(corpus.select("doc_id", "tokens"), "doc_id", growth=4), ["doc_id"], F.inline_outer(ahead), "offset", "target", "context")
     both = F.array(
         F.struct("target", "context", "offset"),
         F.struct(F.col("context").alias("target"), F.col("target").alias("context"), (-F.col("offset")).alias("offset")),

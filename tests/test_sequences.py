@@ -156,3 +156,14 @@ def test_ngram_batches(spark, corpus, flatten, shuffled):
         assert all(len(r["items"]) == 16 for r in batches[:-1])
         assert (sorted(grams) if shuffled else grams) == (sorted(want) if shuffled else want)
         assert not shuffled or grams != want
+
+
+def test_pairs_of_a_document_are_grouped_in_place(spark, capsys):
+    """Two rows may share a key; before, every pair was shuffled."""
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["a", None]), (None, ["c", "c"]), (2, None)], "doc_id long, tokens array<string>")
+    listed = S.context_pairs(df, 1).groupBy("doc_id", "target").agg(F.sort_array(F.collect_list("context")).alias("c"), F.count("*").alias("n"))
+    assert {(r.doc_id, r.target, tuple(r.c), r.n) for r in listed.collect()} == {
+        (1, "a", ("b",), 2), (1, "b", ("a",), 1), (1, None, ("a",), 1), (None, "c", ("c", "c"), 2)
+    }
+    listed.explain()
+    assert "Exchange" not in capsys.readouterr().out.split("Generate")[0]
