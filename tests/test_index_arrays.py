@@ -95,6 +95,8 @@ def test_vectors_that_become_cells_are_not_exchanged(odd, capsys):
         assert capsys.readouterr().out.count("Exchange") == 1
     again = cells.select("target", "idx", "w")  # other rows, for which the vectors are put together
     rows = lambda df: {r.target: [tuple(c) for c in r.cells] for r in df.collect()}
+    text = C.packed(C.squash(cells, 12)).withColumn("cells", joined_cells("cells", 6))
+    assert text.count() == squashed.count() and all(r.cells for r in text.collect())
     assert rows(whole) == rows(C.packed(again)) and rows(squashed) == rows(C.packed(C.squash(again, 12)))
 
 
@@ -110,6 +112,13 @@ def test_cells_of_stored_vectors_are_not_exchanged(spark, tmp_path, capsys):
     assert "Exchange" not in capsys.readouterr().out.split("Generate")[0]
 
 
+def test_shares_without_a_positive_value():
+    cells = pa.array([[{"idx": 0, "w": -3}], [{"idx": 0, "w": -4}, {"idx": 1, "w": -2}], [{"idx": 0, "w": 4}]])
+    batch = pa.RecordBatch.from_arrays([pa.array(["a", "b", "c"]), cells], ["target", "cells"])
+    (got,) = A.Shares(2).of(iter([batch]))
+    assert [[c["w"] for c in r] for r in got.column(1).to_pylist()] == [[-np.inf], [2.0, 1.0], [1.0]]
+
+
 def test_joined_cells(spark):
     kind = "i int, c array<struct<idx:int,w:{}>>"
     rows = [(0, [(3, 1), (10, -2)]), (1, []), (2, None), (3, [(3, 1)]), (4, [(0, 1 << 60), (7, -(1 << 60))])]
